@@ -61,7 +61,11 @@ def words(c: Column) -> Column:
 
 
 def chunks(word_array: Column, size: int = rules.DEFAULT_CHUNK_WORDS) -> Column:
-    """Consecutive groups of ``size`` words, each joined with one space."""
+    """Consecutive groups of ``size`` words, each joined with one space.
+
+    Pass a column reference, not an expression: the array is read once per
+    chunk inside the lambda.
+    """
     n = F.size(word_array)
     starts = F.sequence(F.lit(0), n - 1, F.lit(size))
     return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(word_array, i + 1, size), " "))).otherwise(

@@ -59,15 +59,19 @@ def ordinal_index(df: DataFrame, file_col: str, block_col: str, order_col: str,
     Prefix-sum form: rows are shuffled once on (file, block) - never on file
     alone - kept rows are counted per block, an exclusive running sum over the
     (small) block table gives each block's offset, and the offset plus the row
-    number inside the block is the position. The counts are taken from the
-    same repartitioned input, so the exchange is computed once and reused; the
-    offset table is joined back on (file, block) and AQE turns that join into a
-    broadcast when its measured size is small, a co-partitioned join otherwise.
+    number inside the block is the position (two passes, like ``zipWithIndex``).
+    The offset table has one row per block; it is joined back on (file, block),
+    planned as a broadcast only when its estimated size is under the broadcast
+    threshold and otherwise re-planned by AQE from the measured size, falling
+    back to a shuffle join co-partitioned with the rows.
     Adds ``out_col`` plus ``_off`` / ``_n`` (first position and row count of the
     block) and ``_total`` (rows of the file).
     """
     keyed = df.repartition(file_col, block_col)
-    counts = keyed.groupBy(file_col, block_col).agg(F.count(F.lit(1)).alias("_n"))
+    # Pass 1 (counts) is column-pruned by Catalyst - it evaluates only what
+    # decides whether a row is kept, never the payload (e.g. redaction) - and
+    # aggregates map-side, so one row per block and task is shuffled.
+    counts = df.groupBy(file_col, block_col).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(file_col).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         file_col,

@@ -18,13 +18,13 @@ from loomset.operators import guardrails as G
 def prepare_notes(
     df: DataFrame, text_col: str = "text", sanitize_pii: bool = True, enforce_guardrails: bool = True
 ) -> DataFrame:
-    """Strip, classify (on the unredacted text) and redact; adds ``body`` and ``harm_category``.
+    """Strip, classify (on the unredacted text) and redact; adds ``body``, ``has_text``, ``harm_category``.
 
-    Emptiness (F7) is tested on the stripped text before redaction: every
-    replacement token is non-empty, so the result is the same and the regex
-    chain is not pushed below the filter and evaluated twice.
+    Emptiness (F7) is decided on the stripped text before redaction
+    (``has_text``): every replacement token is non-empty, so the answer is the
+    same, and a filter on it does not drag the regex chain below itself.
     """
-    stripped = df.withColumn("_stripped", T.strip(F.col(text_col)))
+    stripped = df.withColumn("_stripped", T.strip(F.col(text_col))).withColumn("has_text", F.col("_stripped") != "")
     classified = G.classify(stripped, "_stripped", enforce_guardrails)
     return G.redact_column(classified, "_stripped", sanitize_pii, out_col="body").drop("_stripped")
 
@@ -34,8 +34,10 @@ def chunk_notes(
 ) -> DataFrame:
     """Clean notes -> one row per kept chunk: ``keep_cols``, ``chunk_index``, ``chunk``."""
     keep_cols = keep_cols or []
-    clean = G.keep_clean(prepared).where(F.col("body") != "")
-    chunks = T.chunks(T.words(F.col("body")), chunk_words)
+    # The word array is a column of its own: inlined into the chunking lambda
+    # it would be re-split once per chunk.
+    clean = G.keep_clean(prepared).where("has_text").withColumn("_words", T.words(F.col("body")))
+    chunks = T.chunks(F.col("_words"), chunk_words)
     return (
         clean.select(*keep_cols, F.posexplode(chunks).alias("chunk_index", "chunk"))
         .where(F.length("chunk") > rules.MIN_CHUNK_CHARS)

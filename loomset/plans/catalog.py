@@ -32,6 +32,7 @@ from loomset.operators import report as R
 from loomset.plans import dataset
 from loomset.session import scratch_path
 from loomset.sources import chat_tree, jsonl, message_log, notes, render
+from loomset.sources.tables import read_table
 
 # Injected test hits: (modulus, remainder, appended text).
 DOC_HITS_97 = [
@@ -57,7 +58,7 @@ def _case(key: Column, cases: list[tuple[int, str]]) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents", "doc_id")
 
 
 def documents_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def documents_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    c = read_table(spark, sf_dir, "conversations", "conv_id")
     extra = F.lit("")
     for rem, turn, txt in reversed(CONV_HITS_23):
         extra = F.when((F.col("conv_id") % 23 == rem) & (F.col("turn") == turn), F.lit(txt)).otherwise(extra)
@@ -128,10 +129,10 @@ def q_rejection_counts(spark, sf_dir):
 
 def q_run_summary(spark, sf_dir):
     """A4 + A5 for the notes job in one pass: per-note kept-chunk counts summed with the rejections."""
-    prepared = N.prepare_notes(documents_with_hits(spark, sf_dir), "text")
-    chunks = T.chunks(T.words(F.col("body")), rules.DEFAULT_CHUNK_WORDS)
+    prepared = N.prepare_notes(documents_with_hits(spark, sf_dir), "text").withColumn("_words", T.words(F.col("body")))
+    chunks = T.chunks(F.col("_words"), rules.DEFAULT_CHUNK_WORDS)
     kept = F.size(F.filter(chunks, lambda c: F.length(c) > rules.MIN_CHUNK_CHARS))
-    per_note = F.when(F.col(G.HARM).isNull() & (F.col("body") != ""), kept).otherwise(F.lit(0))
+    per_note = F.when(F.col(G.HARM).isNull() & F.col("has_text"), kept).otherwise(F.lit(0))
     counts = prepared.agg(F.sum(per_note).alias("_samples"), *R.rejection_exprs())
     return R.run_summary(counts, F.col("_samples"), "sharegpt", True, True)
 
@@ -214,23 +215,16 @@ def q_chat_tree_scan(spark, sf_dir):
     )
 
 
-def _conv_id_from_path(path: Column) -> Column:
-    return F.regexp_extract(path, r"conv_id=(\d+)", 1).cast("bigint")
-
-
 def q_message_log_scan(spark, sf_dir):
     path = render.render_message_logs(conversations_with_hits(spark, sf_dir), scratch_path(spark, "message-log"))
     lines = message_log.read_message_log(spark, path)
-    return lines.select(_conv_id_from_path(F.col("file")).alias("conv_id"), "sender", "content")
+    return lines.select(F.regexp_extract("file", r"log=(\d+)", 1).cast("bigint").alias("log"), "sender", "content")
 
 
 def q_notes_scan(spark, sf_dir):
     path = render.render_notes(documents_with_hits(spark, sf_dir), scratch_path(spark, "notes"))
     files = notes.read_notes(spark, path)
-    return files.select(
-        F.regexp_extract("file_path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"),
-        T.strip(F.col("text")).alias("text"),
-    )
+    return files.select(F.regexp_extract("file_path", r"lang=([^/]+)", 1).alias("lang"), T.strip(F.col("text")).alias("text"))
 
 
 def q_jsonl_sink(spark, sf_dir):

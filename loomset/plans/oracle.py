@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from loomset.functions import rules
 from loomset.plans import catalog
+from loomset.sources import render
 
 CATS = list(rules.HARM_PATTERNS)
 
@@ -134,16 +135,18 @@ def conversation_assemble() -> str:
     return f"WITH {CONVS}, {MESSAGES}, {ASSEMBLED} SELECT conv_id, n_messages, conversations_json FROM a"
 
 
-def _windows(content_expr: str) -> str:
-    """Log windows over ``convs`` with the message content given by ``content_expr`` (of ``text``)."""
+def _windows(content_expr: str, file_expr: str = "conv_id") -> str:
+    """Log windows over ``convs``: content ``content_expr`` (of ``text``), one log per ``file_expr``,
+    lines in (conv_id, turn) order."""
     n = rules.LOG_WINDOW
     role = "CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END"
     body = "role || ': ' || content"
     return (
-        f"lm AS (SELECT conv_id, turn, role, {content_expr} AS content FROM convs), "
-        f"lk AS (SELECT conv_id, turn, role, content FROM lm WHERE content <> '' AND NOT starts_with(content, {lit(rules.MEDIA_PREFIX)}) "
+        f"lm AS (SELECT {file_expr} AS log, conv_id AS cid, turn, role, {content_expr} AS content FROM convs), "
+        f"lk AS (SELECT log, cid, turn, role, content FROM lm WHERE content <> '' AND NOT starts_with(content, {lit(rules.MEDIA_PREFIX)}) "
         f"AND {harm('content')} IS NULL), "
-        f"li AS (SELECT conv_id, role, {redact('content')} AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM lk), "
+        f"li AS (SELECT log AS conv_id, role, {redact('content')} AS content, "
+        f"row_number() OVER (PARTITION BY log ORDER BY cid, turn) - 1 AS i FROM lk), "
         f"lw AS (SELECT conv_id, CAST(i // {n} AS BIGINT) AS window_index, CAST(count(*) AS BIGINT) AS n_messages, "
         f"{_conv_json(role, body, 'i')} AS conversations_json "
         f"FROM li GROUP BY conv_id, i // {n} HAVING count(*) >= {rules.MIN_TURNS})"
@@ -158,19 +161,23 @@ def _log_content() -> str:
     return rstrip("regexp_replace(text, '[\\r\\n]+', ' ', 'g')")
 
 
+LOG_FILE = f"conv_id // {render.LOG_CONVS_PER_FILE}"
+
+
 def samples_end_to_end() -> str:
-    return f"WITH {CONVS}, {_windows(_log_content())} SELECT '{{\"conversations\":' || conversations_json || '}}' AS record FROM lw"
+    windows = _windows(_log_content(), LOG_FILE)
+    return f"WITH {CONVS}, {windows} SELECT '{{\"conversations\":' || conversations_json || '}}' AS record FROM lw"
 
 
 def message_log_scan() -> str:
     return (
-        f"WITH {CONVS}, x AS (SELECT conv_id, role AS sender, {_log_content()} AS content FROM convs) "
-        f"SELECT conv_id, sender, content FROM x WHERE content <> '' AND NOT starts_with(content, {lit(rules.MEDIA_PREFIX)})"
+        f"WITH {CONVS}, x AS (SELECT {LOG_FILE} AS log, role AS sender, {_log_content()} AS content FROM convs) "
+        f"SELECT log, sender, content FROM x WHERE content <> '' AND NOT starts_with(content, {lit(rules.MEDIA_PREFIX)})"
     )
 
 
 def notes_scan() -> str:
-    return f"WITH {DOCS} SELECT doc_id, {strip('text')} AS text FROM docs"
+    return f"WITH {DOCS} SELECT lang, {strip('text')} AS text FROM docs"
 
 
 def harm_category() -> str:

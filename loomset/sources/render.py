@@ -9,10 +9,10 @@ sources. The renders reproduce what the sources must undo:
   message, and non-string ``parts`` on every third message;
 * message log: two stamp styles, line breaks inside a message turned into
   spaces (continuation lines are not part of a message);
-* notes: one file per document, nested two folders deep.
+* notes: one file per document, below one folder per language.
 
-A conversation is one JSON object and one log file by the formats themselves;
-files group a bounded number of conversations.
+A conversation is one JSON object by the format; export and log files group a
+bounded number of conversations.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOG_STAMPS = ("[1/2/24, 10:00:00 AM] ", "1/2/24, 22:00:05 ")
+LOG_CONVS_PER_FILE = 16
 
 
-def _write_text(df: DataFrame, path: str, partition_cols: list[str]) -> str:
-    df.write.mode("overwrite").option("compression", "none").partitionBy(*partition_cols).text(path)
+def _write_text(df: DataFrame, path: str, partition_cols: list[str], **options) -> str:
+    writer = df.write.mode("overwrite").option("compression", "none")
+    for key, value in options.items():
+        writer = writer.option(key, value)
+    writer.partitionBy(*partition_cols).text(path)
     return path
 
 
@@ -62,13 +66,25 @@ def log_line(turn: F.Column, sender: F.Column, text: F.Column) -> F.Column:
     return F.concat(stamp, sender, F.lit(": "), F.regexp_replace(text, r"[\r\n]+", " "))
 
 
-def render_message_logs(conversations: DataFrame, path: str) -> str:
-    """``conv_id, turn, role, text`` -> one log file per conversation (``conv_id=<id>/part-*.txt``)."""
-    lines = conversations.select("conv_id", "turn", log_line(F.col("turn"), F.col("role"), F.col("text")).alias("value"))
-    ordered = lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value")
-    return _write_text(ordered, path, ["conv_id"])
+def log_file_key(conv_id: F.Column, convs_per_file: int = LOG_CONVS_PER_FILE) -> F.Column:
+    return (conv_id / convs_per_file).cast("bigint")
+
+
+def render_message_logs(conversations: DataFrame, path: str, convs_per_file: int = LOG_CONVS_PER_FILE) -> str:
+    """``conv_id, turn, role, text`` -> log files of ``convs_per_file`` conversations in (conv_id, turn) order.
+
+    Layout ``log=<conv_id div convs_per_file>/part-*.txt``, one file per folder.
+    """
+    lines = conversations.select(
+        log_file_key(F.col("conv_id"), convs_per_file).alias("log"),
+        "conv_id",
+        "turn",
+        log_line(F.col("turn"), F.col("role"), F.col("text")).alias("value"),
+    )
+    ordered = lines.repartition("log").sortWithinPartitions("log", "conv_id", "turn").select("log", "value")
+    return _write_text(ordered, path, ["log"])
 
 
 def render_notes(documents: DataFrame, path: str) -> str:
-    """``doc_id, lang, text`` -> one note file per document (``lang=<l>/doc_id=<id>/part-*.txt``)."""
-    return _write_text(documents.select("lang", "doc_id", F.col("text").alias("value")), path, ["lang", "doc_id"])
+    """``lang, text`` -> one note file per document, ``lang=<l>/part-*.txt`` (``maxRecordsPerFile`` = 1)."""
+    return _write_text(documents.select("lang", F.col("text").alias("value")), path, ["lang"], maxRecordsPerFile=1)
