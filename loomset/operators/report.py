@@ -27,11 +27,15 @@ def rejection_counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(*rejection_exprs())
 
 
+def _is(category: str):
+    # one-argument lambda: F.filter treats a two-argument one as (element, index)
+    return lambda m: m[HARM] == F.lit(category)
+
+
 def array_rejection_exprs(messages: Column) -> list[Column]:
     """A2 + A3 when the verdicts live inside an array column (row-local chat trees)."""
     per_category = [
-        F.coalesce(F.sum(F.size(F.filter(messages, lambda m, c=c: m[HARM] == F.lit(c)))), F.lit(0)).cast("bigint").alias(c)
-        for c in CATEGORIES
+        F.coalesce(F.sum(F.size(F.filter(messages, _is(c)))), F.lit(0)).cast("bigint").alias(c) for c in CATEGORIES
     ]
     total = F.coalesce(F.sum(F.size(F.filter(messages, lambda m: m[HARM].isNotNull()))), F.lit(0)).cast("bigint")
     return [*per_category, total.alias("rejected")]

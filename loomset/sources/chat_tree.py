@@ -43,8 +43,14 @@ def read_chat_tree(spark: SparkSession, path: str | list[str], mode: str = "FAIL
 
 
 def corrupt_files(df: DataFrame) -> DataFrame:
-    """Quarantine: files that did not parse (PERMISSIVE mode only)."""
-    return df.where(F.col("_corrupt_record").isNotNull()).select("file", "_corrupt_record")
+    """Quarantine: files that did not parse (PERMISSIVE mode only).
+
+    A corrupt row has every data column NULL; testing ``mapping`` as well keeps
+    a data column in every query over the result (Spark rejects a JSON scan
+    whose only data column is the corrupt-record column, e.g. under ``count``).
+    """
+    bad = F.col("_corrupt_record").isNotNull() & F.col("mapping").isNull()
+    return df.where(bad).select("file", "_corrupt_record")
 
 
 def _content(parts: Column) -> Column:
