@@ -68,9 +68,13 @@ def notes_samples(
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
-    observation: Observation | None = None,
+    observation: Observation | str | None = None,
 ) -> DataFrame:
-    """S3 flow on note rows (``file_path``, ``file_name``, ``text``)."""
+    """S3 flow on note rows (``file_path``, ``file_name``, ``text``); batch or streaming.
+
+    ``observation`` may be a name: streaming queries report named metrics in
+    their progress instead of an ``Observation``.
+    """
     prepared = N.prepare_notes(files, "text", sanitize_pii, enforce_guardrails)
     if observation is not None:
         prepared = prepared.observe(observation, *R.rejection_exprs())
