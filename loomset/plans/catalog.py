@@ -150,9 +150,12 @@ def q_message_filter(spark, sf_dir):
 
 
 def _assembled(spark, sf_dir):
-    judged = G.classify(C.message_filter(_messages(spark, sf_dir)), "content")
-    kept = G.redact_column(G.keep_clean(judged), "content")
-    return C.assemble(kept, ["conv_id"], "turn")
+    samples = dataset.table_conversation_samples(conversations_with_hits(spark, sf_dir), "conv_id", "turn")
+    return samples.select(
+        F.col("sample_id").cast("bigint").alias("conv_id"),
+        F.size("conversations").cast("bigint").alias("n_messages"),
+        "conversations",
+    )
 
 
 def _as_json(df: DataFrame) -> DataFrame:

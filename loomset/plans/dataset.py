@@ -51,10 +51,39 @@ def chat_tree_samples(
     return FMT.conversation_samples(convs, F.col("sid"), "chat_tree")
 
 
+def table_conversation_samples(
+    messages: DataFrame,
+    key_col: str,
+    order_col: str,
+    role_col: str = "role",
+    text_col: str = "text",
+    sanitize_pii: bool = True,
+    enforce_guardrails: bool = True,
+    observation: Observation | str | None = None,
+) -> DataFrame:
+    """Chat messages held as a table (one row per message) -> one sample per conversation.
+
+    Same rules as the chat-tree flow: strip, user/assistant only, judge,
+    drop harmful, redact, keep conversations with two or more messages.
+    """
+    msgs = messages.select(key_col, order_col, role_col, T.strip(F.col(text_col)).alias("content"))
+    judged = G.classify(C.message_filter(msgs, role_col, "content"), "content", enforce_guardrails)
+    if observation is not None:
+        judged = judged.observe(observation, *R.rejection_exprs())
+    kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii)
+    convs = C.assemble(kept, [key_col], order_col, role_col, "content")
+    return FMT.conversation_samples(convs, F.col(key_col), "chat_table")
+
+
 def message_log_samples(
     lines: DataFrame, sanitize_pii: bool = True, enforce_guardrails: bool = True, observation: Observation | None = None
 ) -> DataFrame:
-    """S2 flow on parsed lines (``file``, ``block``, ``line_id``, ``sender``, ``content``)."""
+    """S2 flow on parsed lines (``file``, ``block``, ``line_id``, ``sender``, ``content``).
+
+    An observation here sits before a shuffle: if a lost executor forces that
+    map stage to be recomputed, its metrics are counted again. ``build_dataset``
+    therefore counts message-log rejections with :func:`message_log_rejections`.
+    """
     judged = G.classify(lines, "content", enforce_guardrails)
     if observation is not None:
         judged = judged.observe(observation, *R.rejection_exprs())
@@ -63,6 +92,11 @@ def message_log_samples(
     return FMT.conversation_samples(windows, F.concat_ws("#", "file", F.col("window_index").cast("string")), "message_log")
 
 
+def message_log_rejections(lines: DataFrame, enforce_guardrails: bool = True) -> DataFrame:
+    """Exact A2/A3 for parsed log lines: an ordinary aggregate (partial per task), safe under retries."""
+    return R.rejection_counts(G.classify(lines, "content", enforce_guardrails))
+
+
 def notes_samples(
     files: DataFrame,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
@@ -114,14 +148,30 @@ def build_dataset(
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
 ) -> dict:
-    """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary."""
+    """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary.
+
+    The sample count is observed on the writing stage itself. Rejections are
+    observed on the same job where the judging also runs in that final stage
+    (notes, chat trees: no shuffle), so the input is scanned once; for message
+    logs, whose judging runs before a shuffle, they come from an exact
+    aggregate over the judged lines (a second, column-pruned scan).
+    """
     if dataset_format not in FMT.FORMATTERS:
         raise ValueError(f"unknown dataset format {dataset_format!r}; expected one of {sorted(FMT.FORMATTERS)}")
+    if kind not in SOURCE_KINDS:
+        raise ValueError(f"unknown source kind {kind!r}; expected one of {SOURCE_KINDS}")
+    observe_rejections = kind != "message_log"
     rejected = Observation("rejections")
     written = Observation("samples")
-    samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected)
+    samples = read_samples(
+        spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected if observe_rejections else None
+    )
     records = FMT.format_samples(samples, dataset_format).observe(written, F.count(F.lit(1)).alias("samples"))
     jsonl.write_jsonl(records, output)
+    if observe_rejections:
+        counts = rejected.get
+    else:
+        counts = message_log_rejections(message_log.read_message_log(spark, path), enforce_guardrails).first().asDict()
     summary = {
         "source": kind,
         "dataset_format": dataset_format,
@@ -130,5 +180,5 @@ def build_dataset(
         "output": output,
         "samples": int(written.get["samples"]),
     }
-    summary.update({k: int(v) for k, v in rejected.get.items()})
+    summary.update({k: int(v) for k, v in counts.items()})
     return summary

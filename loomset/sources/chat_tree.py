@@ -23,11 +23,19 @@ NODE = "struct<message:struct<author:struct<role:string>,content:struct<parts:ar
 CHAT_TREE_SCHEMA = f"conversation_id string, mapping map<string,{NODE}>, _corrupt_record string"
 
 
-def read_chat_tree(spark: SparkSession, path: str | list[str], mode: str = "FAILFAST") -> DataFrame:
-    """Export file(s) -> ``file``, ``conversation_id``, ``conv_key``, ``mapping`` (+ ``_corrupt_record``)."""
+def read_chat_tree(
+    spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", multi_line: bool = True
+) -> DataFrame:
+    """Export file(s) -> ``file``, ``conversation_id``, ``conv_key``, ``mapping`` (+ ``_corrupt_record``).
+
+    ``multi_line=True`` reads the export as written (one JSON document per file,
+    parsed whole by one task). ``multi_line=False`` reads JSON lines - one
+    conversation, or one array of conversations, per line - which Spark splits
+    across tasks: the form for very large exports.
+    """
     reader = (
         spark.read.schema(CHAT_TREE_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", mode)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     )

@@ -193,3 +193,11 @@ def test_sample_shapes(spark, tmp_dir):
     assert s.columns == FMT.SAMPLE_COLUMNS
     with pytest.raises(ValueError):
         dataset.read_samples(spark, "whatsapp", f"{tmp_dir}/n2")
+
+
+def test_chat_tree_json_lines(spark, tmp_dir):
+    conv = {"conversation_id": "j1", "mapping": {"a": _node("user", ["q"]), "b": _node("assistant", ["a"])}}
+    _write(f"{tmp_dir}/jl/x.jsonl", json.dumps(conv) + "\n" + json.dumps([conv, conv]) + "\n")
+    df = chat_tree.read_chat_tree(spark, f"{tmp_dir}/jl", multi_line=False)
+    samples = dataset.chat_tree_samples(df)
+    assert _convs(samples) == [[("user", "q"), ("assistant", "a")]] * 3
