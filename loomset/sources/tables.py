@@ -20,8 +20,12 @@ from loomset.session import shared_dir
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = spark.sparkContext.defaultParallelism
+        planned = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. Spark Connect): leave as is
+        return df
+    if planned >= target:
         return df
     shared_dir(spark)
     spread_df = df.repartition(target, *keys) if keys else df.repartition(target)
