@@ -11,6 +11,8 @@ driver and in tests without a session.
 
 from __future__ import annotations
 
+import re
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must match the reproduced behaviour; do not edit)
 # ---------------------------------------------------------------------------
@@ -133,7 +135,51 @@ def harm_regex(category: str, dialect: str = "java") -> str:
     return java_regex(joined) if dialect == "java" else re2_regex(joined)
 
 
+def harm_phrases() -> list[str]:
+    r"""The literal phrases of every harm pattern (each pattern is ``\b(?:p1|p2|...)\b``)."""
+    phrases: list[str] = []
+    for patterns in HARM_PATTERNS.values():
+        for pattern in patterns:
+            m = re.fullmatch(r"\\b\(\?:(.*)\)\\b", pattern)
+            if m is None:
+                raise ValueError(f"not a word-bounded alternation of literals: {pattern}")
+            alternatives = m.group(1).split("|")
+            if any(re.escape(a).replace("\\ ", " ").replace("\\-", "-") != a for a in alternatives):
+                raise ValueError(f"non-literal alternative in {pattern}")
+            phrases.extend(alternatives)
+    return phrases
+
+
+def phrase_trie(phrases: list[str]) -> str:
+    """A regex matching exactly ``phrases``, factored on common prefixes.
+
+    The JVM engine tries alternatives one by one at every position; sharing
+    prefixes makes a failing position cost one comparison per distinct first
+    character instead of one per phrase.
+    """
+    tree: dict = {}
+    for phrase in phrases:
+        node = tree
+        for ch in phrase:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        branches = [re.escape(ch) + emit(node[ch]) for ch in sorted(k for k in node if k)]
+        if not branches:
+            return ""
+        ends_here = "" in node
+        body = branches[0] if len(branches) == 1 and not ends_here else "(?:" + "|".join(branches) + ")"
+        return body + ("?" if ends_here else "")
+
+    return emit(tree)
+
+
 def any_harm_regex(dialect: str = "java") -> str:
-    """One alternation of every harm pattern: a cheap pre-filter for clean text."""
-    joined = "|".join(p for pats in HARM_PATTERNS.values() for p in pats)
-    return java_regex(joined) if dialect == "java" else re2_regex(joined)
+    r"""Matches where any harm pattern matches: ``\b`` + prefix trie of all phrases + ``\b``.
+
+    A cheap pre-filter for clean text; the category itself is decided by the
+    original per-category patterns.
+    """
+    pattern = r"\b" + phrase_trie(harm_phrases()) + r"\b"
+    return java_regex(pattern) if dialect == "java" else re2_regex(pattern)

@@ -105,3 +105,18 @@ def test_differential_against_python(spark, texts):
         assert row.r == pyref.redact(row.t), row.t
         assert row.h == pyref.harm(row.t), row.t
         assert row.s == row.t.strip(), row.t
+
+
+def test_trie_prefilter_equals_union_of_patterns():
+    import random
+    import re
+
+    union = re.compile("|".join(p for ps in rules.HARM_PATTERNS.values() for p in ps))
+    trie = re.compile(rules.any_harm_regex("re2"))
+    phrases = rules.harm_phrases()
+    assert len(phrases) == 43
+    rnd = random.Random(3)
+    tokens = phrases + ["a", "bomb", "pipe", "keyloggers", "x", " ", "-", "zero", "day", "how to", "kill", "rat", "c4", "_"]
+    for _ in range(5000):
+        s = "".join(rnd.choice(tokens) + rnd.choice(["", " ", "-", "."]) for _ in range(rnd.randint(1, 6)))
+        assert bool(union.search(s)) == bool(trie.search(s)), s
