@@ -55,6 +55,27 @@ def redact(c: Column) -> Column:
     return out
 
 
+def redact_step(kind: str, c: Column) -> Column:
+    """One redaction (T2a-e) on ``c``."""
+    return F.regexp_replace(c, rules.java_regex(rules.PII_PATTERNS[kind]), rules.PII_REPLACEMENTS[kind])
+
+
+# Exact necessary conditions for a redaction to change the text: an e-mail
+# needs '@', an API key one of its literal prefixes, and a phone / SSN / IP a
+# digit. The replacement tokens contain neither '@' nor digits, so a condition
+# tested before earlier steps still holds for the later ones.
+def has_at_sign(c: Column) -> Column:
+    return F.instr(c, "@") > 0
+
+
+def has_key_prefix(c: Column) -> Column:
+    return c.contains("sk-") | c.contains("AIzaSy") | c.contains("ghp_")
+
+
+def has_digit(c: Column) -> Column:
+    return c.rlike(r"(?U)\d")
+
+
 def words(c: Column) -> Column:
     """``str.split()`` of an already stripped string: [] for '', else split on whitespace runs."""
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, _WS_RUN))

@@ -28,7 +28,24 @@ def keep_clean(df: DataFrame) -> DataFrame:
 
 
 def redact_column(df: DataFrame, text_col: str, enabled: bool = True, out_col: str | None = None) -> DataFrame:
-    """Redact personal data in ``text_col`` (T2); with ``enabled=False`` NULL still becomes ''."""
-    source = F.col(text_col)
-    value = T.redact(source) if enabled else F.coalesce(source, F.lit(""))
-    return df.withColumn(out_col or text_col, value)
+    """Redact personal data in ``text_col`` (T2); with ``enabled=False`` NULL still becomes ''.
+
+    Same result as :func:`loomset.functions.text.redact`, but each regex runs
+    only on rows that can match it (few texts hold an '@', a key prefix or
+    even a digit). The steps are separate projected columns: a guard reads its
+    input twice, and Catalyst keeps a non-trivial column that is read more
+    than once computed once instead of inlining it.
+    """
+    out_col = out_col or text_col
+    source = F.coalesce(F.col(text_col), F.lit(""))
+    if not enabled:
+        return df.withColumn(out_col, source)
+    cols = ["_r0", "_r1", "_rd", "_r3", "_r4"]
+    r = df.withColumn("_r0", source)
+    r = r.withColumn("_r1", F.when(T.has_at_sign(F.col("_r0")), T.redact_step("email", F.col("_r0"))).otherwise(F.col("_r0")))
+    r = r.withColumn("_rd", T.has_digit(F.col("_r1")))
+    phone_ssn = T.redact_step("ssn", T.redact_step("phone", F.col("_r1")))
+    r = r.withColumn("_r3", F.when(F.col("_rd"), phone_ssn).otherwise(F.col("_r1")))
+    r = r.withColumn("_r4", F.when(T.has_key_prefix(F.col("_r3")), T.redact_step("api_key", F.col("_r3"))).otherwise(F.col("_r3")))
+    r = r.withColumn(out_col, F.when(F.col("_rd"), T.redact_step("ip", F.col("_r4"))).otherwise(F.col("_r4")))
+    return r.drop(*cols)

@@ -93,8 +93,8 @@ def q_harm_filter(spark, sf_dir):
 
 
 def q_pii_redact(spark, sf_dir):
-    d = documents_with_hits(spark, sf_dir)
-    return d.select("doc_id", T.redact(T.strip(F.col("text"))).alias("redacted"))
+    d = documents_with_hits(spark, sf_dir).select("doc_id", T.strip(F.col("text")).alias("stripped"))
+    return G.redact_column(d, "stripped", out_col="redacted").select("doc_id", "redacted")
 
 
 def _chunks(spark, sf_dir, sanitize_pii=True, enforce_guardrails=True):
