@@ -76,6 +76,12 @@ def has_digit(c: Column) -> Column:
     return c.rlike(r"(?U)\d")
 
 
+def redact_guarded(c: Column) -> Column:
+    """:func:`redact` run only where some redaction can apply; for a cheap ``c`` (a column or lambda variable)."""
+    can_match = has_at_sign(c) | has_digit(c) | has_key_prefix(c)
+    return F.when(can_match, redact(c)).otherwise(F.coalesce(c, F.lit("")))
+
+
 def words(c: Column) -> Column:
     """``str.split()`` of an already stripped string: [] for '', else split on whitespace runs."""
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, _WS_RUN))

@@ -39,7 +39,7 @@ def chat_tree_samples(
     )
     if observation is not None:
         judged = judged.observe(observation, *R.array_rejection_exprs(F.col("msgs")))
-    redact = T.redact if sanitize_pii else (lambda c: c)
+    redact = T.redact_guarded if sanitize_pii else (lambda c: c)
     kept = F.transform(
         F.filter("msgs", lambda m: m[G.HARM].isNull()),
         lambda m: F.struct(m["role"].alias("role"), redact(m["content"]).alias("content")),

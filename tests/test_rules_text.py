@@ -127,5 +127,7 @@ def test_guarded_redaction_equals_plain(spark):
 
     texts = [t for t, _ in REDACTION] + ["no digits here", "mail x@y.io and 555-123-4567 at 10.0.0.1 key sk-" + "b" * 22, "٥٥٥-١٢٣-٤٥٦٧"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    rows = G.redact_column(df, "t", out_col="g").select("t", "g", T.redact(F.col("t")).alias("p")).collect()
-    assert all(r.g == r.p for r in rows)
+    rows = G.redact_column(df, "t", out_col="g").select(
+        "t", "g", T.redact(F.col("t")).alias("p"), T.redact_guarded(F.col("t")).alias("q")
+    ).collect()
+    assert all(r.g == r.p == r.q for r in rows)
