@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from loomset.functions import rules
 
-MESSAGE = "struct<role:string,content:string>"
-
-
 def message_filter(df: DataFrame, role_col: str = "role", content_col: str = "content") -> DataFrame:
     """non-empty content from a user or assistant; everything else never reaches the guardrails."""
     return df.where((F.col(content_col) != "") & F.col(role_col).isin(*rules.CHAT_ROLES))
