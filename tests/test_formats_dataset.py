@@ -99,3 +99,13 @@ def test_build_dataset_zero_samples(spark, tmp_dir):
     _write(f"{tmp_dir}/z/a.txt", "too short")
     s = dataset.build_dataset(spark, "notes", f"{tmp_dir}/z", f"{tmp_dir}/o3")
     assert s["samples"] == 0 and s["rejected"] == 0
+
+
+def test_command_line(spark, tmp_dir):
+    from loomset.__main__ import main
+
+    _write(f"{tmp_dir}/cli/a.txt", "note " * 20 + "call 555-123-4567")
+    s = main(["--kind", "notes", "--input", f"{tmp_dir}/cli", "--output", f"{tmp_dir}/cli-out", "--format", "alpaca"])
+    assert s["samples"] == 1
+    rec = json.loads(jsonl.read_jsonl(spark, f"{tmp_dir}/cli-out").first().record)
+    assert rec["output"].endswith("[REDACTED_PHONE]")
