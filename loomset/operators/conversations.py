@@ -105,7 +105,7 @@ def tumbling_windows(
     shuffled again, on (file, window_index), and merged there.
     """
     indexed = ordinal_index(df, file_col, block_col, order_col, "_i")
-    window = F.floor(F.col("_i") / size)
+    window = F.expr(f"_i div {size}")
     first = window * size
     last = F.least(first + (size - 1), F.col("_total") - 1)
     in_block = (first >= F.col("_off")) & (last < F.col("_off") + F.col("_n"))

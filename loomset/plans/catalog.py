@@ -172,7 +172,7 @@ def _log_messages(msgs: DataFrame) -> DataFrame:
     """Table rows as log messages: F4, guardrails, redaction; ``conv_id`` = file, ``role`` = sender."""
     kept = msgs.where((F.col("content") != "") & ~F.col("content").startswith(rules.MEDIA_PREFIX))
     judged = G.classify(kept, "content")
-    return G.redact_column(G.keep_clean(judged), "content").withColumn("block", (F.col("turn") / CONV_BLOCK).cast("bigint"))
+    return G.redact_column(G.keep_clean(judged), "content").withColumn("block", F.expr(f"turn div {CONV_BLOCK}"))
 
 
 def q_message_log_windows(spark, sf_dir):

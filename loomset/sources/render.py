@@ -67,7 +67,7 @@ def log_line(turn: F.Column, sender: F.Column, text: F.Column) -> F.Column:
 
 
 def log_file_key(conv_id: F.Column, convs_per_file: int = LOG_CONVS_PER_FILE) -> F.Column:
-    return (conv_id / convs_per_file).cast("bigint")
+    return (conv_id / convs_per_file).cast("bigint")  # ids are small and non-negative: exact
 
 
 def render_message_logs(conversations: DataFrame, path: str, convs_per_file: int = LOG_CONVS_PER_FILE) -> str:
