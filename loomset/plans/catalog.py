@@ -244,6 +244,17 @@ def q_samples_end_to_end(spark, sf_dir):
     return jsonl.read_jsonl(spark, out)
 
 
+def q_notes_stream(spark, sf_dir):
+    """Notes rendered from ``documents`` -> Structured Streaming (available-now) -> JSONL -> the chunks."""
+    from loomset.streaming.notes_stream import run_notes_available_now
+
+    src = render.render_notes(documents_with_hits(spark, sf_dir), scratch_path(spark, "stream-notes"))
+    out = scratch_path(spark, "stream-out")
+    run_notes_available_now(spark, src, out, scratch_path(spark, "stream-checkpoint"), dataset_format="alpaca")
+    records = jsonl.read_jsonl(spark, out)
+    return records.select(F.get_json_object("record", "$.output").alias("chunk"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "harm_category": q_harm_category,
     "harm_filter": q_harm_filter,
@@ -265,6 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "notes_scan": q_notes_scan,
     "jsonl_sink": q_jsonl_sink,
     "samples_end_to_end": q_samples_end_to_end,
+    "notes_stream": q_notes_stream,
 }
 
 

@@ -235,6 +235,10 @@ def chat_tree_scan() -> str:
     return conversation_assemble()
 
 
+def notes_stream() -> str:
+    return _chunks_sql() + f"SELECT chunk FROM c WHERE length(chunk) > {MIN_CHARS}"
+
+
 ORACLE: dict[str, str] = {
     "harm_category": harm_category(),
     "harm_filter": harm_filter(),
@@ -256,4 +260,5 @@ ORACLE: dict[str, str] = {
     "notes_scan": notes_scan(),
     "jsonl_sink": jsonl_sink(),
     "samples_end_to_end": samples_end_to_end(),
+    "notes_stream": notes_stream(),
 }

@@ -25,6 +25,9 @@ LOCAL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
+    # a listing job over many paths (e.g. a file-stream batch) gets one task per path by
+    # default (up to 10,000); on one machine a few tasks list them faster
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "32",
     # local disk only: skip Hadoop's .crc side files (renders write many small files)
     "spark.hadoop.fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
     "spark.hadoop.fs.file.impl.disable.cache": "true",
