@@ -201,3 +201,24 @@ def test_chat_tree_json_lines(spark, tmp_dir):
     df = chat_tree.read_chat_tree(spark, f"{tmp_dir}/jl", multi_line=False)
     samples = dataset.chat_tree_samples(df)
     assert _convs(samples) == [[("user", "q"), ("assistant", "a")]] * 3
+
+
+def test_note_chunks_differential_on_documents(spark):
+    """Every sf0.001 document (with a few harmful / secret lines mixed in) against the Python statement."""
+    from loomset.operators import notes as N
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = F.when(F.col("doc_id") % 17 == 0, F.lit(" rat trojan")).when(F.col("doc_id") % 17 == 1, F.lit(" 123-45-6789")).otherwise(F.lit(""))
+    docs = docs.withColumn("text", F.concat("text", extra))
+    chunked = N.chunk_notes(N.prepare_notes(docs, "text"), keep_cols=["doc_id"]).collect()
+    got = {}
+    for r in chunked:
+        got.setdefault(r.doc_id, {})[r.chunk_index] = r.chunk
+    for row in docs.collect():
+        want = pyref.note_chunks(row.text)
+        mine = got.get(row.doc_id, {})
+        if not want:
+            assert not mine, row.doc_id
+            continue
+        # chunk indexes count every chunk; kept ones are those over the length limit
+        assert [mine[k] for k in sorted(mine)] == want, row.doc_id
