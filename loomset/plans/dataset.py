@@ -2,8 +2,10 @@
 
 :func:`read_samples` returns the ``SAMPLES`` DataFrame of one source kind;
 :func:`build_dataset` formats and writes it and returns the run summary. The
-rejection counts and the sample count are collected with ``observe()`` on the
-job that writes the dataset, so the input is scanned once.
+sample count - and, for notes and chat trees, the rejection counts - are
+collected with ``observe()`` on the job that writes the dataset, so the input
+is scanned once; message-log rejections come from an exact aggregate (see
+:func:`build_dataset`).
 """
 
 from __future__ import annotations
