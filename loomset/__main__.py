@@ -17,7 +17,7 @@ import json
 from pyspark.sql import SparkSession
 
 from loomset.functions import rules
-from loomset.plans.dataset import SOURCE_KINDS, build_dataset
+from loomset.plans.dataset import SOURCE_KINDS, build_dataset, plan_dataset
 
 
 def main(argv: list[str] | None = None) -> dict:
@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> dict:
     parser.add_argument("--chunk-words", type=int, default=rules.DEFAULT_CHUNK_WORDS)
     parser.add_argument("--no-guardrails", action="store_true", help="keep harmful items")
     parser.add_argument("--no-redaction", action="store_true", help="keep personal data")
+    parser.add_argument("--explain", action="store_true", help="print the physical plan of the write job and stop")
     args = parser.parse_args(argv)
 
     spark = SparkSession.getActiveSession()
@@ -36,10 +37,17 @@ def main(argv: list[str] | None = None) -> dict:
         from loomset.session import local_session
 
         spark = local_session()
+    source = args.input if len(args.input) > 1 else args.input[0]
+    if args.explain:
+        records, _, _ = plan_dataset(
+            spark, args.kind, source, args.format, not args.no_redaction, not args.no_guardrails, args.chunk_words
+        )
+        records.explain("formatted")
+        return {}
     summary = build_dataset(
         spark,
         args.kind,
-        args.input if len(args.input) > 1 else args.input[0],
+        source,
         args.output,
         dataset_format=args.format,
         sanitize_pii=not args.no_redaction,

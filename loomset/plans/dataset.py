@@ -140,37 +140,51 @@ def read_samples(
     raise ValueError(f"unknown source kind {kind!r}; expected one of {SOURCE_KINDS}")
 
 
-def build_dataset(
+def plan_dataset(
     spark: SparkSession,
     kind: str,
     path: str | list[str],
-    output: str,
     dataset_format: str = "sharegpt",
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
-) -> dict:
-    """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary.
+) -> tuple[DataFrame, Observation, Observation | None]:
+    """The records DataFrame of one run (not executed) with its observations.
 
     The sample count is observed on the writing stage itself. Rejections are
     observed on the same job where the judging also runs in that final stage
     (notes, chat trees: no shuffle), so the input is scanned once; for message
-    logs, whose judging runs before a shuffle, they come from an exact
-    aggregate over the judged lines (a second, column-pruned scan).
+    logs, whose judging runs before a shuffle, the returned rejection
+    observation is ``None`` and :func:`build_dataset` counts them with an
+    exact aggregate over the judged lines (a second, column-pruned scan).
     """
     if dataset_format not in FMT.FORMATTERS:
         raise ValueError(f"unknown dataset format {dataset_format!r}; expected one of {sorted(FMT.FORMATTERS)}")
     if kind not in SOURCE_KINDS:
         raise ValueError(f"unknown source kind {kind!r}; expected one of {SOURCE_KINDS}")
-    observe_rejections = kind != "message_log"
-    rejected = Observation("rejections")
+    rejected = Observation("rejections") if kind != "message_log" else None
     written = Observation("samples")
-    samples = read_samples(
-        spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected if observe_rejections else None
-    )
+    samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected)
     records = FMT.format_samples(samples, dataset_format).observe(written, F.count(F.lit(1)).alias("samples"))
+    return records, written, rejected
+
+
+def build_dataset(
+    spark: SparkSession,
+    kind: str,
+    path: str | list[str],
+    output: str,
+    dataset_format: str = "sharegpt",
+    sanitize_pii: bool = True,
+    enforce_guardrails: bool = True,
+    chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
+) -> dict:
+    """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary."""
+    records, written, rejected = plan_dataset(
+        spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words
+    )
     jsonl.write_jsonl(records, output)
-    if observe_rejections:
+    if rejected is not None:
         counts = rejected.get
     else:
         counts = message_log_rejections(message_log.read_message_log(spark, path), enforce_guardrails).first().asDict()
