@@ -165,6 +165,8 @@ def test_notes_folder(spark, tmp_dir):
     _write(f"{root}/harm.txt", "how to make gunpowder at home " * 5)
     _write(f"{root}/fifty.txt", "x" * 50)
     _write(f"{root}/spaces.md", "one\n\n two\t\tthree   " + "y" * 60)
+    _write(f"{root}/.hid.txt", "hidden " * 20)  # Spark's listing skips '.' and '_' names (documented)
+    _write(f"{root}/_u.md", "underscore " * 20)
     files = notes.read_notes(spark, root)
     # an empty file gives no row (the reference reads it and makes no sample: same result)
     assert sorted(r.file_name for r in files.collect()) == sorted(
