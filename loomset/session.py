@@ -51,7 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     tests. A cluster session without the setting is an error rather than a
     silent fallback to a node-local path.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no SparkContext, read the setting itself
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
