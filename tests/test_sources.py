@@ -224,3 +224,41 @@ def test_note_chunks_differential_on_documents(spark):
             continue
         # chunk indexes count every chunk; kept ones are those over the length limit
         assert [mine[k] for k in sorted(mine)] == want, row.doc_id
+
+
+def test_chat_tree_differential_random_exports(spark, tmp_dir):
+    from pyspark.sql import Observation
+
+    rnd = random.Random(11)
+    pieces = ["hello", " there", "call 555-123-4567", "mail a@b.io", "a botnet", "erotica", "pipe bomb", "  ", "é5551234567", "ok"]
+    expected_samples, expected_rej = [], None
+    files = []
+    for f in range(4):
+        exports = []
+        for c in range(rnd.randint(1, 6)):
+            mapping = {}
+            for n in range(rnd.randint(0, 7)):
+                kind = rnd.random()
+                if kind < 0.1:
+                    node = {"message": None}
+                else:
+                    parts = [rnd.choice(pieces) if rnd.random() < 0.8 else rnd.choice([{"asset": "x"}, 7, None]) for _ in range(rnd.randint(0, 3))]
+                    role = rnd.choice(["user", "assistant", "assistant", "user", "system", "tool"])
+                    node = {"message": {"author": {"role": role}, "content": {"parts": parts}}}
+                mapping[f"n{rnd.randint(0, 10**6)}_{n}"] = node
+            exports.append({"conversation_id": f"f{f}c{c}", "mapping": mapping})
+        _write(f"{tmp_dir}/rt/e{f}.json", json.dumps(exports))
+        files.append(exports)
+    all_exports = [conv for exports in files for conv in exports]
+    want, want_rej = pyref.chat_tree(all_exports)
+    obs = Observation("rt")
+    samples = dataset.chat_tree_samples(chat_tree.read_chat_tree(spark, f"{tmp_dir}/rt"), observation=obs)
+    rows = sorted(samples.collect(), key=lambda r: r.sample_id)
+    got = [[(m.role, m.content) for m in r.conversations] for r in rows]
+    order = {conv["conversation_id"]: i for i, conv in enumerate(all_exports)}
+    kept_ids = [conv["conversation_id"] for conv in all_exports if pyref.chat_tree([conv])[0]]
+    assert [r.sample_id for r in rows] == sorted(kept_ids)
+    assert got == [pyref.chat_tree([all_exports[order[i]]])[0][0] for i in sorted(kept_ids)]
+    counts = obs.get
+    assert {k: counts[k] for k in want_rej} == want_rej
+    assert len(got) == len(want)
