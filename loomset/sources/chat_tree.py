@@ -66,9 +66,25 @@ def _content(parts: Column) -> Column:
     return T.strip(F.array_join(F.transform(strings, lambda p: p.cast("string")), ""))
 
 
+def document_nodes(mapping: Column) -> Column:
+    """Node values in document order, with JSON-object semantics for a repeated node id.
+
+    A ``MAP`` read from JSON keeps every entry; a JSON object keeps one per id,
+    at the first position, with the last value. The quadratic dedupe runs only
+    for the rare map that has a repeated id.
+    """
+    entries = F.map_entries(mapping)
+    keys = F.map_keys(mapping)
+    positions = F.transform(F.sequence(F.lit(1), F.size(entries)), lambda i: F.struct(i.alias("i"), F.element_at(entries, i)["key"].alias("k")))
+    first_positions = F.filter(positions, lambda x: F.array_position(keys, x["k"]) == x["i"])
+    deduped = F.transform(first_positions, lambda x: F.element_at(F.filter(entries, lambda e: e["key"] == x["k"]), -1)["value"])
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(mapping.isNull(), F.lit(None)).when(unique, F.map_values(mapping)).otherwise(deduped)
+
+
 def node_messages(mapping: Column) -> Column:
     """P1-P3 + F1 + F2: ``array<struct<role, content>>`` of the kept nodes, in document order."""
-    nodes = F.filter(F.map_values(mapping), lambda n: F.size(n["message"]["content"]["parts"]) > 0)
+    nodes = F.filter(document_nodes(mapping), lambda n: F.size(n["message"]["content"]["parts"]) > 0)
     messages = F.transform(
         nodes,
         lambda n: F.struct(

@@ -262,3 +262,15 @@ def test_chat_tree_differential_random_exports(spark, tmp_dir):
     counts = obs.get
     assert {k: counts[k] for k in want_rej} == want_rej
     assert len(got) == len(want)
+
+
+def test_chat_tree_repeated_node_id(spark, tmp_dir):
+    # a JSON object keeps the first position and the last value of a repeated key
+    text = (
+        '[{"mapping": {"a": ' + json.dumps(_node("user", ["old"])) + ', "b": ' + json.dumps(_node("assistant", ["b"]))
+        + ', "a": ' + json.dumps(_node("user", ["new"])) + "}}]"
+    )
+    _write(f"{tmp_dir}/dup/x.json", text)
+    want = [[(m["message"]["author"]["role"], m["message"]["content"]["parts"][0]) for m in json.loads(text)[0]["mapping"].values()]]
+    assert want == [[("user", "new"), ("assistant", "b")]]
+    assert _convs(dataset.chat_tree_samples(chat_tree.read_chat_tree(spark, f"{tmp_dir}/dup"))) == want
