@@ -83,7 +83,6 @@ WHITESPACE_CHARS = (
 )
 WHITESPACE_CLASS = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE_CHARS)
 WS = "[" + WHITESPACE_CLASS + "]"
-NON_WS = "[^" + WHITESPACE_CLASS + "]"
 
 
 def _expand_whitespace(pattern: str) -> str:
