@@ -83,35 +83,35 @@ def _note_name(doc_id: Column) -> Column:
 # --- notes / documents ------------------------------------------------------
 
 
-def q_harm_category(spark, sf_dir):
+def q_harm_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_with_hits(spark, sf_dir)
     return d.select("doc_id", T.harm_category(T.strip(F.col("text"))).alias("harm_category"))
 
 
-def q_harm_filter(spark, sf_dir):
+def q_harm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_with_hits(spark, sf_dir).withColumn("text", T.strip(F.col("text")))
     return G.keep_clean(G.classify(d, "text")).select("doc_id", "text")
 
 
-def q_pii_redact(spark, sf_dir):
+def q_pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_with_hits(spark, sf_dir).select("doc_id", T.strip(F.col("text")).alias("stripped"))
     return G.redact_column(d, "stripped", out_col="redacted").select("doc_id", "redacted")
 
 
-def _chunks(spark, sf_dir, sanitize_pii=True, enforce_guardrails=True):
+def _chunks(spark: SparkSession, sf_dir: str, sanitize_pii: bool = True, enforce_guardrails: bool = True) -> DataFrame:
     prepared = N.prepare_notes(documents_with_hits(spark, sf_dir), "text", sanitize_pii, enforce_guardrails)
     return N.chunk_notes(prepared, rules.DEFAULT_CHUNK_WORDS, keep_cols=["doc_id"])
 
 
-def q_note_chunks(spark, sf_dir):
+def q_note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir)
 
 
-def q_guardrails_off(spark, sf_dir):
+def q_guardrails_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir, enforce_guardrails=False)
 
 
-def q_redaction_off(spark, sf_dir):
+def q_redaction_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir, sanitize_pii=False)
 
 
@@ -119,16 +119,16 @@ def _instructions(chunked: DataFrame) -> DataFrame:
     return N.instruction_samples(chunked.withColumn("file_name", _note_name(F.col("doc_id"))), "file_name")
 
 
-def q_notes_to_instruction(spark, sf_dir):
+def q_notes_to_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _instructions(_chunks(spark, sf_dir)).select("doc_id", "chunk_index", "instruction", "input", "output")
 
 
-def q_rejection_counts(spark, sf_dir):
+def q_rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = N.prepare_notes(documents_with_hits(spark, sf_dir), "text")
     return R.rejection_counts(prepared)
 
 
-def q_run_summary(spark, sf_dir):
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 + A5 for the notes job in one pass: per-note kept-chunk counts summed with the rejections."""
     prepared = N.prepare_notes(documents_with_hits(spark, sf_dir), "text").withColumn("_words", T.words(F.col("body")))
     chunks = T.chunks(F.col("_words"), rules.DEFAULT_CHUNK_WORDS)
@@ -141,16 +141,16 @@ def q_run_summary(spark, sf_dir):
 # --- conversations ----------------------------------------------------------
 
 
-def _messages(spark, sf_dir):
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = conversations_with_hits(spark, sf_dir)
     return c.select("conv_id", "turn", "role", T.strip(F.col("text")).alias("content"))
 
 
-def q_message_filter(spark, sf_dir):
+def q_message_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.message_filter(_messages(spark, sf_dir))
 
 
-def _assembled(spark, sf_dir):
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = dataset.table_conversation_samples(conversations_with_hits(spark, sf_dir), "conv_id", "turn")
     return samples.select(
         F.col("sample_id").cast("bigint").alias("conv_id"),
@@ -165,7 +165,7 @@ def _as_json(df: DataFrame) -> DataFrame:
     )
 
 
-def q_conversation_assemble(spark, sf_dir):
+def q_conversation_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_json(_assembled(spark, sf_dir))
 
 
@@ -176,7 +176,7 @@ def _log_messages(msgs: DataFrame) -> DataFrame:
     return G.redact_column(G.keep_clean(judged), "content").withColumn("block", F.expr(f"turn div {CONV_BLOCK}"))
 
 
-def q_message_log_windows(spark, sf_dir):
+def q_message_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = _log_messages(_messages(spark, sf_dir))
     return _as_json(C.tumbling_windows(msgs, "conv_id", "block", "turn", "role", "content"))
 
@@ -184,7 +184,7 @@ def q_message_log_windows(spark, sf_dir):
 # --- formats ----------------------------------------------------------------
 
 
-def _samples(spark, sf_dir) -> DataFrame:
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     inst = _instructions(_chunks(spark, sf_dir))
     notes_part = FMT.instruction_samples(
         inst, F.concat(F.col("file_name"), F.lit("#"), F.col("chunk_index").cast("string")), "notes"
@@ -194,22 +194,22 @@ def _samples(spark, sf_dir) -> DataFrame:
     return notes_part.unionByName(conv_part)
 
 
-def q_format_sharegpt(spark, sf_dir):
+def q_format_sharegpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FMT.to_sharegpt(_samples(spark, sf_dir)).select("sample_id", "record")
 
 
-def q_format_alpaca(spark, sf_dir):
+def q_format_alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FMT.to_alpaca(_samples(spark, sf_dir)).select("sample_id", "record")
 
 
-def q_format_jsonl(spark, sf_dir):
+def q_format_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FMT.to_jsonl(_samples(spark, sf_dir)).select("sample_id", "record")
 
 
 # --- sources and sink (render -> read back) ---------------------------------
 
 
-def q_chat_tree_scan(spark, sf_dir):
+def q_chat_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = render.render_chat_tree(conversations_with_hits(spark, sf_dir), scratch_path(spark, "chat-tree"))
     samples = dataset.chat_tree_samples(chat_tree.read_chat_tree(spark, path))
     return samples.select(
@@ -219,25 +219,25 @@ def q_chat_tree_scan(spark, sf_dir):
     )
 
 
-def q_message_log_scan(spark, sf_dir):
+def q_message_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = render.render_message_logs(conversations_with_hits(spark, sf_dir), scratch_path(spark, "message-log"))
     lines = message_log.read_message_log(spark, path)
     return lines.select(F.regexp_extract("file", r"log=(\d+)", 1).cast("bigint").alias("log"), "sender", "content")
 
 
-def q_notes_scan(spark, sf_dir):
+def q_notes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = render.render_notes(documents_with_hits(spark, sf_dir), scratch_path(spark, "notes"))
     files = notes.read_notes(spark, path)
     return files.select(F.regexp_extract("file_path", r"lang=([^/]+)", 1).alias("lang"), T.strip(F.col("text")).alias("text"))
 
 
-def q_jsonl_sink(spark, sf_dir):
+def q_jsonl_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "jsonl")
     jsonl.write_jsonl(FMT.to_sharegpt(_samples(spark, sf_dir)), out)
     return jsonl.read_jsonl(spark, out)
 
 
-def q_samples_end_to_end(spark, sf_dir):
+def q_samples_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message logs rendered from the table -> S7 -> windows -> ShareGPT -> JSONL -> read back."""
     logs = render.render_message_logs(conversations_with_hits(spark, sf_dir), scratch_path(spark, "e2e-logs"))
     out = scratch_path(spark, "e2e-out")
@@ -245,7 +245,7 @@ def q_samples_end_to_end(spark, sf_dir):
     return jsonl.read_jsonl(spark, out)
 
 
-def q_notes_stream(spark, sf_dir):
+def q_notes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes rendered from ``documents`` -> Structured Streaming (available-now) -> JSONL -> the chunks."""
     src = render.render_notes(documents_with_hits(spark, sf_dir), scratch_path(spark, "stream-notes"))
     out = scratch_path(spark, "stream-out")
