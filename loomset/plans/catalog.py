@@ -48,7 +48,7 @@ DOC_HITS_89 = [(0, " 123-45-6789"), (1, " sk-" + "abcdefghijklmnopqrstuvwx")]
 # conversations: (conv_id % 23, turn, appended text)
 CONV_HITS_23 = [(0, 1, " ransomware"), (1, 0, " pipe bomb"), (2, 1, " erotica"), (3, 2, " murder plan"), (4, 0, " 123-45-6789")]
 
-CONV_BLOCK = 1 << 16  # turns per ordering block for table inputs
+CONV_BLOCK = dataset.TABLE_LOG_BLOCK  # turns per ordering block for table inputs
 
 
 def _case(key: Column, cases: list[tuple[int, str]]) -> Column:
@@ -177,8 +177,14 @@ def _log_messages(msgs: DataFrame) -> DataFrame:
 
 
 def q_message_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    msgs = _log_messages(_messages(spark, sf_dir))
-    return _as_json(C.tumbling_windows(msgs, "conv_id", "block", "turn", "role", "content"))
+    """Each conversation as one log (``conv_id`` = file, ``role`` = sender, ``turn`` = line order)."""
+    samples = dataset.table_log_samples(conversations_with_hits(spark, sf_dir), "conv_id", "turn", "role", "text")
+    return samples.select(
+        F.regexp_extract("sample_id", r"^(\d+)#", 1).cast("bigint").alias("conv_id"),
+        F.regexp_extract("sample_id", r"#(\d+)$", 1).cast("bigint").alias("window_index"),
+        F.size("conversations").cast("bigint").alias("n_messages"),
+        F.to_json(F.col("conversations")).alias("conversations_json"),
+    )
 
 
 # --- formats ----------------------------------------------------------------

@@ -77,6 +77,35 @@ def table_conversation_samples(
     return FMT.conversation_samples(convs, F.col(key_col), "chat_table")
 
 
+TABLE_LOG_BLOCK = 1 << 16  # lines per ordering block of one log held in a table
+
+
+def table_log_samples(
+    lines: DataFrame,
+    file_col: str,
+    order_col: str,
+    sender_col: str,
+    text_col: str,
+    sanitize_pii: bool = True,
+    enforce_guardrails: bool = True,
+    block_size: int = TABLE_LOG_BLOCK,
+) -> DataFrame:
+    """Log messages held as a table (one row per line, explicit order) -> six-message windows.
+
+    The text is stripped and must be non-empty and not a media placeholder; the
+    rest is the message-log flow. ``block_size`` consecutive lines of a log form
+    one ordering block, so a very long log is ordered by many tasks.
+    """
+    msgs = lines.select(
+        F.col(file_col).alias("file"),
+        F.expr(f"{order_col} div {block_size}").alias("block"),
+        F.col(order_col).alias("line_id"),
+        F.col(sender_col).alias("sender"),
+        T.strip(F.col(text_col)).alias("content"),
+    ).where((F.col("content") != "") & ~F.col("content").startswith(rules.MEDIA_PREFIX))
+    return message_log_samples(msgs, sanitize_pii, enforce_guardrails)
+
+
 def message_log_samples(
     lines: DataFrame, sanitize_pii: bool = True, enforce_guardrails: bool = True, observation: Observation | None = None
 ) -> DataFrame:

@@ -26,11 +26,14 @@ def test_windows_never_shuffle_rows_on_file_alone(spark):
     keys = [[c.strip().split("#")[0] for c in k.split(",")[:-1]] for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
     # the rows move on (file, block); an exchange on the file alone only ever feeds the
     # running sum over the per-block offset table (one row per block)
-    assert ["conv_id", "block"] in keys, keys
+    assert ["file", "block"] in keys, keys
     lines = plan.splitlines()
+    checked = 0
     for i, line in enumerate(lines):
-        if re.search(r"Exchange hashpartitioning\(conv_id#\d+L?, \d+\)", line):
+        if re.search(r"Exchange hashpartitioning\(file#\d+L?, \d+\)", line):
             assert "Sort" in lines[i - 1] and "Window [sum" in lines[i - 2], "\n".join(lines[i - 3 : i + 2])
+            checked += 1
+    assert checked >= 1
 
 
 def test_table_windows_independent_of_block_size(spark):
