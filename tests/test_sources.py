@@ -194,7 +194,7 @@ def test_sample_shapes(spark, tmp_dir):
     s = dataset.read_samples(spark, "notes", f"{tmp_dir}/n2")
     assert s.columns == FMT.SAMPLE_COLUMNS
     with pytest.raises(ValueError):
-        dataset.read_samples(spark, "whatsapp", f"{tmp_dir}/n2")
+        dataset.read_samples(spark, "unknown_kind", f"{tmp_dir}/n2")
 
 
 def test_chat_tree_json_lines(spark, tmp_dir):
