@@ -62,18 +62,21 @@ def table_conversation_samples(
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
     observation: Observation | str | None = None,
+    block_size: int | None = None,
 ) -> DataFrame:
     """Chat messages held as a table (one row per message) -> one sample per conversation.
 
     Same rules as the chat-tree flow: strip, user/assistant only, judge,
     drop harmful, redact, keep conversations with two or more messages.
+    ``block_size`` turns on two-level assembly for giant conversations
+    (:func:`loomset.operators.conversations.assemble`).
     """
     msgs = messages.select(key_col, order_col, role_col, T.strip(F.col(text_col)).alias("content"))
     judged = G.classify(C.message_filter(msgs, role_col, "content"), "content", enforce_guardrails)
     if observation is not None:
         judged = judged.observe(observation, *R.rejection_exprs())
     kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii)
-    convs = C.assemble(kept, [key_col], order_col, role_col, "content")
+    convs = C.assemble(kept, [key_col], order_col, role_col, "content", block_size=block_size)
     return FMT.conversation_samples(convs, F.col(key_col), "chat_table")
 
 

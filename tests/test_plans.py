@@ -44,3 +44,19 @@ def test_table_windows_independent_of_block_size(spark):
         return sorted((r.conv_id, r.window_index, r.n_messages, str(r.conversations)) for r in w.collect())
     assert windows(2) == windows(1 << 16)
     assert windows(3) == windows(1 << 16)
+
+
+def test_two_level_assembly_equals_single_level(spark):
+    from loomset.plans import dataset
+
+    c = catalog.conversations_with_hits(spark, "/root/testdata/sf0.01")
+    # one giant conversation: every message of the table under one key, ordered by (conv_id, turn)
+    giant = c.withColumn("order", F.col("conv_id") * 100 + F.col("turn")).withColumn("conv_id", F.lit(7).cast("bigint"))
+
+    def rows(df, **kw):
+        s = dataset.table_conversation_samples(df, "conv_id", "order", **kw) if "order" in df.columns else dataset.table_conversation_samples(df, "conv_id", "turn", **kw)
+        return sorted((r.sample_id, str(r.conversations)) for r in s.collect())
+
+    assert rows(c, block_size=2) == rows(c)
+    assert rows(giant, block_size=64) == rows(giant)
+    assert len(rows(giant)) == 1
