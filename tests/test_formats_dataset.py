@@ -109,3 +109,13 @@ def test_command_line(spark, tmp_dir):
     assert s["samples"] == 1
     rec = json.loads(jsonl.read_jsonl(spark, f"{tmp_dir}/cli-out").first().record)
     assert rec["output"].endswith("[REDACTED_PHONE]")
+
+
+def test_command_line_explain(spark, tmp_dir, capsys):
+    from loomset.__main__ import main
+
+    _write(f"{tmp_dir}/ex/a.txt", "note " * 20)
+    assert main(["--kind", "notes", "--input", f"{tmp_dir}/ex", "--output", f"{tmp_dir}/ex-out", "--explain"]) == {}
+    out = capsys.readouterr().out
+    assert "Physical Plan" in out and "Exchange" not in out
+    assert not os.path.exists(f"{tmp_dir}/ex-out")
