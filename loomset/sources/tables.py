@@ -3,8 +3,9 @@
 The text operators are narrow (no shuffle), so a table stored as a few large
 row groups would run all its regex work in a few tasks. :func:`spread` checks
 the planned partition count (planning only, no job). When it is below the
-cluster's default parallelism, the rows are hash-distributed on their key and
-checkpointed into the shared folder: a plain ``repartition`` would not help,
+cluster's default parallelism and the input is not tiny (planner's size
+estimate of at least ``MIN_SPREAD_BYTES``), the rows are hash-distributed on
+their key and checkpointed into the shared folder: a plain ``repartition`` would not help,
 because Catalyst pushes the (deterministic) regex filters through it, back
 into the few scan tasks. The copy is at most a few row groups per core; an
 input that already has more splits than cores - any large one - is returned
@@ -18,14 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from loomset.session import shared_dir
 
 
+MIN_SPREAD_BYTES = 8 << 20  # below this (planner's size estimate) one task is cheaper than a spread copy
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     try:
         target = spark.sparkContext.defaultParallelism
         planned = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. Spark Connect): leave as is
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - sessions without RDD / plan access (e.g. Spark Connect): leave as is
         return df
-    if planned >= target:
+    if planned >= target or size < MIN_SPREAD_BYTES:
         return df
     shared_dir(spark)
     spread_df = df.repartition(target, *keys) if keys else df.repartition(target)
