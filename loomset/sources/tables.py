@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomset.session import shared_dir
 
 
-MIN_SPREAD_BYTES = 8 << 20  # below this (planner's size estimate) one task is cheaper than a spread copy
+MIN_SPREAD_BYTES = 1 << 20  # break-even: about a second of single-core regex work vs. the spread job
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
