@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> dict:
     parser.add_argument("--chunk-words", type=int, default=rules.DEFAULT_CHUNK_WORDS)
     parser.add_argument("--no-guardrails", action="store_true", help="keep harmful items")
     parser.add_argument("--no-redaction", action="store_true", help="keep personal data")
+    parser.add_argument("--compression", default="none", help="text codec of the output files, e.g. gzip or zstd")
     parser.add_argument("--explain", action="store_true", help="print the physical plan of the write job and stop")
     args = parser.parse_args(argv)
 
@@ -53,6 +54,7 @@ def main(argv: list[str] | None = None) -> dict:
         sanitize_pii=not args.no_redaction,
         enforce_guardrails=not args.no_guardrails,
         chunk_words=args.chunk_words,
+        compression=args.compression,
     )
     if summary["samples"] == 0:
         summary["warning"] = "no samples were produced"

@@ -210,12 +210,13 @@ def build_dataset(
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
+    compression: str = "none",
 ) -> dict:
     """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary."""
     records, written, rejected = plan_dataset(
         spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words
     )
-    jsonl.write_jsonl(records, output)
+    jsonl.write_jsonl(records, output, compression=compression)
     if rejected is not None:
         counts = rejected.get
     else:

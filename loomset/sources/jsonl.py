@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_jsonl(records: DataFrame, path: str, record_col: str = "record") -> None:
-    """Write ``record_col`` (a JSON string per row) under ``path``, replacing what was there."""
-    records.select(record_col).write.mode("overwrite").option("compression", "none").text(path)
+def write_jsonl(records: DataFrame, path: str, record_col: str = "record", compression: str = "none") -> None:
+    """Write ``record_col`` (a JSON string per row) under ``path``, replacing what was there.
+
+    ``compression`` is any codec of Spark's text writer (``gzip``, ``zstd``, ...);
+    readers of JSON lines decompress by file extension.
+    """
+    records.select(record_col).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

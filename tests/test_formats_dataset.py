@@ -119,3 +119,11 @@ def test_command_line_explain(spark, tmp_dir, capsys):
     out = capsys.readouterr().out
     assert "Physical Plan" in out and "Exchange" not in out
     assert not os.path.exists(f"{tmp_dir}/ex-out")
+
+
+def test_compressed_output(spark, tmp_dir):
+    _write(f"{tmp_dir}/gz/a.txt", "zipped note " * 10)
+    s = dataset.build_dataset(spark, "notes", f"{tmp_dir}/gz", f"{tmp_dir}/gz-out", "alpaca", compression="gzip")
+    assert s["samples"] == 1
+    assert glob.glob(f"{tmp_dir}/gz-out/part-*.gz")
+    assert json.loads(jsonl.read_jsonl(spark, f"{tmp_dir}/gz-out").first().record)["output"].startswith("zipped note")
