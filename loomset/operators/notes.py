@@ -33,6 +33,8 @@ def chunk_notes(
     prepared: DataFrame, chunk_words: int = rules.DEFAULT_CHUNK_WORDS, keep_cols: list[str] | None = None
 ) -> DataFrame:
     """Clean notes -> one row per kept chunk: ``keep_cols``, ``chunk_index``, ``chunk``."""
+    if chunk_words < 1:
+        raise ValueError(f"chunk_words must be a positive number of words, got {chunk_words}")
     keep_cols = keep_cols or []
     # The word array is a column of its own: inlined into the chunking lambda
     # it would be re-split once per chunk.

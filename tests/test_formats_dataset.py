@@ -127,3 +127,9 @@ def test_compressed_output(spark, tmp_dir):
     assert s["samples"] == 1
     assert glob.glob(f"{tmp_dir}/gz-out/part-*.gz")
     assert json.loads(jsonl.read_jsonl(spark, f"{tmp_dir}/gz-out").first().record)["output"].startswith("zipped note")
+
+
+def test_chunk_words_must_be_positive(spark, tmp_dir):
+    _write(f"{tmp_dir}/cw/a.txt", "x " * 100)
+    with pytest.raises(ValueError):
+        dataset.read_samples(spark, "notes", f"{tmp_dir}/cw", chunk_words=0)
