@@ -60,3 +60,19 @@ def test_two_level_assembly_equals_single_level(spark):
     assert rows(c, block_size=2) == rows(c)
     assert rows(giant, block_size=64) == rows(giant)
     assert len(rows(giant)) == 1
+
+
+def test_windows_without_aqe_or_broadcast_shuffle_rows_once(spark):
+    """Static plan, no broadcast: the offset table is re-shuffled to the rows' partitioning, not the rows."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = _plan(catalog.q_message_log_windows(spark, SF))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    row_exchanges = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
+    assert len(row_exchanges) == 1, row_exchanges
