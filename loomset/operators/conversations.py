@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.functions import rules
+from loomset.session import shared_dir
 
 def message_filter(df: DataFrame, role_col: str = "role", content_col: str = "content") -> DataFrame:
     """non-empty content from a user or assistant; everything else never reaches the guardrails."""
@@ -64,68 +65,61 @@ def assemble(
     ).where(F.col("n_messages") >= min_turns)
 
 
-def ordinal_index(df: DataFrame, file_col: str, block_col: str, order_col: str, out_col: str = "i") -> DataFrame:
-    """Exact 0-based position of every row inside its file, ordered by (block, order).
+def block_counts(df: DataFrame, file_col: str, block_col: str) -> DataFrame:
+    """Pass 1 of the prefix sum: kept rows per (file, block), one small row per block.
 
-    Prefix-sum form: rows are shuffled once on (file, block) - never on file
-    alone - kept rows are counted per block, an exclusive running sum over the
-    (small) block table gives each block's offset, and the offset plus the row
-    number inside the block is the position (two passes, like ``zipWithIndex``).
-    The offset table has one row per block; it is joined back on (file, block),
-    planned as a broadcast only when its estimated size is under the broadcast
-    threshold and otherwise re-planned by AQE from the measured size, falling
-    back to a shuffle join co-partitioned with the rows.
-    Adds ``out_col`` plus ``_off`` / ``_n`` (first position and row count of the
-    block) and ``_total`` (rows of the file).
+    Catalyst prunes this branch to the columns that decide whether a row is
+    kept (no payload work such as redaction) and aggregates map-side.
     """
-    keyed = df.repartition(file_col, block_col)
-    # Pass 1 (counts) is column-pruned by Catalyst - it evaluates only what
-    # decides whether a row is kept, never the payload (e.g. redaction) - and
-    # aggregates map-side, so one row per block and task is shuffled.
-    counts = df.groupBy(file_col, block_col).agg(F.count(F.lit(1)).alias("_n"))
+    return df.groupBy(file_col, block_col).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _offsets(counts: DataFrame, file_col: str, block_col: str) -> DataFrame:
     before = Window.partitionBy(file_col).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    return counts.select(
         file_col,
         block_col,
         "_n",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(file_col)).alias("_total"),
     )
+
+
+def ordinal_index(
+    df: DataFrame, file_col: str, block_col: str, order_col: str, out_col: str = "i", counts: DataFrame | None = None
+) -> DataFrame:
+    """Exact 0-based position of every row inside its file, ordered by (block, order).
+
+    Prefix-sum form: rows are shuffled once on (file, block) - never on file
+    alone - kept rows are counted per block (:func:`block_counts`, or the
+    ``counts`` given), an exclusive running sum over that small table gives
+    each block's offset, and the offset plus the row number inside the block is
+    the position (two passes, like ``zipWithIndex``). The offset table is
+    joined back on (file, block): a broadcast only when the planner's estimate
+    or AQE's measurement says it is small, otherwise a join co-partitioned with
+    the rows (only the offset table is re-shuffled).
+    Adds ``out_col`` plus ``_off`` / ``_n`` (first position and row count of the
+    block) and ``_total`` (rows of the file).
+    """
+    keyed = df.repartition(file_col, block_col)
+    offsets = _offsets(counts if counts is not None else block_counts(df, file_col, block_col), file_col, block_col)
     inside = Window.partitionBy(file_col, block_col).orderBy(order_col)
     return keyed.join(offsets, [file_col, block_col]).withColumn(
         out_col, (F.row_number().over(inside) - 1 + F.col("_off")).cast("bigint")
     )
 
 
-def tumbling_windows(
-    df: DataFrame,
-    file_col: str,
-    block_col: str,
-    order_col: str,
-    sender_col: str,
-    content_col: str,
-    size: int = rules.LOG_WINDOW,
-    min_turns: int = rules.MIN_TURNS,
+def _assemble_windows(
+    indexed: DataFrame, file_key: str, block_key: str, sender_col: str, content_col: str, size: int, min_turns: int
 ) -> DataFrame:
-    """W1-W4 + P6: ``file_col``, ``window_index``, ``n_messages``, ``conversations``.
-
-    Kept message ``i`` of a file gets role user/assistant by ``i % 2`` and
-    content ``"{sender}: {content}"``; windows are ``i div size``; the last,
-    partial window is kept with ``min_turns`` or more messages.
-
-    A window whose messages all lie in one (file, block) is assembled where the
-    rows already are - the input is partitioned on (file, block), so no
-    shuffle. Only rows of the few windows that straddle a block boundary are
-    shuffled again, on (file, window_index), and merged there.
-    """
-    indexed = ordinal_index(df, file_col, block_col, order_col, "_i")
+    """Windows from rows carrying ``_i`` / ``_off`` / ``_n`` / ``_total`` and partitioned on (file, block)."""
     window = F.expr(f"_i div {size}")
     first = window * size
     last = F.least(first + (size - 1), F.col("_total") - 1)
     in_block = (first >= F.col("_off")) & (last < F.col("_off") + F.col("_n"))
     rows = indexed.select(
-        file_col,
-        block_col,
+        file_key,
+        block_key,
         window.cast("bigint").alias("window_index"),
         in_block.alias("_in_block"),
         F.struct(
@@ -136,22 +130,94 @@ def tumbling_windows(
     )
     local = (
         rows.where("_in_block")
-        .groupBy(file_col, block_col, "window_index")
+        .groupBy(file_key, block_key, "window_index")
         .agg(F.array_sort(F.collect_list("_item")).alias("_items"))
-        .drop(block_col)
+        .drop(block_key)
     )
     straddling = (
         rows.where(~F.col("_in_block"))
-        .groupBy(file_col, "window_index")
+        .groupBy(file_key, "window_index")
         .agg(F.array_sort(F.collect_list("_item")).alias("_items"))
     )
     return (
         local.unionByName(straddling)
         .select(
-            file_col,
+            file_key,
             "window_index",
             F.size("_items").cast("bigint").alias("n_messages"),
             _messages(F.col("_items")).alias("conversations"),
         )
         .where(F.col("n_messages") >= min_turns)
     )
+
+
+_BYTE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def broadcast_limit(spark) -> int:
+    """The session's ``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1: never broadcast)."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    number = raw.rstrip("bkmg")
+    return int(float(number) * _BYTE_UNITS.get(raw[len(number):], 1)) if number not in ("", "-") else -1
+
+
+def _windows_by_ids(
+    df: DataFrame, counts: DataFrame, file_col: str, block_col: str, order_col: str,
+    sender_col: str, content_col: str, size: int, min_turns: int,
+) -> DataFrame:
+    """Broadcast plan: the (measured, small) block table gives every block and file an integer id.
+
+    The join runs map-side before the shuffle, so the rows travel with two
+    integers instead of their file path; the paths are joined back onto the
+    finished windows. Ids are exact: ``row_number`` / ``dense_rank`` over the
+    block table (one task; it has one row per block).
+    """
+    ids = _offsets(counts, file_col, block_col).select(
+        "*",
+        F.row_number().over(Window.orderBy(file_col, block_col)).alias("_bid"),
+        F.dense_rank().over(Window.orderBy(file_col)).alias("_fid"),
+    )
+    rows = df.join(F.broadcast(ids), [file_col, block_col]).drop(file_col, block_col)
+    inside = Window.partitionBy("_bid").orderBy(order_col)
+    indexed = rows.repartition("_bid").withColumn("_i", (F.row_number().over(inside) - 1 + F.col("_off")).cast("bigint"))
+    windows = _assemble_windows(indexed, "_fid", "_bid", sender_col, content_col, size, min_turns)
+    files = ids.select("_fid", file_col).distinct()
+    return windows.join(F.broadcast(files), "_fid").select(file_col, "window_index", "n_messages", "conversations")
+
+
+def tumbling_windows(
+    df: DataFrame,
+    file_col: str,
+    block_col: str,
+    order_col: str,
+    sender_col: str,
+    content_col: str,
+    size: int = rules.LOG_WINDOW,
+    min_turns: int = rules.MIN_TURNS,
+) -> DataFrame:
+    """W1-W4 + P6: ``file_col``, ``window_index``, ``n_messages``, ``conversations``.
+
+    Kept message ``i`` of a file gets role user/assistant by ``i % 2`` and
+    content ``"{sender}: {content}"``; windows are ``i div size``; the last,
+    partial window is kept with ``min_turns`` or more messages.
+
+    Pass 1 (:func:`block_counts`) is materialised once with a reliable
+    checkpoint and its size measured. If the block table fits the session's
+    broadcast threshold it is broadcast and the rows are shuffled with integer
+    ids (:func:`_windows_by_ids`); otherwise the rows are shuffled on
+    (file, block) and joined with a co-partitioned offset table
+    (:func:`ordinal_index`). Either way, a window whose messages all lie in one
+    block is assembled where the rows already are, and only the few windows
+    that straddle a block boundary are shuffled again, on (file, window_index).
+    """
+    shared_dir(df.sparkSession)
+    counts = block_counts(df, file_col, block_col).checkpoint(eager=True)
+    measured = counts.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(F.col(file_col).cast("string"))), F.lit(0)).alias("chars")
+    ).first()
+    estimated_bytes = 2 * (measured["rows"] * 64 + measured["chars"])  # hashed relation overhead included
+    limit = broadcast_limit(df.sparkSession)
+    if 0 <= estimated_bytes <= limit:
+        return _windows_by_ids(df, counts, file_col, block_col, order_col, sender_col, content_col, size, min_turns)
+    indexed = ordinal_index(df, file_col, block_col, order_col, "_i", counts=counts)
+    return _assemble_windows(indexed, file_col, block_col, sender_col, content_col, size, min_turns)

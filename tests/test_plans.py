@@ -21,11 +21,28 @@ def test_notes_job_is_narrow(spark):
         assert plan.count(token) == 1, token
 
 
-def test_windows_never_shuffle_rows_on_file_alone(spark):
+def _exchange_keys(plan: str) -> list[list[str]]:
+    return [[c.strip().split("#")[0] for c in k.split(",")[:-1]] for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+
+
+def test_windows_broadcast_plan_shuffles_integer_ids(spark):
+    """Small block table: broadcast map-side, rows shuffled on the block id, never with the file key."""
     plan = _plan(catalog.q_message_log_windows(spark, SF))
-    keys = [[c.strip().split("#")[0] for c in k.split(",")[:-1]] for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
-    # the rows move on (file, block); an exchange on the file alone only ever feeds the
-    # running sum over the per-block offset table (one row per block)
+    keys = _exchange_keys(plan)
+    assert ["_bid"] in keys, keys
+    assert all("file" not in k for k in keys), keys
+    assert "BroadcastExchange" in plan
+
+
+def test_windows_fallback_never_shuffles_rows_on_file_alone(spark):
+    """Broadcast off: rows move on (file, block); a file-only exchange only feeds the offset running sum."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(catalog.q_message_log_windows(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    keys = _exchange_keys(plan)
     assert ["file", "block"] in keys, keys
     lines = plan.splitlines()
     checked = 0

@@ -114,8 +114,9 @@ def test_message_log_window_sizes(spark, tmp_dir, n, sizes):
     assert all(c[0][0] == "user" and (len(c) < 2 or c[1][0] == "assistant") for c in got)
 
 
-def test_message_log_prefix_sum_across_many_splits(spark, tmp_dir):
-    """Logs split into many small blocks give exactly the sequential result."""
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_message_log_prefix_sum_across_many_splits(spark, tmp_dir, broadcast):
+    """Logs split into many small blocks give exactly the sequential result, with either window plan."""
     rnd = random.Random(7)
     expected = {}
     for f in range(3):
@@ -133,7 +134,9 @@ def test_message_log_prefix_sum_across_many_splits(spark, tmp_dir):
         _write(f"{tmp_dir}/many/log{f}.txt", "\n".join(lines))
         expected[f"log{f}.txt"] = pyref.log_windows(lines)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    old_bc = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
         lines_df = message_log.read_message_log(spark, f"{tmp_dir}/many")
         assert lines_df.select("file", "block").distinct().count() > 20
@@ -141,6 +144,7 @@ def test_message_log_prefix_sum_across_many_splits(spark, tmp_dir):
         rows = samples.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_bc)
     got = {}
     for r in rows:
         path, window = r.sample_id.rsplit("#", 1)
