@@ -194,6 +194,7 @@ def tumbling_windows(
     content_col: str,
     size: int = rules.LOG_WINDOW,
     min_turns: int = rules.MIN_TURNS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """W1-W4 + P6: ``file_col``, ``window_index``, ``n_messages``, ``conversations``.
 
@@ -201,8 +202,9 @@ def tumbling_windows(
     content ``"{sender}: {content}"``; windows are ``i div size``; the last,
     partial window is kept with ``min_turns`` or more messages.
 
-    Pass 1 (:func:`block_counts`) is materialised once with a reliable
-    checkpoint and its size measured. If the block table fits the session's
+    Pass 1 (:func:`block_counts`, or ``counts`` already materialised by the
+    caller with at least ``file_col``, ``block_col``, ``_n``) is materialised
+    once with a reliable checkpoint and its size measured. If the block table fits the session's
     broadcast threshold it is broadcast and the rows are shuffled with integer
     ids (:func:`_windows_by_ids`); otherwise the rows are shuffled on
     (file, block) and joined with a co-partitioned offset table
@@ -210,8 +212,10 @@ def tumbling_windows(
     block is assembled where the rows already are, and only the few windows
     that straddle a block boundary are shuffled again, on (file, window_index).
     """
-    shared_dir(df.sparkSession)
-    counts = block_counts(df, file_col, block_col).checkpoint(eager=True)
+    if counts is None:
+        shared_dir(df.sparkSession)
+        counts = block_counts(df, file_col, block_col).checkpoint(eager=True)
+    counts = counts.select(file_col, block_col, "_n")
     measured = counts.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(F.col(file_col).cast("string"))), F.lit(0)).alias("chars")
     ).first()

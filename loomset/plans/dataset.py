@@ -20,6 +20,7 @@ from loomset.operators import formats as FMT
 from loomset.operators import guardrails as G
 from loomset.operators import notes as N
 from loomset.operators import report as R
+from loomset.session import shared_dir
 from loomset.sources import chat_tree, jsonl, message_log, notes
 
 SOURCE_KINDS = ("chat_tree", "message_log", "notes")
@@ -109,20 +110,48 @@ def table_log_samples(
     return message_log_samples(msgs, sanitize_pii, enforce_guardrails)
 
 
+def message_log_blocks(lines: DataFrame, enforce_guardrails: bool = True) -> DataFrame:
+    """Pass 1 for parsed log lines, materialised: per (file, block) the kept count ``_n`` and the rejections.
+
+    One small row per block, checkpointed in the shared folder. It serves both
+    the window positions and the exact rejection totals
+    (:func:`rejections_from_blocks`), so a run scans its input twice, not three
+    times.
+    """
+    shared_dir(lines.sparkSession)
+    judged = G.classify(lines, "content", enforce_guardrails)
+    per_block = judged.groupBy("file", "block").agg(
+        F.count_if(F.col(G.HARM).isNull()).alias("_n"), *R.rejection_exprs()
+    )
+    return per_block.checkpoint(eager=True)
+
+
+def rejections_from_blocks(blocks: DataFrame) -> DataFrame:
+    """A2/A3 totals from :func:`message_log_blocks` (an ordinary aggregate: exact under retries)."""
+    return blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in [*R.CATEGORIES, "rejected"]])
+
+
 def message_log_samples(
-    lines: DataFrame, sanitize_pii: bool = True, enforce_guardrails: bool = True, observation: Observation | None = None
+    lines: DataFrame,
+    sanitize_pii: bool = True,
+    enforce_guardrails: bool = True,
+    observation: Observation | None = None,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """S2 flow on parsed lines (``file``, ``block``, ``line_id``, ``sender``, ``content``).
 
-    An observation here sits before a shuffle: if a lost executor forces that
-    map stage to be recomputed, its metrics are counted again. ``build_dataset``
-    therefore counts message-log rejections with :func:`message_log_rejections`.
+    ``blocks`` is the materialised pass 1 (:func:`message_log_blocks`); it is
+    computed here when not given. An observation here sits before a shuffle: if
+    a lost executor forces that map stage to be recomputed, its metrics are
+    counted again, so ``build_dataset`` takes the rejections from ``blocks``.
     """
     judged = G.classify(lines, "content", enforce_guardrails)
     if observation is not None:
         judged = judged.observe(observation, *R.rejection_exprs())
     kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii)
-    windows = C.tumbling_windows(kept, "file", "block", "line_id", "sender", "content")
+    if blocks is None:
+        blocks = message_log_blocks(lines, enforce_guardrails)
+    windows = C.tumbling_windows(kept, "file", "block", "line_id", "sender", "content", counts=blocks)
     return FMT.conversation_samples(windows, F.concat_ws("#", "file", F.col("window_index").cast("string")), "message_log")
 
 
@@ -180,23 +209,29 @@ def plan_dataset(
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
-) -> tuple[DataFrame, Observation, Observation | None]:
-    """The records DataFrame of one run (not executed) with its observations.
+) -> tuple[DataFrame, Observation, Observation | DataFrame]:
+    """The records DataFrame of one run (not executed) with its sample observation and rejection counts.
 
     The sample count is observed on the writing stage itself. Rejections are
     observed on the same job where the judging also runs in that final stage
-    (notes, chat trees: no shuffle), so the input is scanned once; for message
-    logs, whose judging runs before a shuffle, the returned rejection
-    observation is ``None`` and :func:`build_dataset` counts them with an
-    exact aggregate over the judged lines (a second, column-pruned scan).
+    (notes, chat trees: no shuffle), so the input is scanned once. Message
+    logs judge before a shuffle, so their rejections are returned as a
+    one-row DataFrame summed from the materialised pass-1 block table, which is
+    exact under retries.
     """
     if dataset_format not in FMT.FORMATTERS:
         raise ValueError(f"unknown dataset format {dataset_format!r}; expected one of {sorted(FMT.FORMATTERS)}")
     if kind not in SOURCE_KINDS:
         raise ValueError(f"unknown source kind {kind!r}; expected one of {SOURCE_KINDS}")
-    rejected = Observation("rejections") if kind != "message_log" else None
     written = Observation("samples")
-    samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected)
+    if kind == "message_log":
+        lines = message_log.read_message_log(spark, path)
+        blocks = message_log_blocks(lines, enforce_guardrails)
+        samples = message_log_samples(lines, sanitize_pii, enforce_guardrails, blocks=blocks)
+        rejected: Observation | DataFrame = rejections_from_blocks(blocks)
+    else:
+        rejected = Observation("rejections")
+        samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected)
     records = FMT.format_samples(samples, dataset_format).observe(written, F.count(F.lit(1)).alias("samples"))
     return records, written, rejected
 
@@ -217,10 +252,7 @@ def build_dataset(
         spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words
     )
     jsonl.write_jsonl(records, output, compression=compression)
-    if rejected is not None:
-        counts = rejected.get
-    else:
-        counts = message_log_rejections(message_log.read_message_log(spark, path), enforce_guardrails).first().asDict()
+    counts = rejected.get if isinstance(rejected, Observation) else rejected.first().asDict()
     summary = {
         "source": kind,
         "dataset_format": dataset_format,
