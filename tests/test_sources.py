@@ -278,3 +278,22 @@ def test_chat_tree_repeated_node_id(spark, tmp_dir):
     want = [[(m["message"]["author"]["role"], m["message"]["content"]["parts"][0]) for m in json.loads(text)[0]["mapping"].values()]]
     assert want == [[("user", "new"), ("assistant", "b")]]
     assert _convs(dataset.chat_tree_samples(chat_tree.read_chat_tree(spark, f"{tmp_dir}/dup"))) == want
+
+
+def test_block_table_rejections_equal_direct_counts(spark, tmp_dir):
+    rnd = random.Random(5)
+    phrases = ["ddos attack", "pipe bomb", "nsfw content", "murder plan", "hello", "fine", "ok then"]
+    lines = [f"[1/2/24, 10:00:00 AM] S: {rnd.choice(phrases)} {i}" for i in range(300)]
+    _write(f"{tmp_dir}/rej/a.txt", "\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        parsed = message_log.read_message_log(spark, f"{tmp_dir}/rej")
+        blocks = dataset.message_log_blocks(parsed)
+        from_blocks = dataset.rejections_from_blocks(blocks).first().asDict()
+        direct = dataset.message_log_rejections(parsed).first().asDict()
+        n_blocks = blocks.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert n_blocks > 5
+    assert from_blocks == direct and from_blocks["rejected"] > 100
