@@ -5,11 +5,14 @@ Two ways to turn ordered messages into conversation samples:
 * :func:`assemble` - one sample per conversation key (chat messages). A
   sample is one output row by definition, so the group is collected with
   ``collect_list`` (partial aggregation map-side, then one shuffle on the key)
-  and ordered with ``array_sort``.
+  and ordered with ``array_sort``; ``block_size`` spreads the sorting of giant
+  conversations over many tasks.
 * :func:`tumbling_windows` - consecutive runs of ``size`` kept messages of one
-  log (message logs). The position of a message inside its log is computed
-  with a prefix sum over blocks (:func:`ordinal_index`), so a single huge log
-  is spread over many tasks instead of one ``Window.partitionBy(file)`` task.
+  log (message logs). The position of a message inside its log is a prefix
+  sum over blocks (splits): a materialised per-block count table, broadcast
+  with integer ids when its measured size allows (:func:`_windows_by_ids`),
+  else joined co-partitioned (:func:`ordinal_index`). A single huge log is
+  spread over many tasks instead of one ``Window.partitionBy(file)`` task.
 """
 
 from __future__ import annotations
