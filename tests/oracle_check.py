@@ -7,6 +7,7 @@ Usable from pytest (:func:`compare`) and as a script::
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 import time
@@ -31,15 +32,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    """One comparable text per value: NULL and NaN alike, numpy scalars as Python values."""
+    if v is None or (isinstance(v, float) and math.isnan(v)):
         return "<null>"
-    try:
-        import math
-
-        if isinstance(v, float) and math.isnan(v):
-            return "<null>"
-    except Exception:
-        pass
     if hasattr(v, "item"):
         v = v.item()
     return repr(v)
