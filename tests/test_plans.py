@@ -93,3 +93,14 @@ def test_windows_without_aqe_or_broadcast_shuffle_rows_once(spark):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
     row_exchanges = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
     assert len(row_exchanges) == 1, row_exchanges
+
+
+def test_spread_only_coarse_and_large_inputs(spark):
+    from loomset.sources import tables
+
+    target = spark.sparkContext.defaultParallelism
+    big = tables.read_table(spark, "/root/testdata/sf0.1", "documents", "doc_id")  # one row group, ~15 MB
+    tiny = tables.read_table(spark, "/root/testdata/sf0.001", "conversations", "conv_id")  # ~28 KB
+    assert big.rdd.getNumPartitions() == target
+    assert tiny.rdd.getNumPartitions() == 1
+    assert big.count() == 10000
