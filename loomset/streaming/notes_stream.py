@@ -24,6 +24,8 @@ from loomset.plans import dataset
 from loomset.session import scratch_path
 from loomset.sources.notes import extension_glob
 
+MAX_FILES_PER_TRIGGER = 100_000
+
 
 def notes_stream_writer(
     spark: SparkSession,
@@ -34,9 +36,13 @@ def notes_stream_writer(
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
     checkpoint: str | None = None,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER,
 ) -> DataStreamWriter:
-    """A configured (not started) stream: call ``.trigger(...)`` / ``.start()`` on it."""
+    """A configured (not started) stream: call ``.trigger(...)`` / ``.start()`` on it.
+
+    ``max_files_per_trigger`` bounds one micro-batch (its file list and plan);
+    an available-now run still processes every file, in several batches.
+    """
     reader = (
         spark.readStream.format("text")
         .option("wholetext", True)

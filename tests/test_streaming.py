@@ -28,3 +28,12 @@ def test_notes_stream_incremental_exactly_once(spark, tmp_dir):
     run_notes_available_now(spark, src, out, ckpt, dataset_format="alpaca")
     recs = _records(out)
     assert len(recs) == 2 and sorted(r["instruction"][-5:] for r in recs) == ["a.txt", "d.txt"]
+
+
+def test_notes_stream_bounded_batches(spark, tmp_dir):
+    src, out, ckpt = f"{tmp_dir}/in2", f"{tmp_dir}/out2", f"{tmp_dir}/ckpt2"
+    for i in range(5):
+        _write(f"{src}/n{i}.md", f"note {i} " * 20)
+    batches = run_notes_available_now(spark, src, out, ckpt, max_files_per_trigger=2)
+    assert len(batches) == 3  # 2 + 2 + 1 files
+    assert len(_records(out)) == 5
