@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import bpe
+from loomset.llm import bpe, quality_classifier, quality_rules
 from loomset.llm.common import table
 
 
@@ -21,11 +21,27 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trusted target: documents labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), trusted_documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
 }
 
