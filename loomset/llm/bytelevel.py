@@ -8,6 +8,7 @@ import unicodedata
 import regex
 
 #: The byte-level pre-tokeniser's pattern (contractions, letters, numbers, other, white space).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 GENERAL = regex.compile(
     CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
