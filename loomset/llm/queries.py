@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import bpe, packing, quality_classifier, quality_rules, simhash
+from loomset.llm import bpe, packing, quality_classifier, quality_rules, simhash, suffix_array
 from loomset.llm.common import table
 
 
@@ -26,6 +26,10 @@ def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_simhash": op2_simhash,
     "op6_packing": op6_packing,
     "op8_quality_classifier": op8_quality_classifier,
