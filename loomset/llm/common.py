@@ -72,3 +72,9 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 def parts_for(total: float, each: float, least: int = 1) -> int:
     """Number of parts so that each holds about ``each`` of ``total``; it grows with the input and has no ceiling."""
     return max(least, math.ceil(total / each))
+
+
+def is_held_out(modulus: int, remainder: int, doc_id: str = "doc_id"):
+    """Whether crc32 of the id's text leaves the remainder; a null id counts as the empty text."""
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % F.lit(modulus) == F.lit(remainder)

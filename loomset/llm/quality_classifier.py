@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.llm.common import doc_bytes, map_rows, spread
+from loomset.llm.common import doc_bytes, is_held_out, map_rows, spread
 
 SAMPLE = 4096
 EXCERPT = 8192
@@ -69,18 +69,12 @@ def _features(data: bytes, good: bytes, bad: bytes) -> list[float]:
     return [(b - g) / (b + g), min(2.0, g / len(data)), min(2.0, b / len(data))]
 
 
-def is_held_out(doc_id: str = "doc_id", modulus: int = 3, remainder: int = 1):
-    """Whether crc32 of the id's text leaves the remainder; a null id counts as the empty text."""
-    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    return F.crc32(text.cast("binary")) % F.lit(modulus) == F.lit(remainder)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
     """At most ``sample`` (label, excerpt) of each label, and the number of training labels of each; no held-out rows."""
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where("doc_id is not null and quality in (0, 1)")
-        .where(~is_held_out())
+        .where(~is_held_out(3, 1))
         .distinct()
     )
     count = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
@@ -153,7 +147,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scores = [probability(d, shared.value) for d in batch["data"]]
         return {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
-    rows = doc_bytes(spread(docs.select("doc_id", "text")), is_held_out().alias("held_out"))
+    rows = doc_bytes(spread(docs.select("doc_id", "text")), is_held_out(3, 1).alias("held_out"))
     return map_rows(rows, "doc_id long, held_out boolean, score double, predicted int", step)
 
 

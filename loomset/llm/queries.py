@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomset.llm import bpe, packing, quality_classifier, quality_rules, simhash, suffix_array
-from loomset.llm.common import table
+from loomset.llm import bpe, language_model, packing, quality_classifier, quality_rules, simhash, suffix_array
+from loomset.llm.common import is_held_out, table
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -34,6 +34,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), is_held_out(7, 2))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()).drop("copy")
 
@@ -54,6 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_simhash": op2_simhash,
+    "op3_language_model": op3_language_model,
     "op6_packing": op6_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,

@@ -32,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.llm.common import arrow_schema, doc_bytes, materialise, parts_for, spread
+from loomset.llm.exchange import EXCHANGE, batch_rows, by_pack, exchange_batch, expand, squeeze
 from loomset.llm.wordhash import mix
 
 LENGTH = 50
@@ -52,23 +52,6 @@ SLICE = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob."""
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _expand(blob: bytes, *kinds) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    sizes = np.frombuffer(data, np.int64, n, 8)
-    at, out = 8 * (n + 1), []
-    for size, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(data, kind, int(size) // np.dtype(kind).itemsize, at))
-        at += int(size)
-    return out
-
-
 # --- packs and anchors -----------------------------------------------------------------------------------------------
 
 
@@ -132,7 +115,7 @@ def packs(docs: DataFrame, length: int) -> DataFrame:
             lengths = np.array([len(t) for t in texts], np.int64)
             null = np.array([i is None for i in ids], np.uint8)
             number = np.array([NO_ID if i is None else i for i in ids], np.int64)
-            blob = _squeeze(number, null, lengths, data, *anchors(data, lengths, length))
+            blob = squeeze(number, null, lengths, data, *anchors(data, lengths, length))
             return pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64()), pa.array([blob], pa.binary())], names=["size", "blob"])
 
         for batch in batches:
@@ -154,7 +137,7 @@ class Pack:
     """A pack unfolded: its texts, its anchor runs in order, and what follows from them alike in every step."""
 
     def __init__(self, blob: bytes, length: int):
-        self.ids, null, self.lengths, self.data, counts, shifts = _expand(blob, np.int64, np.uint8, np.int64, np.uint8, np.uint8, np.uint8)
+        self.ids, null, self.lengths, self.data, counts, shifts = expand(blob, np.int64, np.uint8, np.int64, np.uint8, np.uint8, np.uint8)
         self.null = null.astype(bool)
         self.length = length
         self.counts, self.shifts = counts.astype(np.int64), shifts.astype(np.int64)
@@ -189,23 +172,10 @@ def _key_order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray,
     return found[order], place[inverse], bounds
 
 
-def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    for k in range(batch.num_rows):
-        yield tuple(batch[n][k].as_py() for n in names)
-
-
-EXCHANGE = "pack long, bucket int, blob binary"
-
-
-def _exchange_batch(pack: int, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    columns = [pa.array([pack] * len(blobs), pa.int64()), pa.array([b for b, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["pack", "bucket", "blob"])
-
-
 def _anchor_keys(packed: DataFrame, buckets: int, length: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, blob in _rows(batch, "pack", "blob"):
+            for number, blob in batch_rows(batch, "pack", "blob"):
                 pack = Pack(blob, length)
                 found, place, bounds = _key_order(pack.keys(), buckets)
                 several = np.zeros(len(found), bool)  # in several texts of this pack
@@ -219,8 +189,8 @@ def _anchor_keys(packed: DataFrame, buckets: int, length: int) -> DataFrame:
                     own = found[bounds[b] : bounds[b + 1]]
                     if len(own):
                         five = own.view(np.uint8).reshape(-1, 8)[:, :5]
-                        blobs.append((b, _squeeze(five, np.packbits(several[bounds[b] : bounds[b + 1]]))))
-                yield _exchange_batch(number, blobs)
+                        blobs.append((b, squeeze(five, np.packbits(several[bounds[b] : bounds[b + 1]]))))
+                yield exchange_batch(number, blobs)
 
     return packed.select("pack", "blob").mapInArrow(send, EXCHANGE)
 
@@ -231,7 +201,7 @@ def _repeated(keys: DataFrame) -> DataFrame:
     def judge(table: pa.Table) -> pa.Table:
         parts, flags = [], []
         for blob in table["blob"]:
-            five, bits = _expand(blob.as_py(), np.uint8, np.uint8)
+            five, bits = expand(blob.as_py(), np.uint8, np.uint8)
             wide = np.zeros((len(five) // 5, 8), np.uint8)
             wide[:, :5] = five.reshape(-1, 5)
             parts.append(wide.view("<u8").ravel())
@@ -246,7 +216,7 @@ def _repeated(keys: DataFrame) -> DataFrame:
         repeated[order] |= same
         out, at = [], 0
         for part in parts:
-            out.append(_squeeze(np.packbits(repeated[at : at + len(part)])))
+            out.append(squeeze(np.packbits(repeated[at : at + len(part)])))
             at += len(part)
         return pa.table([table["pack"], table["bucket"], pa.array(out, pa.binary())], names=["pack", "bucket", "blob"])
 
@@ -268,7 +238,7 @@ def _units(pack: Pack, bits: dict[int, bytes], buckets: int) -> dict[int, tuple[
     repeated = np.zeros(len(found), bool)
     for b, blob in bits.items():
         n = bounds[b + 1] - bounds[b]
-        repeated[bounds[b] : bounds[b + 1]] = np.unpackbits(_expand(blob, np.uint8)[0], count=n).astype(bool)
+        repeated[bounds[b] : bounds[b + 1]] = np.unpackbits(expand(blob, np.uint8)[0], count=n).astype(bool)
     runs = np.flatnonzero(repeated[place])
     bucket = _bucket_of(keys[runs], buckets)
     order = np.argsort(bucket, kind="stable")
@@ -303,11 +273,11 @@ def _units(pack: Pack, bits: dict[int, bytes], buckets: int) -> dict[int, tuple[
 def _snippets(joined: DataFrame, buckets: int, length: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, blob, bits in _rows(batch, "pack", "blob", "parts"):
+            for number, blob, bits in batch_rows(batch, "pack", "blob", "parts"):
                 units = _units(Pack(blob, length), {p["bucket"]: p["blob"] for p in bits or []}, buckets)
-                blobs = [(b, _squeeze(distinct, which, ids)) for b, (_, _, distinct, which, ids) in units.items()]
+                blobs = [(b, squeeze(distinct, which, ids)) for b, (_, _, distinct, which, ids) in units.items()]
                 if blobs:
-                    yield _exchange_batch(number, blobs)
+                    yield exchange_batch(number, blobs)
 
     return joined.mapInArrow(send, EXCHANGE)
 
@@ -396,7 +366,7 @@ def _verdicts(snippets: DataFrame, length: int) -> DataFrame:
     def judge(table: pa.Table) -> pa.Table:
         rows, which, ids, sizes, at = [], [], [], [], 0
         for blob in table["blob"]:
-            r, w, i = _expand(blob.as_py(), np.uint8, np.uint32, np.int64)
+            r, w, i = expand(blob.as_py(), np.uint8, np.uint32, np.int64)
             r = r.reshape(-1, 2 * length - GRAM + 2)
             rows.append(r)
             which.append(w.astype(np.int64) + at)
@@ -404,7 +374,7 @@ def _verdicts(snippets: DataFrame, length: int) -> DataFrame:
             sizes.append(len(i))
             at += len(r)
         bits = window_verdicts(np.concatenate(rows), np.concatenate(which), np.concatenate(ids), length)
-        blobs = [_squeeze(part) for part in np.split(bits, np.cumsum(sizes)[:-1])]
+        blobs = [squeeze(part) for part in np.split(bits, np.cumsum(sizes)[:-1])]
         return pa.table([table["pack"], table["bucket"], pa.array(blobs, pa.binary())], names=["pack", "bucket", "blob"])
 
     return snippets.groupBy("bucket").applyInArrow(judge, EXCHANGE)
@@ -413,15 +383,11 @@ def _verdicts(snippets: DataFrame, length: int) -> DataFrame:
 # --- the whole -------------------------------------------------------------------------------------------------------
 
 
-def _by_pack(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("pack").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))  # one row per bucket at most
-
-
 def removed_spans(pack: Pack, bits: dict[int, bytes], verdicts: dict[int, bytes], buckets: int) -> np.ndarray:
     """True for each byte of the pack that is to go."""
     change = np.zeros(len(pack.data) + 1, np.int32)
     for b, (runs, unit, *_) in _units(pack, bits, buckets).items():
-        mask = _expand(verdicts[b], np.uint64)[0][unit]
+        mask = expand(verdicts[b], np.uint64)[0][unit]
         for k in range(int(pack.counts[runs].max())):
             hit = pack.start[runs[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)]] + k
             change[hit] += 1  # a window starts at most once
@@ -440,9 +406,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
     packed = packs(docs, length)
     total = packed.agg(F.sum("size")).first()[0] or 0
     buckets = parts_for(total, BUCKET, 24)
-    bits = _by_pack(_repeated(_anchor_keys(packed, buckets, length)), "parts")
+    bits = by_pack(_repeated(_anchor_keys(packed, buckets, length)), "parts")
     joined = materialise(bits)
-    verdicts = _by_pack(_verdicts(_snippets(packed.join(joined, "pack"), buckets, length), length), "verdicts")
+    verdicts = by_pack(_verdicts(_snippets(packed.join(joined, "pack"), buckets, length), length), "verdicts")
     verdicts = materialise(verdicts)
     schema = RESULT + (", spans array<struct<start: long, end: long>>, text_hash long, kept binary" if with_text else "")
     target = arrow_schema(docs.sparkSession, schema)
@@ -451,7 +417,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> Dat
         import xxhash
 
         for batch in batches:
-            for blob, parts, found in _rows(batch, "blob", "parts", "verdicts"):
+            for blob, parts, found in batch_rows(batch, "blob", "parts", "verdicts"):
                 pack = Pack(blob, length)
                 found = {v["bucket"]: v["blob"] for v in found or []}
                 gone = removed_spans(pack, {p["bucket"]: p["blob"] for p in parts or []}, found, buckets)
