@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomset.llm import bpe, language_model, packing, quality_classifier, quality_rules, simhash, suffix_array, topk
+from loomset.llm import bpe, chat_trees, language_model, packing, quality_classifier, quality_rules, simhash, suffix_array, topk
 from loomset.llm.common import is_held_out, table
 
 
@@ -46,6 +47,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()).drop("copy")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(chat_trees.control_conversation(spark))
+    # rows without an id are one conversation; op7's trees need a key that is not null
+    named = turns.withColumn("tree", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    found = chat_trees.digest(chat_trees.format_trees(chat_trees.chain(named, "tree", "turn")))
+    return found.withColumn("conv_id", F.expr("try_cast(nullif(conv_id, '') as long)"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -65,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_model": op3_language_model,
     "op4_topk": op4_topk,
     "op6_packing": op6_packing,
+    "op7_chat": op7_chat,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
@@ -86,4 +97,23 @@ ORACLE: dict[str, str] = {
             FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op7_chat": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+            FROM (SELECT conv_id, turn, role, text FROM conversations
+                  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+                  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        marked AS (
+            SELECT *, 2 * length(role) - length(replace(role, '\', '')) + len(regexp_extract_all(role, '[<\[](/?s>|/?INST\]|ROLE\])')) AS safe_role,
+                   2 * length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '[<\[](/?s>|/?INST\]|ROLE\])')) AS safe_text
+            FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN safe_text + 7
+                             ELSE safe_role + safe_text + 19 END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id
+    """,
 }
