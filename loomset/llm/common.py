@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import math
-import re
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import loomset
 from loomset.session import shared_dir
 
-#: A word is a run of bytes other than ASCII white space; ``bytes.split()`` cuts exactly there.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-WORD = re.compile(WORD_PATTERN)
-
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once into the cluster's shared folder (reliable checkpoint, survives executors)."""
@@ -23,17 +23,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers once, for sessions that were started without it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomset_shipped", False):
+        return
+    top = Path(loomset.__file__).parent
+    path = os.path.join(tempfile.mkdtemp(prefix="loomset-ship-"), "loomset.zip")  # read by the driver's own file server
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, str(file.relative_to(top.parent)))
+    sc.addPyFile(path)
+    sc._loomset_shipped = True
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size estimate of ``df`` (file sizes of a scan); planning only, runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out evenly when the scan has fewer splits than the session has cores (small or badly split files)."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

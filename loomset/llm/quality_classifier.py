@@ -22,9 +22,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomset.llm.common import doc_bytes, is_held_out, map_rows, spread
 
@@ -155,13 +157,11 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spare = "".join(docs.columns) + "_score"  # clashes with no column
-    schema = docs.schema.add(spare, "double")
+    schema = StructType([*docs.schema.fields, StructField(spare, DoubleType())])
 
     def step(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            scores = [probability((t or "").encode(), shared.value) for t in batch["text"].to_pylist()]
+            scores = [probability(t or b"", shared.value) for t in batch["text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, spare])
 
-    return docs.mapInArrow(step, schema).where(F.col(spare) >= threshold).drop(spare)
+    return spread(docs).mapInArrow(step, schema).where(F.col(f"`{spare}`") >= threshold).drop(spare)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import bpe, chat_trees, language_model, packing, quality_classifier, quality_rules, simhash, suffix_array, topk
+from loomset.llm import bpe, chat_trees, language_model, packing, pii, quality_classifier, quality_rules, simhash, suffix_array, topk
 from loomset.llm.common import is_held_out, table
 
 
@@ -43,6 +43,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, modulus=20, scale=64)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.counts(pii.mask(docs, pii.default_key(), found="found"), "found")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path()).drop("copy")
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_language_model": op3_language_model,
     "op4_topk": op4_topk,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_chat": op7_chat,
     "op8_quality_classifier": op8_quality_classifier,

@@ -21,8 +21,8 @@ list of ids. Anchors only choose the bucket; no window is skipped.
 
 Defined cases: a null or empty text, or one shorter than ``length``, loses nothing; matches never cross documents; rows
 with the same doc_id do not remove each other's bytes; a null doc_id counts as larger than all others; an empty table
-gives no rows; a cut inside a UTF-8 character leaves its other bytes (``text`` then shows U+FFFD in their place);
-further columns are ignored by :func:`dedup` and carried along by :func:`strip_repeats`.
+gives no rows; repeated rows of one doc_id stay as they are; further columns are ignored by :func:`dedup` and carried
+along by :func:`strip_repeats`, which also drops what is left of a UTF-8 character that a cut divides.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomset.llm.common import arrow_schema, doc_bytes, materialise, parts_for, spread
 from loomset.llm.exchange import EXCHANGE, batch_rows, by_pack, exchange_batch, expand, squeeze
@@ -102,12 +103,14 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndar
     return join(counts).astype(np.uint8), join(shifts).astype(np.uint8)
 
 
-def packs(docs: DataFrame, length: int) -> DataFrame:
-    """``pack, size, blob``: whole documents of about ``PACK`` bytes together, with their anchor runs."""
+def packs(rows: DataFrame, length: int) -> DataFrame:
+    """``pack, size, blob, rest``: whole documents (``doc_id``, ``data``, ``rest``) of about ``PACK`` bytes together, with
+    their anchor runs and what is carried along."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[bytes] = []
+        rests: list[pa.Array] = []
         held = 0
 
         def row() -> pa.RecordBatch:
@@ -116,21 +119,41 @@ def packs(docs: DataFrame, length: int) -> DataFrame:
             null = np.array([i is None for i in ids], np.uint8)
             number = np.array([NO_ID if i is None else i for i in ids], np.int64)
             blob = squeeze(number, null, lengths, data, *anchors(data, lengths, length))
-            return pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64()), pa.array([blob], pa.binary())], names=["size", "blob"])
+            rest = _store(pa.concat_arrays(rests)) if rests else None
+            values = [pa.array([len(data)], pa.int64()), pa.array([blob], pa.binary()), pa.array([rest], pa.binary())]
+            return pa.RecordBatch.from_arrays(values, names=["size", "blob", "rest"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["data"]):
+            carried = batch["rest"] if "rest" in batch.schema.names else None
+            from_row = 0
+            for at, (doc_id, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["data"])):
                 ids.append(doc_id)
                 texts.append(text.as_py())
                 held += len(texts[-1])
                 if held >= PACK:
+                    if carried is not None:
+                        rests.append(carried.slice(from_row, at + 1 - from_row))
+                    from_row = at + 1
                     yield row()
-                    ids, texts, held = [], [], 0
+                    ids, texts, rests, held = [], [], [], 0
+            if carried is not None and from_row < batch.num_rows:
+                rests.append(carried.slice(from_row))
         if ids:
             yield row()
 
-    rows = doc_bytes(spread(docs.select("doc_id", "text"))).mapInArrow(fill, "size long, blob binary")
-    return materialise(rows.withColumn("pack", F.monotonically_increasing_id()))
+    return materialise(rows.mapInArrow(fill, "size long, blob binary, rest binary").withColumn("pack", F.monotonically_increasing_id()))
+
+
+def _store(rows: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([rows], names=["rest"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _restore(blob: bytes) -> pa.Array:
+    return pa.ipc.open_stream(blob).read_all()["rest"].combine_chunks()
 
 
 class Pack:
@@ -398,43 +421,60 @@ def removed_spans(pack: Pack, bits: dict[int, bytes], verdicts: dict[int, bytes]
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_text`` also the removed spans
-    (``spans``: start and end bytes), the hash of the input text (``text_hash``, XXH64 with seed 42) and ``kept`` (bytes)."""
+def _run(rows: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """Packs with the verdicts on their windows (columns blob, rest, parts, verdicts), and the number of buckets."""
     if not GRAM < length <= GRAM + 63:
         raise ValueError(f"length must be over {GRAM} and at most {GRAM + 63}")
-    packed = packs(docs, length)
-    total = packed.agg(F.sum("size")).first()[0] or 0
-    buckets = parts_for(total, BUCKET, 24)
-    bits = by_pack(_repeated(_anchor_keys(packed, buckets, length)), "parts")
-    joined = materialise(bits)
-    verdicts = by_pack(_verdicts(_snippets(packed.join(joined, "pack"), buckets, length), length), "verdicts")
-    verdicts = materialise(verdicts)
-    schema = RESULT + (", spans array<struct<start: long, end: long>>, text_hash long, kept binary" if with_text else "")
+    packed = packs(rows, length)
+    buckets = parts_for(packed.agg(F.sum("size")).first()[0] or 0, BUCKET, 24)
+    parts = materialise(by_pack(_repeated(_anchor_keys(packed, buckets, length)), "parts"))
+    sent = packed.select("pack", "blob").join(parts, "pack")
+    verdicts = materialise(by_pack(_verdicts(_snippets(sent, buckets, length), length), "verdicts"))
+    return packed.drop("size").join(parts, "pack", "left").join(verdicts, "pack", "left"), buckets
+
+
+def _documents(blob: bytes, parts, verdicts, buckets: int, length: int) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
+    """(doc_id, bytes, which of them go) of a pack's documents, in order."""
+    pack = Pack(blob, length)
+    gone = removed_spans(pack, {p["bucket"]: p["blob"] for p in parts or []}, {v["bucket"]: v["blob"] for v in verdicts or []}, buckets)
+    end = 0
+    for doc_id, null, n in zip(pack.ids.tolist(), pack.null.tolist(), pack.lengths.tolist()):
+        yield None if null else doc_id, pack.data[end : end + n], gone[end : end + n]
+        end += n
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, with_spans: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_spans`` also ``spans`` (start and end of
+    each removed run, in bytes) and ``kept`` (the remaining bytes)."""
+    found, buckets = _run(doc_bytes(spread(docs.select("doc_id", "text"))), length)
+    schema = RESULT + (", spans array<struct<start: long, end: long>>, kept binary" if with_spans else "")
     target = arrow_schema(docs.sparkSession, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            for blob, parts, found in batch_rows(batch, "blob", "parts", "verdicts"):
-                pack = Pack(blob, length)
-                found = {v["bucket"]: v["blob"] for v in found or []}
-                gone = removed_spans(pack, {p["bucket"]: p["blob"] for p in parts or []}, found, buckets)
-                out: dict[str, list] = {f.name: [] for f in target}
-                end = 0
-                for doc_id, null, n in zip(pack.ids.tolist(), pack.null.tolist(), pack.lengths.tolist()):
-                    text, away = pack.data[end : end + n], gone[end : end + n]
-                    end += n
+            for blob, parts, verdicts in batch_rows(batch, "blob", "parts", "verdicts"):
+                out: list[tuple] = []
+                for doc_id, text, away in _documents(blob, parts, verdicts, buckets, length):
                     edge = np.flatnonzero(np.diff(away, prepend=False, append=False)) if away.any() else np.zeros(0, np.int64)
                     kept = (text[~away] if len(edge) else text).tobytes()
-                    row = [None if null else doc_id, n, n - len(kept), len(edge) // 2, hashlib.sha256(kept).hexdigest()]
-                    if with_text:
-                        spans = [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()]
-                        row += [spans, np.uint64(xxhash.xxh64_intdigest(text.tobytes(), 42)).astype(np.int64).item(), kept]
-                    for name, value in zip(out, row):
-                        out[name].append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
-
-    every = packed.select("pack", "blob").join(joined, "pack", "left").join(verdicts, "pack", "left")
-    return every.mapInArrow(cut, schema)
+                    row = (doc_id, len(text), len(text) - len(kept), len(edge) // 2, hashlib.sha256(kept).hexdigest())
+                    out.append(row + (([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()], kept) if with_spans else ()))
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), target)], schema=target)
+
+    return found.select("blob", "parts", "verdicts").mapInArrow(cut, schema)
+
+
+def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """All rows and columns of ``docs``, with what is repeated from documents with smaller ids taken out of ``text``."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found, buckets = _run(doc_bytes(spread(docs), rest.alias("rest")), length)
+    schema = StructType([StructField("rest", StructType([f for f in docs.schema.fields if f.name != "text"])), StructField("text", StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, carried, parts, verdicts in batch_rows(batch, "blob", "rest", "parts", "verdicts"):
+                texts = [t[~away].tobytes().decode("utf-8", "ignore") for _, t, away in _documents(blob, parts, verdicts, buckets, length)]
+                yield pa.RecordBatch.from_arrays([_restore(carried), pa.array(texts, pa.string())], names=["rest", "text"])
+
+    out = found.select("blob", "rest", "parts", "verdicts").mapInArrow(cut, schema)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns))
