@@ -85,8 +85,14 @@ WHITESPACE_CLASS = "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE_CHARS)
 WS = "[" + WHITESPACE_CLASS + "]"
 
 
-def _expand_whitespace(pattern: str) -> str:
-    r"""Replace ``\s`` by the explicit whitespace class, inside or outside ``[...]``."""
+# Python's ``\w``: letters, numbers of every kind and the underscore. Java's ``(?U)\w``, which its ``\b`` looks at, also
+# has combining marks and joiners and lacks other numerals, so ``\b`` is spelled out over Python's class.
+WORD_CLASS = r"[\p{L}\p{N}_]"
+BOUNDARY = rf"(?:(?<={WORD_CLASS})(?!{WORD_CLASS})|(?<!{WORD_CLASS})(?={WORD_CLASS}))"
+
+
+def _expand_whitespace(pattern: str, boundary: str = r"\b") -> str:
+    r"""Replace ``\s`` by the explicit whitespace class, inside or outside ``[...]``, and ``\b`` by ``boundary``."""
     out: list[str] = []
     in_class = False
     i = 0
@@ -96,6 +102,8 @@ def _expand_whitespace(pattern: str) -> str:
             esc = pattern[i : i + 2]
             if esc == r"\s":
                 out.append(WHITESPACE_CLASS if in_class else WS)
+            elif esc == r"\b" and not in_class:
+                out.append(boundary)
             else:
                 out.append(esc)
             i += 2
@@ -112,12 +120,12 @@ def _expand_whitespace(pattern: str) -> str:
 def java_regex(pattern: str, dotall: bool = False) -> str:
     r"""Python ``re`` (str) pattern -> JVM pattern with the same matches.
 
-    ``(?U)`` makes ``\d``, ``\w`` and ``\b`` Unicode-aware as in Python; ``\s``
-    becomes the explicit Python whitespace class. With ``dotall`` a trailing
+    ``(?U)`` makes ``\d`` Unicode-aware as in Python; ``\b`` and ``\s`` become
+    explicit forms over Python's word and whitespace classes. With ``dotall`` a trailing
     ``$`` becomes ``\z`` and ``.`` matches every code point, which is what a
     Python pattern sees on one already-split line.
     """
-    body = _expand_whitespace(pattern)
+    body = _expand_whitespace(pattern, BOUNDARY)
     if dotall and body.endswith("$"):
         body = body[:-1] + r"\z"
     return ("(?Us)" if dotall else "(?U)") + body
@@ -180,5 +188,11 @@ def any_harm_regex(dialect: str = "java") -> str:
     A cheap pre-filter for clean text; the category itself is decided by the
     original per-category patterns.
     """
-    pattern = r"\b" + phrase_trie(harm_phrases()) + r"\b"
-    return java_regex(pattern) if dialect == "java" else re2_regex(pattern)
+    phrases = harm_phrases()
+    trie = phrase_trie(phrases)
+    if dialect != "java":
+        return re2_regex(r"\b" + trie + r"\b")
+    if not all(re.match(r"\w", p[0]) and re.match(r"\w", p[-1]) for p in phrases):
+        raise ValueError("a harm phrase starts or ends with a character that is no word character")
+    # next to a word character the boundary has one side only
+    return java_regex(f"(?<!{WORD_CLASS}){trie}(?!{WORD_CLASS})")

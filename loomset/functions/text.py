@@ -15,15 +15,20 @@ from loomset.functions import rules
 
 _WS_RUN = rules.WS + "+"
 _FFFD = "\ufffd"
+_MARK = "\ufdd0"  # a noncharacter
 
 
 def clean_utf8(c: Column) -> Column:
     """Drop invalid UTF-8 byte sequences, like decoding with ``errors="ignore"``.
 
-    Valid strings pass untouched (a genuine U+FFFD stays); only strings that
-    carry invalid bytes are repaired and lose their replacement characters.
+    Valid strings pass untouched. In strings that carry invalid bytes a genuine
+    U+FFFD is set aside under a mark before the repair, whose own U+FFFD then go;
+    a mark that the text itself has is set aside in the same way.
     """
-    return F.when(F.is_valid_utf8(c), c).otherwise(F.regexp_replace(F.make_valid_utf8(c), _FFFD, ""))
+    marked = F.replace(F.replace(c, F.lit(_MARK), F.lit(_MARK + "0")), F.lit(_FFFD), F.lit(_MARK + "1"))
+    repaired = F.replace(F.make_valid_utf8(marked), F.lit(_FFFD), F.lit(""))
+    restored = F.replace(F.replace(repaired, F.lit(_MARK + "1"), F.lit(_FFFD)), F.lit(_MARK + "0"), F.lit(_MARK))
+    return F.when(F.is_valid_utf8(c), c).otherwise(restored)
 
 
 def strip(c: Column) -> Column:
@@ -99,7 +104,3 @@ def chunks(word_array: Column, size: int = rules.DEFAULT_CHUNK_WORDS) -> Column:
         F.array().cast("array<string>")
     )
 
-
-def prefixed(sender: Column, content: Column) -> Column:
-    """``f"{sender}: {content}"``."""
-    return F.concat(sender, F.lit(": "), content)

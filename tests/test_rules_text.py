@@ -79,15 +79,17 @@ def test_clean_utf8(spark, tmp_dir):
     p = f"{tmp_dir}/bad.txt"
     with open(p, "wb") as f:
         f.write(b"a\xff\xc3(b\xe2\x82 end \xef\xbf\xbd")
-    good = f"{tmp_dir}/good.txt"
-    with open(good, "wb") as f:
-        f.write("ok �".encode())
-    rows = spark.read.text([p, good], wholetext=True).select(T.clean_utf8(F.col("value")).alias("v")).collect()
-    got = sorted(r.v for r in rows)
-    assert got == sorted([b"a\xff\xc3(b\xe2\x82 end \xef\xbf\xbd".decode("utf-8", errors="ignore").replace("�", ""), "ok �"])
+    others = [b"ok \xef\xbf\xbd", b"ok \xef\xbf\xbd and bad \xff", "mark \ufdd0 \ufdd00 \ufdd01".encode() + b"\xff\xef\xbf\xbd", b"\xe2\x82\xef\xbf\xbd"]
+    for i, data in enumerate(others):
+        with open(f"{tmp_dir}/other{i}.txt", "wb") as f:
+            f.write(data)
+    paths = [p, *(f"{tmp_dir}/other{i}.txt" for i in range(len(others)))]
+    rows = spark.read.text(paths, wholetext=True).select(T.clean_utf8(F.col("value")).alias("v")).collect()
+    written = [b"a\xff\xc3(b\xe2\x82 end \xef\xbf\xbd", *others]
+    assert sorted(r.v for r in rows) == sorted(d.decode("utf-8", errors="ignore") for d in written)
 
 
-TOKENS = list("ab1234567890-.@ ()+:\n\tkxé٥") + ["sk-", "pipe bomb", "Botnet", ".com", " ", "\x1c", "123-45-"]
+TOKENS = list("ab1234567890-.@ ()+:\n\tkxé٥\u0301\u200c\u200d²½ทรहि्_") + ["sk-", "pipe bomb", "Botnet", ".com", " ", "\x1c", "123-45-"]
 TEXT = st.lists(st.sampled_from(TOKENS), max_size=30).map("".join)
 
 
@@ -131,3 +133,27 @@ def test_guarded_redaction_equals_plain(spark):
         "t", "g", T.redact(F.col("t")).alias("p"), T.redact_guarded(F.col("t")).alias("q")
     ).collect()
     assert all(r.g == r.p == r.q for r in rows)
+
+
+# Literal results of the word-boundary rule: a word character is a letter, a number of any kind or the underscore.
+BOUNDARY_REDACTION = [
+    ("โทรที่0812345678", "โทรที่[REDACTED_PHONE]"),
+    ("हिन्दी5551234567", "हिन्दी[REDACTED_PHONE]"),
+    ("5551234567\u200c", "[REDACTED_PHONE]\u200c"),
+    ("5551234567²", "5551234567²"),
+    ("123-45-6789½", "123-45-6789½"),
+    ("10.0.0.1\u0301", "[REDACTED_IP]\u0301"),
+    ("sk-" + "a" * 24 + "\u0301", "[REDACTED_API_KEY]\u0301"),
+    ("key AIzaSy" + "B" * 33 + " end", "key [REDACTED_API_KEY] end"),
+    ("key ghp_" + "c" * 36 + " end", "key [REDACTED_API_KEY] end"),
+]
+BOUNDARY_HARM = [("pipe bomb\u0301", "explosives"), ("erotica\u200dx", "sexual"), ("keyloggers", None), ("a_botnet", None), ("botnet²", None)]
+
+
+def test_word_boundary_is_pythons(spark):
+    df = spark.createDataFrame([(a, b) for a, b in BOUNDARY_REDACTION], "t string, want string")
+    for r in df.select("t", "want", T.redact(F.col("t")).alias("got")).collect():
+        assert r.got == r.want == pyref.redact(r.t), r.t
+    df = spark.createDataFrame(BOUNDARY_HARM, "t string, want string")
+    for r in df.select("t", "want", T.harm_category(F.col("t")).alias("got"), T.harm_category(F.col("t"), prefilter=False).alias("plain")).collect():
+        assert r.got == r.plain == r.want == pyref.harm(r.t), r.t
