@@ -106,10 +106,21 @@ def ordinal_index(
     """
     keyed = df.repartition(file_col, block_col)
     offsets = _offsets(counts if counts is not None else block_counts(df, file_col, block_col), file_col, block_col)
-    inside = Window.partitionBy(file_col, block_col).orderBy(order_col)
-    return keyed.join(offsets, [file_col, block_col]).withColumn(
-        out_col, (F.row_number().over(inside) - 1 + F.col("_off")).cast("bigint")
-    )
+    joined = keyed.join(offsets, [file_col, block_col], "left")
+    return joined.withColumn(out_col, _position([file_col, block_col], order_col))
+
+
+def _position(block: list[str], order_col: str) -> Column:
+    """Position of a row in its file from its block's offset; an error unless the block has exactly the counted rows.
+
+    The counts come from an earlier pass over the same input. If the two passes saw different rows (a file that
+    changed, splits that moved), the job fails instead of losing messages.
+    """
+    place = F.row_number().over(Window.partitionBy(*block).orderBy(order_col))
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*block))
+    differ = F.col("_n").isNull() | (rows != F.col("_n"))
+    error = F.raise_error(F.lit("message log changed between its two passes: a block's rows differ from its count"))
+    return F.when(differ, error.cast("bigint")).otherwise((place - 1 + F.col("_off")).cast("bigint"))
 
 
 def _assemble_windows(
@@ -154,14 +165,14 @@ def _assemble_windows(
     )
 
 
-_BYTE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+_BYTE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40, "p": 1 << 50, "pb": 1 << 50}
 
 
 def broadcast_limit(spark) -> int:
     """The session's ``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1: never broadcast)."""
     raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    number = raw.rstrip("bkmg")
-    return int(float(number) * _BYTE_UNITS.get(raw[len(number):], 1)) if number not in ("", "-") else -1
+    number = raw.rstrip("bkmgtp")
+    return int(float(number) * _BYTE_UNITS[raw[len(number):]]) if number not in ("", "-") else -1
 
 
 def _windows_by_ids(
@@ -180,9 +191,8 @@ def _windows_by_ids(
         F.row_number().over(Window.orderBy(file_col, block_col)).alias("_bid"),
         F.dense_rank().over(Window.orderBy(file_col)).alias("_fid"),
     )
-    rows = df.join(F.broadcast(ids), [file_col, block_col]).drop(file_col, block_col)
-    inside = Window.partitionBy("_bid").orderBy(order_col)
-    indexed = rows.repartition("_bid").withColumn("_i", (F.row_number().over(inside) - 1 + F.col("_off")).cast("bigint"))
+    rows = df.join(F.broadcast(ids), [file_col, block_col], "left").drop(file_col, block_col)
+    indexed = rows.repartition("_bid").withColumn("_i", _position(["_bid"], order_col))
     windows = _assemble_windows(indexed, "_fid", "_bid", sender_col, content_col, size, min_turns)
     files = ids.select("_fid", file_col).distinct()
     return windows.join(F.broadcast(files), "_fid").select(file_col, "window_index", "n_messages", "conversations")

@@ -48,7 +48,6 @@ DOC_HITS_89 = [(0, " 123-45-6789"), (1, " sk-" + "abcdefghijklmnopqrstuvwx")]
 # conversations: (conv_id % 23, turn, appended text)
 CONV_HITS_23 = [(0, 1, " ransomware"), (1, 0, " pipe bomb"), (2, 1, " erotica"), (3, 2, " murder plan"), (4, 0, " 123-45-6789")]
 
-CONV_BLOCK = dataset.TABLE_LOG_BLOCK  # turns per ordering block for table inputs
 
 
 def _case(key: Column, cases: list[tuple[int, str]]) -> Column:
@@ -59,7 +58,7 @@ def _case(key: Column, cases: list[tuple[int, str]]) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", "doc_id")
+    return read_table(spark, sf_dir, "documents", "doc_id", "lang", "text")
 
 
 def documents_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +68,7 @@ def documents_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read_table(spark, sf_dir, "conversations", "conv_id")
+    c = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     extra = F.lit("")
     for rem, turn, txt in reversed(CONV_HITS_23):
         extra = F.when((F.col("conv_id") % 23 == rem) & (F.col("turn") == turn), F.lit(txt)).otherwise(extra)
@@ -169,13 +168,6 @@ def q_conversation_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_json(_assembled(spark, sf_dir))
 
 
-def _log_messages(msgs: DataFrame) -> DataFrame:
-    """Table rows as log messages: F4, guardrails, redaction; ``conv_id`` = file, ``role`` = sender."""
-    kept = msgs.where((F.col("content") != "") & ~F.col("content").startswith(rules.MEDIA_PREFIX))
-    judged = G.classify(kept, "content")
-    return G.redact_column(G.keep_clean(judged), "content").withColumn("block", F.expr(f"turn div {CONV_BLOCK}"))
-
-
 def q_message_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one log (``conv_id`` = file, ``role`` = sender, ``turn`` = line order)."""
     samples = dataset.table_log_samples(conversations_with_hits(spark, sf_dir), "conv_id", "turn", "role", "text")

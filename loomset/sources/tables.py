@@ -1,42 +1,42 @@
 """Table inputs (parquet) with enough scan parallelism for row-local text work.
 
 The text operators are narrow (no shuffle), so a table stored as a few large
-row groups would run all its regex work in a few tasks. :func:`spread` checks
-the planned partition count (planning only, no job). When it is below the
-cluster's default parallelism and the input is not tiny (planner's size
-estimate of at least ``MIN_SPREAD_BYTES``), the rows are hash-distributed on
-their key and checkpointed into the shared folder: a plain ``repartition`` would not help,
-because Catalyst pushes the (deterministic) regex filters through it, back
-into the few scan tasks. The copy is at most a few row groups per core; an
-input that already has more splits than cores - any large one - is returned
-unchanged.
+row groups would run all its regex work in a few tasks. Planned splits do not
+tell: a split without the middle of a row group has no rows. :func:`spread`
+therefore counts the splits that have rows, from the footers alone, and only
+where there are not more splits than a few per core. If fewer than the cores
+have rows, the rows are hash-distributed on their key. That is lazy and moves
+only the columns asked for; a metrics node above it keeps Catalyst from pushing
+the regex filters below the exchange, back into the few scan tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from loomset.session import shared_dir
+from itertools import count
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-MIN_SPREAD_BYTES = 1 << 20  # break-even: about a second of single-core regex work vs. the spread job
+SPLITS_PER_CORE = 4  # a scan with more planned splits than this is left alone without looking
+TASKS_PER_CORE = 2
+_numbers = count()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    spark = df.sparkSession
+def spread(df: DataFrame, key: str) -> DataFrame:
     try:
-        target = spark.sparkContext.defaultParallelism
+        cores = df.sparkSession.sparkContext.defaultParallelism
         planned = df.rdd.getNumPartitions()
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - sessions without RDD / plan access (e.g. Spark Connect): leave as is
+    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. Spark Connect): leave as is
+        return df
+    if planned >= SPLITS_PER_CORE * cores:
         return df
-    if planned >= target or size < MIN_SPREAD_BYTES:
+    filled = df.select(F.spark_partition_id().alias("split")).distinct().count()  # reads no column
+    if filled >= cores:
         return df
-    shared_dir(spark)
-    spread_df = df.repartition(target, *keys) if keys else df.repartition(target)
-    return spread_df.checkpoint(eager=True)
+    name = f"spread_{next(_numbers)}"  # metrics of one query need different names
+    return df.repartition(TASKS_PER_CORE * cores, key).observe(name, F.count(F.lit(1)).alias("rows"))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """``{sf_dir}/{name}.parquet``, spread on ``keys`` when it has fewer splits than cores."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *keys)
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """``columns`` of ``{sf_dir}/{name}.parquet``, spread on the first when fewer splits than cores have rows."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), columns[0])

@@ -16,7 +16,7 @@ def _plan(df) -> str:
 
 def test_notes_job_is_narrow(spark):
     plan = _plan(catalog.flagship(spark, SF))
-    assert "Exchange" not in plan
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") <= 1  # none beside the dealing out of a small table
     for token in ["REDACTED_EMAIL", "REDACTED_PHONE", "REDACTED_SSN", "REDACTED_API_KEY", "REDACTED_IP"]:
         assert plan.count(token) == 1, token
 
@@ -54,7 +54,7 @@ def test_windows_fallback_never_shuffles_rows_on_file_alone(spark):
 
 
 def test_table_windows_independent_of_block_size(spark):
-    msgs = catalog._log_messages(catalog._messages(spark, "/root/testdata/sf0.01"))
+    msgs = catalog._messages(spark, "/root/testdata/sf0.01").where("content <> ''")
     def windows(block):
         m = msgs.withColumn("block", (F.col("turn") / block).cast("bigint"))
         w = C.tumbling_windows(m, "conv_id", "block", "turn", "role", "content")
@@ -95,12 +95,113 @@ def test_windows_without_aqe_or_broadcast_shuffle_rows_once(spark):
     assert len(row_exchanges) == 1, row_exchanges
 
 
-def test_spread_only_coarse_and_large_inputs(spark):
+def test_spread_deals_rows_to_all_cores(spark):
+    """One row group: its rows reach every task, only the asked columns are read, and filters stay above the exchange."""
+    docs = catalog.documents(spark, "/root/testdata/sf0.1")
+    rows = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(rows) == 10000 and len(rows) == 2 * cores and max(rows) < 2 * 10000 / (2 * cores)
+    plan = _plan(catalog.q_harm_filter(spark, "/root/testdata/sf0.1"))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "ExistingRDD" not in plan
+    assert plan.index("Filter") < plan.index("Exchange") < plan.index("FileScan")
+
+
+def test_spread_leaves_filled_splits_alone(spark, tmp_dir):
     from loomset.sources import tables
 
-    target = spark.sparkContext.defaultParallelism
-    big = tables.read_table(spark, "/root/testdata/sf0.1", "documents", "doc_id")  # one row group, ~15 MB
-    tiny = tables.read_table(spark, "/root/testdata/sf0.001", "conversations", "conv_id")  # ~28 KB
-    assert big.rdd.getNumPartitions() == target
-    assert tiny.rdd.getNumPartitions() == 1
-    assert big.count() == 10000
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).repartition(cores).write.parquet(f"{tmp_dir}/t.parquet")
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a split per file
+    try:
+        assert "Exchange" not in _plan(tables.read_table(spark, tmp_dir, "t", "id"))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
+def _write(path, text):
+    import os
+
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def test_log_line_and_chat_messages_are_worked_out_once(spark, tmp_dir):
+    """One extract per group of the log pattern; one verdict and one redaction chain per chat message."""
+    from loomset.plans import dataset
+    from loomset.sources import chat_tree, message_log
+
+    _write(f"{tmp_dir}/log/a.txt", "1/2/24, 10:00:00 Ann: hi\n")
+    plan = _plan(message_log.read_message_log(spark, f"{tmp_dir}/log"))
+    assert plan.count("regexp_extract(") == 2 and "RLIKE" not in plan
+    _write(f"{tmp_dir}/tree/a.json", '[{"mapping": {}}]')
+    exports = chat_tree.read_chat_tree(spark, f"{tmp_dir}/tree")
+    plan = _plan(dataset.chat_tree_samples(exports))
+    assert plan.count("[REDACTED_EMAIL]") == 1 and plan.count("THEN hacking") == 1
+    assert "Exchange hashpartitioning(file" in plan
+
+
+LOG = [f"1/2/24, 10:{i // 60:02d}:{i % 60:02d} {'Ann' if i % 3 else 'Bob'}: message number {i} of the log" for i in range(600)]
+
+
+def _windows(df):
+    return sorted((r.sample_id.rsplit("#", 1)[1], str(r.conversations)) for r in df.collect())
+
+
+def test_windows_do_not_depend_on_later_split_settings(spark, tmp_dir):
+    """Settings and core counts that change between reading and running move no split and lose no message."""
+    from loomset.plans import dataset
+
+    _write(f"{tmp_dir}/log/a.txt", "\n".join(LOG) + "\n")
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum", "spark.sql.autoBroadcastJoinThreshold"]
+    old = {n: spark.conf.get(n, None) for n in names}
+
+    def put(**values):
+        for name, value in zip(names, values.values()):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+    want = None
+    try:
+        for limit in ("10485760", "-1"):  # both plans
+            for later in ({"a": "4096", "b": "1024", "c": "4"}, {"a": "8192", "b": "1024", "c": "7"}):
+                put(a="8192", b="1024", c="4", d=limit)
+                df = dataset.read_samples(spark, "message_log", f"{tmp_dir}/log")
+                put(**later, d=limit)
+                got = _windows(df)
+                assert sum(str(c).count("message number") for _, c in got) == 600
+                want = want or got
+                assert got == want
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_windows_fail_rather_than_lose_rows(spark, tmp_dir):
+    import pytest
+
+    from loomset.plans import dataset
+    from loomset.sources import message_log
+
+    _write(f"{tmp_dir}/log/a.txt", "\n".join(LOG) + "\n")
+    lines = message_log.read_message_log(spark, f"{tmp_dir}/log")
+    blocks = dataset.message_log_blocks(lines)
+    for wrong in (blocks.withColumn("_n", F.col("_n") + 1), blocks.withColumn("_n", F.col("_n") - 1), blocks.withColumn("block", F.col("block") + 1)):
+        for limit in ("10485760", "-1"):
+            old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            try:
+                with pytest.raises(Exception, match="changed between its two passes"):
+                    dataset.message_log_samples(lines, blocks=wrong).collect()
+            finally:
+                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_broadcast_limit_reads_every_unit(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for text, value in (("1t", 1 << 40), ("10MB", 10 << 20), ("256k", 256 << 10), ("-1", -1), ("5", 5)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+            assert C.broadcast_limit(spark) == value
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -89,7 +89,7 @@ LOG_SCRIPT = textwrap.dedent(
 
     lines = message_log.read_message_log(spark, src).where(first_attempt_fails(F.col("sender")))
     windows = dataset.message_log_samples(lines).collect()
-    counts = dataset.message_log_rejections(lines).first()
+    counts = dataset.rejections_from_blocks(dataset.message_log_blocks(lines)).first()
     sizes = sorted(len(r.conversations) for r in windows)
     first = [m.content for m in sorted(windows, key=lambda r: int(r.sample_id.rsplit("#", 1)[1]))[0].conversations]
     print(json.dumps({{"sizes": sizes, "first": first, "hacking": counts["hacking"], "blocks": lines.select("block").distinct().count()}}))
