@@ -5,8 +5,8 @@
 
 On a cluster, ship the package (``--py-files``) and submit
 ``loomset/__main__.py`` with the same arguments, or call
-:func:`loomset.plans.dataset.build_dataset` from your own job. The active
-session is used; without one a local session is started.
+:func:`loomset.plans.dataset.build_dataset` from your own job. The session is
+the submitted one with its own master and settings; none is set here.
 """
 
 from __future__ import annotations
@@ -30,18 +30,18 @@ def main(argv: list[str] | None = None) -> dict:
     parser.add_argument("--no-guardrails", action="store_true", help="keep harmful items")
     parser.add_argument("--no-redaction", action="store_true", help="keep personal data")
     parser.add_argument("--compression", default="none", help="text codec of the output files, e.g. gzip or zstd")
+    parser.add_argument("--mode", default="FAILFAST", choices=("FAILFAST", "PERMISSIVE"), help="chat trees that do not parse")
+    parser.add_argument("--json-lines", action="store_true", help="chat trees with one conversation, or array of them, per line")
+    parser.add_argument("--skip-hidden", action="store_true", help="leave out notes whose names start with '_' or '.'")
     parser.add_argument("--explain", action="store_true", help="print the physical plan of the write job and stop")
     args = parser.parse_args(argv)
 
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        from loomset.session import local_session
-
-        spark = local_session()
+    spark = SparkSession.builder.getOrCreate()
     source = args.input if len(args.input) > 1 else args.input[0]
+    reading = {"mode": args.mode, "multi_line": not args.json_lines, "hidden": "skip" if args.skip_hidden else "error"}
     if args.explain:
         records, _, _ = plan_dataset(
-            spark, args.kind, source, args.format, not args.no_redaction, not args.no_guardrails, args.chunk_words
+            spark, args.kind, source, args.format, not args.no_redaction, not args.no_guardrails, args.chunk_words, **reading
         )
         records.explain("formatted")
         return {}
@@ -55,6 +55,7 @@ def main(argv: list[str] | None = None) -> dict:
         enforce_guardrails=not args.no_guardrails,
         chunk_words=args.chunk_words,
         compression=args.compression,
+        **reading,
     )
     if summary["samples"] == 0:
         summary["warning"] = "no samples were produced"

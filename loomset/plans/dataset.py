@@ -24,6 +24,7 @@ from loomset.session import shared_dir
 from loomset.sources import chat_tree, jsonl, message_log, notes
 
 SOURCE_KINDS = ("chat_tree", "message_log", "notes")
+NOTES_READ = "notes_read"
 
 
 def _judge_messages(messages, enforce_guardrails: bool):
@@ -37,8 +38,15 @@ def chat_tree_samples(
     exports: DataFrame, sanitize_pii: bool = True, enforce_guardrails: bool = True, observation: Observation | None = None
 ) -> DataFrame:
     """Row-local S1 flow: one row per conversation in, one sample per kept conversation out (no shuffle)."""
-    judged = exports.select(
-        "file", "conversation_id", "conv_key", _judge_messages(chat_tree.node_messages(F.col("mapping")), enforce_guardrails).alias("msgs")
+    # conversations of one large export are judged by many tasks; a projected id that is not deterministic keeps filters
+    # above it, so that verdicts and redactions are worked out once per message
+    spread = exports.repartition("file", "conv_key")
+    judged = spread.select(
+        "file",
+        "conversation_id",
+        "conv_key",
+        _judge_messages(chat_tree.node_messages(F.col("mapping")), enforce_guardrails).alias("msgs"),
+        F.monotonically_increasing_id().alias("_judged"),
     )
     if observation is not None:
         judged = judged.observe(observation, *R.array_rejection_exprs(F.col("msgs")))
@@ -50,7 +58,8 @@ def chat_tree_samples(
     convs = judged.select(
         F.coalesce(F.col("conversation_id"), F.concat_ws("#", "file", F.col("conv_key").cast("string"))).alias("sid"),
         kept.alias("conversations"),
-    ).where(F.size("conversations") >= rules.MIN_TURNS)
+        (F.monotonically_increasing_id() + F.col("_judged")).alias("_kept"),
+    ).where((F.size("conversations") >= rules.MIN_TURNS) & (F.col("_kept") >= 0))
     return FMT.conversation_samples(convs, F.col("sid"), "chat_tree")
 
 
@@ -135,19 +144,14 @@ def message_log_samples(
     lines: DataFrame,
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
-    observation: Observation | None = None,
     blocks: DataFrame | None = None,
 ) -> DataFrame:
     """S2 flow on parsed lines (``file``, ``block``, ``line_id``, ``sender``, ``content``).
 
-    ``blocks`` is the materialised pass 1 (:func:`message_log_blocks`); it is
-    computed here when not given. An observation here sits before a shuffle: if
-    a lost executor forces that map stage to be recomputed, its metrics are
-    counted again, so ``build_dataset`` takes the rejections from ``blocks``.
+    ``blocks`` is the materialised pass 1 (:func:`message_log_blocks`), which
+    also has the exact rejection counts; it is computed here when not given.
     """
     judged = G.classify(lines, "content", enforce_guardrails)
-    if observation is not None:
-        judged = judged.observe(observation, *R.rejection_exprs())
     kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii)
     if blocks is None:
         blocks = message_log_blocks(lines, enforce_guardrails)
@@ -155,11 +159,6 @@ def message_log_samples(
     return FMT.conversation_samples(windows, F.concat_ws("#", "file", F.col("window_index").cast("string")), "message_log")
 
 
-def message_log_rejections(lines: DataFrame, enforce_guardrails: bool = True) -> DataFrame:
-    """Exact A2/A3 for parsed log lines: an ordinary aggregate (partial per task), safe under retries."""
-    return R.rejection_counts(G.classify(lines, "content", enforce_guardrails))
-
-
 def notes_samples(
     files: DataFrame,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
@@ -174,7 +173,7 @@ def notes_samples(
     """
     prepared = N.prepare_notes(files, "text", sanitize_pii, enforce_guardrails)
     if observation is not None:
-        prepared = prepared.observe(observation, *R.rejection_exprs())
+        prepared = prepared.observe(observation, *R.rejection_exprs(), F.count(F.lit(1)).alias(NOTES_READ))
     chunked = N.chunk_notes(prepared, chunk_words, keep_cols=["file_path", "file_name"])
     records = N.instruction_samples(chunked, "file_name")
     return FMT.instruction_samples(
@@ -190,14 +189,25 @@ def read_samples(
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
     observation: Observation | None = None,
+    mode: str = "FAILFAST",
+    multi_line: bool = True,
+    hidden: str = "error",
 ) -> DataFrame:
-    """``SAMPLES`` of one source kind (``chat_tree`` | ``message_log`` | ``notes``)."""
+    """``SAMPLES`` of one source kind (``chat_tree`` | ``message_log`` | ``notes``).
+
+    ``mode`` and ``multi_line`` are those of :func:`loomset.sources.chat_tree.read_chat_tree`, ``hidden`` that of
+    :func:`loomset.sources.notes.read_notes`. Message logs take no ``observation``: their messages are judged before a
+    shuffle, where a repeated task would count twice (:func:`rejections_from_blocks` gives exact counts).
+    """
     if kind == "chat_tree":
-        return chat_tree_samples(chat_tree.read_chat_tree(spark, path), sanitize_pii, enforce_guardrails, observation)
+        exports = chat_tree.read_chat_tree(spark, path, mode, multi_line)
+        return chat_tree_samples(exports, sanitize_pii, enforce_guardrails, observation)
     if kind == "message_log":
-        return message_log_samples(message_log.read_message_log(spark, path), sanitize_pii, enforce_guardrails, observation)
+        if observation is not None:
+            raise ValueError("message logs take no observation; use message_log_blocks and rejections_from_blocks")
+        return message_log_samples(message_log.read_message_log(spark, path), sanitize_pii, enforce_guardrails)
     if kind == "notes":
-        return notes_samples(notes.read_notes(spark, path), chunk_words, sanitize_pii, enforce_guardrails, observation)
+        return notes_samples(notes.read_notes(spark, path, hidden=hidden), chunk_words, sanitize_pii, enforce_guardrails, observation)
     raise ValueError(f"unknown source kind {kind!r}; expected one of {SOURCE_KINDS}")
 
 
@@ -209,6 +219,9 @@ def plan_dataset(
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
+    mode: str = "FAILFAST",
+    multi_line: bool = True,
+    hidden: str = "error",
 ) -> tuple[DataFrame, Observation, Observation | DataFrame]:
     """The records DataFrame of one run (not executed) with its sample observation and rejection counts.
 
@@ -231,7 +244,7 @@ def plan_dataset(
         rejected: Observation | DataFrame = rejections_from_blocks(blocks)
     else:
         rejected = Observation("rejections")
-        samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected)
+        samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected, mode, multi_line, hidden)
     records = FMT.format_samples(samples, dataset_format).observe(written, F.count(F.lit(1)).alias("samples"))
     return records, written, rejected
 
@@ -246,10 +259,17 @@ def build_dataset(
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
     compression: str = "none",
+    mode: str = "FAILFAST",
+    multi_line: bool = True,
+    hidden: str = "error",
 ) -> dict:
-    """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary."""
+    """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary.
+
+    Besides sample and rejection counts the summary has what was left out: ``skipped_files`` for notes that could not be
+    read, ``corrupt_files`` for chat-tree exports (or lines) that did not parse in ``PERMISSIVE`` mode.
+    """
     records, written, rejected = plan_dataset(
-        spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words
+        spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words, mode, multi_line, hidden
     )
     jsonl.write_jsonl(records, output, compression=compression)
     counts = rejected.get if isinstance(rejected, Observation) else rejected.first().asDict()
@@ -262,4 +282,10 @@ def build_dataset(
         "samples": int(written.get["samples"]),
     }
     summary.update({k: int(v) for k, v in counts.items()})
+    if kind == "notes":
+        summary["skipped_files"] = notes.count_note_files(spark, path) - summary[NOTES_READ]
+    if kind == "chat_tree":
+        permissive = mode.upper() == "PERMISSIVE"
+        exports = chat_tree.read_chat_tree(spark, path, mode, multi_line) if permissive else None
+        summary["corrupt_files"] = chat_tree.corrupt_files(exports).count() if permissive else 0
     return summary

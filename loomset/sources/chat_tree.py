@@ -93,9 +93,3 @@ def node_messages(mapping: Column) -> Column:
     )
     return F.filter(messages, lambda m: (m["content"] != F.lit("")) & m["role"].isin(*rules.CHAT_ROLES))
 
-
-def explode_messages(df: DataFrame) -> DataFrame:
-    """Message rows (``file``, ``conv_key``, ``pos``, ``role``, ``content``) when rows are wanted."""
-    return df.select("file", "conv_key", F.posexplode(node_messages(F.col("mapping"))).alias("pos", "m")).select(
-        "file", "conv_key", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content"
-    )

@@ -2,7 +2,9 @@
 
 ``pathGlobFilter`` applies the extension filter to the listing, so other files
 are never opened (S4); ``recursiveFileLookup`` walks every depth; unreadable
-files are skipped (S6); invalid UTF-8 bytes are dropped (S5). A note is read
+files are skipped (S6) and counted in the run summary; invalid UTF-8 bytes are
+dropped (S5). Spark's listing passes over names that start with ``_`` or
+``.``, so notes of such names make the read fail unless they are to be skipped. A note is read
 whole (``wholetext``), one file per row.
 """
 
@@ -19,17 +21,71 @@ def extension_glob(extensions: tuple[str, ...] = rules.NOTE_EXTENSIONS) -> str:
     return "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
 
 
-def read_notes(spark: SparkSession, path: str | list[str], skip_unreadable: bool = True) -> DataFrame:
-    """``file_path``, ``file_name``, ``text`` of every note file under ``path``."""
-    raw = (
-        spark.read.option("recursiveFileLookup", True)
+def hidden_notes(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Note files that Spark's listing leaves out: their name, or that of a folder above them, starts with ``_`` or ``.``.
+
+    Level by level the file system is asked for such names alone, by patterns; only folders found in this way are
+    listed whole.
+    """
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found: list[str] = []
+    for top in [path] if isinstance(path, str) else path:
+        root = jvm.org.apache.hadoop.fs.Path(top)
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
+            continue
+        level = root.toString()
+        while True:
+            for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/{{_,.}}*")) or []:
+                if status.isDirectory():
+                    below = fs.listFiles(status.getPath(), True)
+                    while below.hasNext():
+                        found.append(below.next().getPath().toString())
+                else:
+                    found.append(status.getPath().toString())
+            level += "/*"
+            if not any(True for _ in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/*")) or [])[:1]):
+                break
+    return sorted(f for f in found if f.endswith(rules.NOTE_EXTENSIONS))
+
+
+def refuse_hidden(spark: SparkSession, path: str | list[str], hidden: str = "error") -> None:
+    """Fail if Spark would pass over notes for their names (``hidden="skip"``: let it)."""
+    if hidden not in ("error", "skip"):
+        raise ValueError(f"hidden must be 'error' or 'skip', got {hidden!r}")
+    if hidden == "error" and (names := hidden_notes(spark, path)):
+        raise ValueError(
+            f"{len(names)} notes have names that start with '_' or '.', or lie in such a folder, and would not be read: "
+            f"{', '.join(names[:5])}. Rename them, or pass hidden='skip' to leave them out."
+        )
+
+
+def note_options(reader, skip_unreadable: bool = True):
+    """The options that batch and stream share."""
+    return (
+        reader.option("recursiveFileLookup", True)
         .option("pathGlobFilter", extension_glob())
         .option("ignoreCorruptFiles", skip_unreadable)
         .option("ignoreMissingFiles", skip_unreadable)
-        .text(path, wholetext=True)
     )
+
+
+def note_rows(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         T.clean_utf8(F.col("value")).alias("text"),
     )
+
+
+def read_notes(spark: SparkSession, path: str | list[str], skip_unreadable: bool = True, hidden: str = "error") -> DataFrame:
+    """``file_path``, ``file_name``, ``text`` of every note file under ``path``."""
+    refuse_hidden(spark, path, hidden)
+    return note_rows(note_options(spark.read, skip_unreadable).text(path, wholetext=True))
+
+
+def count_note_files(spark: SparkSession, path: str | list[str]) -> int:
+    """Note files in the listing (no file is opened), to set against the notes read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", extension_glob())
+    return listed.load(path).select("path").count()

@@ -5,7 +5,9 @@ and stateless, so the batch operators run unchanged on a file stream: each new
 note file is read once, turned into records and appended to the JSONL output,
 exactly once across restarts thanks to the checkpoint (kept in the shared work
 folder unless given). Rejection counts of every micro-batch are reported in
-``StreamingQueryProgress.observedMetrics["rejections"]``.
+``StreamingQueryProgress.observedMetrics["rejections"]``; Spark keeps the
+reports of the last batches only, so :func:`run_notes_available_now` has it
+keep those of its whole run.
 
 Message logs are not offered as a stream: their windows depend on the order of
 all earlier lines of the same file, which a growing file set does not give.
@@ -14,17 +16,16 @@ all earlier lines of the same file, which a growing file set does not give.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from loomset.functions import rules
-from loomset.functions import text as T
 from loomset.operators import formats as FMT
 from loomset.plans import dataset
 from loomset.session import scratch_path
-from loomset.sources.notes import extension_glob
+from loomset.sources.notes import note_options, note_rows, refuse_hidden
 
 MAX_FILES_PER_TRIGGER = 100_000
+PROGRESS_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
 
 
 def notes_stream_writer(
@@ -37,26 +38,19 @@ def notes_stream_writer(
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
     checkpoint: str | None = None,
     max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER,
+    skip_unreadable: bool = True,
+    hidden: str = "error",
 ) -> DataStreamWriter:
     """A configured (not started) stream: call ``.trigger(...)`` / ``.start()`` on it.
 
     ``max_files_per_trigger`` bounds one micro-batch (its file list and plan);
     an available-now run still processes every file, in several batches.
     """
-    reader = (
-        spark.readStream.format("text")
-        .option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", extension_glob())
-    )
+    refuse_hidden(spark, folder, hidden)
+    reader = note_options(spark.readStream.format("text"), skip_unreadable)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.load(folder)
-    files = raw.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        T.clean_utf8(F.col("value")).alias("text"),
-    )
+    files = note_rows(reader.option("wholetext", True).load(folder))
     samples = dataset.notes_samples(files, chunk_words, sanitize_pii, enforce_guardrails, observation="rejections")
     records = FMT.format_samples(samples, dataset_format).select("record")
     return (
@@ -69,8 +63,13 @@ def notes_stream_writer(
 
 def run_notes_available_now(spark: SparkSession, folder: str, output: str, checkpoint: str, **kwargs) -> list[dict]:
     """Process every note file not yet seen, then stop; returns the rejection counts per micro-batch."""
-    query = notes_stream_writer(spark, folder, output, checkpoint=checkpoint, **kwargs).trigger(availableNow=True).start()
-    query.awaitTermination()
+    kept = spark.conf.get(PROGRESS_KEPT, None)
+    spark.conf.set(PROGRESS_KEPT, str((1 << 31) - 1))
+    try:
+        query = notes_stream_writer(spark, folder, output, checkpoint=checkpoint, **kwargs).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(PROGRESS_KEPT) if kept is None else spark.conf.set(PROGRESS_KEPT, kept)
     batches = []
     for progress in query.recentProgress:
         row = (progress.observedMetrics or {}).get("rejections")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import pyref
+from loomset.operators import guardrails as G
+from loomset.operators import report as R
 from loomset.operators import formats as FMT
 from loomset.plans import dataset
 from loomset.sources import chat_tree, message_log, notes
@@ -62,8 +64,9 @@ def test_chat_tree_nodes_order_parts_and_filters(spark, tmp_dir):
 def test_chat_tree_document_order_kept(spark, tmp_dir):
     mapping = {k: _node("user" if i % 2 == 0 else "assistant", [k]) for i, k in enumerate(["z", "m2", "a1", "b"])}
     _write(f"{tmp_dir}/o/x.json", json.dumps([{"mapping": mapping}]))
-    rows = chat_tree.explode_messages(chat_tree.read_chat_tree(spark, f"{tmp_dir}/o")).orderBy("pos").collect()
-    assert [r.content for r in rows] == ["z", "m2", "a1", "b"]
+    messages = chat_tree.node_messages(F.col("mapping")).alias("m")
+    (row,) = chat_tree.read_chat_tree(spark, f"{tmp_dir}/o").select(messages).collect()
+    assert [m.content for m in row.m] == ["z", "m2", "a1", "b"]
 
 
 def test_chat_tree_malformed_fails_or_quarantines(spark, tmp_dir):
@@ -169,9 +172,9 @@ def test_notes_folder(spark, tmp_dir):
     _write(f"{root}/harm.txt", "how to make gunpowder at home " * 5)
     _write(f"{root}/fifty.txt", "x" * 50)
     _write(f"{root}/spaces.md", "one\n\n two\t\tthree   " + "y" * 60)
-    _write(f"{root}/.hid.txt", "hidden " * 20)  # Spark's listing skips '.' and '_' names (documented)
+    _write(f"{root}/.hid.txt", "hidden " * 20)  # refused by default
     _write(f"{root}/_u.md", "underscore " * 20)
-    files = notes.read_notes(spark, root)
+    files = notes.read_notes(spark, root, hidden="skip")
     # an empty file gives no row (the reference reads it and makes no sample: same result)
     assert sorted(r.file_name for r in files.collect()) == sorted(
         ["a.txt", "b.md", "c.json", "bad.txt", "harm.txt", "fifty.txt", "spaces.md"]
@@ -291,9 +294,81 @@ def test_block_table_rejections_equal_direct_counts(spark, tmp_dir):
         parsed = message_log.read_message_log(spark, f"{tmp_dir}/rej")
         blocks = dataset.message_log_blocks(parsed)
         from_blocks = dataset.rejections_from_blocks(blocks).first().asDict()
-        direct = dataset.message_log_rejections(parsed).first().asDict()
+        direct = R.rejection_counts(G.classify(parsed, "content")).first().asDict()
         n_blocks = blocks.count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert n_blocks > 5
     assert from_blocks == direct and from_blocks["rejected"] > 100
+
+
+def test_hidden_notes_are_refused_or_skipped_on_request(spark, tmp_dir):
+    from loomset.plans import dataset
+    from loomset.sources import notes
+
+    for name in ("a.txt", "sub/b.md", "sub/_u.md", ".x.md", "_posts/2024/c.txt", "sub/.git/config", "_SUCCESS", "sub/deep/.d/e.json"):
+        _write(f"{tmp_dir}/n/{name}", "some words of a note " * 5)
+    found = [p.split("/n/")[1] for p in notes.hidden_notes(spark, f"{tmp_dir}/n")]
+    assert found == [".x.md", "_posts/2024/c.txt", "sub/_u.md", "sub/deep/.d/e.json"]
+    with pytest.raises(ValueError, match="4 notes have names"):
+        notes.read_notes(spark, f"{tmp_dir}/n")
+    assert notes.read_notes(spark, f"{tmp_dir}/n", hidden="skip").count() == 2
+    assert dataset.build_dataset(spark, "notes", f"{tmp_dir}/n", f"{tmp_dir}/out", hidden="skip")["samples"] == 2
+
+
+def test_skipped_files_are_counted(spark, tmp_dir):
+    from loomset.plans import dataset
+    from loomset.sources import notes
+
+    for name in ("a.txt", "b.txt", "c.md"):
+        _write(f"{tmp_dir}/n/{name}", "some words of a note " * 5)
+    import os
+
+    assert dataset.build_dataset(spark, "notes", f"{tmp_dir}/n", f"{tmp_dir}/o1")["skipped_files"] == 0
+    records, written, rejected = dataset.plan_dataset(spark, "notes", f"{tmp_dir}/n")
+    listed = notes.count_note_files(spark, f"{tmp_dir}/n")
+    os.remove(f"{tmp_dir}/n/b.txt")  # listed, but gone when it is to be read
+    assert records.count() == 2 and listed - rejected.get[dataset.NOTES_READ] == 1
+
+
+def test_corrupt_exports_are_counted(spark, tmp_dir):
+    from loomset.plans import dataset
+
+    good = {"mapping": {k: _node(r, [k]) for k, r in (("a", "user"), ("b", "assistant"))}}
+    _write(f"{tmp_dir}/t/x.json", json.dumps(good) + "\n{broken\n" + json.dumps([good, good]))
+    summary = dataset.build_dataset(spark, "chat_tree", f"{tmp_dir}/t", f"{tmp_dir}/o", mode="PERMISSIVE", multi_line=False)
+    assert (summary["samples"], summary["corrupt_files"]) == (3, 1)
+
+
+def test_message_log_takes_no_observation(spark, tmp_dir):
+    from pyspark.sql import Observation
+
+    from loomset.plans import dataset
+
+    with pytest.raises(ValueError, match="rejections_from_blocks"):
+        dataset.read_samples(spark, "message_log", tmp_dir, observation=Observation("x"))
+
+
+def test_submitted_session_is_kept(tmp_dir):
+    """The command line runs in the session it is submitted to, with that session's master and settings."""
+    import os
+    import subprocess
+    import sys
+
+    import pyspark
+
+    _write(f"{tmp_dir}/n/a.txt", "some words of a note " * 5)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import runpy, sys\nfrom pyspark.sql import SparkSession\n"
+        f"sys.argv = ['loomset', '--kind', 'notes', '--input', {tmp_dir + '/n'!r}, '--output', {tmp_dir + '/out'!r}]\n"
+        "runpy.run_module('loomset', run_name='__main__')\ns = SparkSession.getActiveSession()\n"
+        "print('SEEN', s.sparkContext.master, s.conf.get('spark.sql.shuffle.partitions'))\n"
+    )
+    _write(f"{tmp_dir}/job.py", code)
+    submit = os.path.join(os.path.dirname(pyspark.__file__), "bin", "spark-submit")
+    conf = ["--conf", "spark.sql.shuffle.partitions=777", "--conf", "spark.ui.enabled=false", "--conf", f"spark.checkpoint.dir={tmp_dir}/ck"]
+    env = os.environ | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable, "PYSPARK_DRIVER_PYTHON": sys.executable}
+    run = subprocess.run([submit, "--master", "local[2]", *conf, f"{tmp_dir}/job.py"], env=env, capture_output=True, text=True, timeout=300)
+    assert "SEEN local[2] 777" in run.stdout, run.stdout[-500:] + run.stderr[-2000:]
+    assert '"samples": 1' in run.stdout

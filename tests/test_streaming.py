@@ -37,3 +37,25 @@ def test_notes_stream_bounded_batches(spark, tmp_dir):
     batches = run_notes_available_now(spark, src, out, ckpt, max_files_per_trigger=2)
     assert len(batches) == 3  # 2 + 2 + 1 files
     assert len(_records(out)) == 5
+
+
+def test_counts_of_more_batches_than_spark_keeps(spark, tmp_dir):
+    src, out, ckpt = f"{tmp_dir}/in3", f"{tmp_dir}/out3", f"{tmp_dir}/ckpt3"
+    for i in range(6):
+        _write(f"{src}/n{i}.md", "ransomware " * 10)
+    name = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(name, "3")
+    try:
+        batches = run_notes_available_now(spark, src, out, ckpt, max_files_per_trigger=1)
+        assert spark.conf.get(name) == "3"
+    finally:
+        spark.conf.unset(name)
+    assert len(batches) == 6 and sum(b["hacking"] for b in batches) == 6
+
+
+def test_stream_refuses_hidden_notes(spark, tmp_dir):
+    import pytest
+
+    _write(f"{tmp_dir}/in4/_drafts/a.md", "words " * 20)
+    with pytest.raises(ValueError, match="names"):
+        run_notes_available_now(spark, f"{tmp_dir}/in4", f"{tmp_dir}/out4", f"{tmp_dir}/ckpt4")
