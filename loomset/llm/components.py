@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from loomset.llm.common import materialise
 
 
-def components(links: DataFrame, node_type: str = "long") -> DataFrame:
-    """``node, root`` (smallest node reachable) for every node in ``links`` (columns ``a``, ``b``); nodes without links are not in it."""
-    edges = links.select(F.col("a").cast(node_type).alias("a"), F.col("b").cast(node_type).alias("b")).where("a is not null and b is not null and a <> b")
+def components(links: DataFrame) -> DataFrame:
+    """``node, root`` (smallest node reachable) for every node in ``links`` (columns ``a``, ``b`` of one type that can be
+    ordered, nulls left out); nodes without links are not in it."""
+    edges = links.select("a", "b").where("a is not null and b is not null and a <> b")
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:

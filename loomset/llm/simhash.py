@@ -175,15 +175,18 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def grouped(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``rows`` (doc_id, fp, ...) with ``component_id``, the smallest doc_id reachable over links."""
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp"), distance))
-    own = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = own.where("root <> fp").select("root").distinct()
-    joined = own.join(joined, "root", "left_semi")  # only groups of several fingerprints
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    merged = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    alone = classes.join(merged.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
-    return rows.join(merged.unionByName(alone), "fp")
+    least = F.min("doc_id")
+    # a class is named by its smallest id, so the root of a component is the id to report; ids may be null or repeated
+    name = F.struct(F.isnull(least).alias("unknown"), F.coalesce(least, F.lit(0)).alias("least"), F.first("fp").alias("fp"))
+    classes = materialise(rows.groupBy("fp").agg(name.alias("name")))
+    found = links(classes.select("fp"), distance)
+    for end in ("a", "b"):
+        found = found.join(classes.select(F.col("fp").alias(end), F.col("name").alias(f"{end}_name")), end)
+    roots = components(found.select(F.col("a_name").alias("a"), F.col("b_name").alias("b")))
+    roots = roots.select(F.col("node.fp").alias("fp"), "root")
+    root = F.coalesce("root", "name")
+    component = F.when(~root["unknown"], root["least"]).alias("component_id")
+    return rows.join(classes.join(roots, "fp", "left").select("fp", component), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
