@@ -88,6 +88,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_suffix_array": """
+        WITH texts AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        windows AS (
+            SELECT doc_id, k, substr(x, 2 * k + 1, 100) AS s
+            FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS k FROM texts)),
+        least AS (SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s),
+        hits AS (SELECT doc_id, k FROM windows JOIN least USING (s) WHERE first_id < doc_id),
+        steps AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS opens FROM hits),
+        numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM steps),
+        runs AS (SELECT doc_id, run, min(k) AS a, max(k) + 50 AS b FROM numbered GROUP BY doc_id, run),
+        gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+        cut AS (
+            SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last,
+                   string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head
+            FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+        FROM texts LEFT JOIN cut USING (doc_id)
+    """,
     "op4_topk": """
         WITH whole AS (
             SELECT vec_id, CAST(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS v
