@@ -54,3 +54,19 @@ def test_survey_expected_values(spark):
     kept = C.message_filter(msgs).withColumn("block", F.lit(0).cast("bigint"))
     windows = C.tumbling_windows(kept, "conv_id", "block", "turn", "role", "content", min_turns=1)
     assert windows.count() == 127 and windows.where("n_messages >= 2").count() == 111
+
+
+def test_entry_without_the_llm_part(tmp_path):
+    """Without the llm folders and the corpus pipeline the rest is there as before; other import errors are not hidden."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/loomset", tmp_path / "loomset", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), len(e.queries()))"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert run().stdout.split() == ["True", str(len(catalog.QUERIES))]
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    assert "no_such_module" in run().stderr
