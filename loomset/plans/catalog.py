@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.functions import rules
@@ -127,14 +127,41 @@ def q_rejection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rejection_counts(prepared)
 
 
+def _notes_run(spark: SparkSession, sf_dir: str, dataset_format: str) -> dict:
+    """The notes job over table rows as notes, written and counted as ``build_dataset`` does it."""
+    rows = documents_with_hits(spark, sf_dir)
+    files = rows.select(F.col("doc_id").cast("string").alias("file_path"), _note_name(F.col("doc_id")).alias("file_name"), "text")
+    rejected = Observation("rejections")
+    records, written = dataset.plan_records(dataset.notes_samples(files, observation=rejected), dataset_format)
+    out = scratch_path(spark, "notes-out")
+    return dataset.write_dataset(records, written, rejected, out) | {"output": out}
+
+
+def _summary_row(spark: SparkSession, run: dict, dataset_format: str) -> DataFrame:
+    counts = spark.createDataFrame([tuple(run[c] for c in [*R.CATEGORIES, "rejected"])], ", ".join(f"{c} long" for c in [*R.CATEGORIES, "rejected"]))
+    return R.run_summary(counts, run["samples"], dataset_format, True, True)
+
+
 def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4 + A5 for the notes job in one pass: per-note kept-chunk counts summed with the rejections."""
-    prepared = N.prepare_notes(documents_with_hits(spark, sf_dir), "text").withColumn("_words", T.words(F.col("body")))
-    chunks = T.chunks(F.col("_words"), rules.DEFAULT_CHUNK_WORDS)
-    kept = F.size(F.filter(chunks, lambda c: F.length(c) > rules.MIN_CHUNK_CHARS))
-    per_note = F.when(F.col(G.HARM).isNull() & F.col("has_text"), kept).otherwise(F.lit(0))
-    counts = prepared.agg(F.sum(per_note).alias("_samples"), *R.rejection_exprs())
-    return R.run_summary(counts, F.col("_samples"), "sharegpt", True, True)
+    """A4 + A5: the summary of the notes job."""
+    return _summary_row(spark, _notes_run(spark, sf_dir, "sharegpt"), "sharegpt")
+
+
+def q_pipeline_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 to K1 for every source kind: the run's summary, and the records read back from what it wrote."""
+    convs = conversations_with_hits(spark, sf_dir)
+    runs = []
+    for kind, dataset_format in (("chat_tree", "alpaca"), ("message_log", "sharegpt"), ("notes", "jsonl")):
+        if kind == "notes":
+            run = _notes_run(spark, sf_dir, dataset_format)
+        else:
+            render_files = render.render_chat_tree if kind == "chat_tree" else render.render_message_logs
+            source = render_files(convs, scratch_path(spark, f"e2e-{kind}"))
+            run = dataset.build_dataset(spark, kind, source, scratch_path(spark, f"e2e-{kind}-out"), dataset_format)
+        records, characters = jsonl.read_jsonl(spark, run["output"]).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("record")), F.lit(0))).first()
+        row = _summary_row(spark, run, dataset_format)
+        runs.append(row.select(F.lit(kind).alias("source"), "*", F.lit(records).cast("long").alias("records"), F.lit(characters).cast("long").alias("characters")))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 # --- conversations ----------------------------------------------------------
@@ -274,6 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jsonl_sink": q_jsonl_sink,
     "samples_end_to_end": q_samples_end_to_end,
     "notes_stream": q_notes_stream,
+    "pipeline_e2e": q_pipeline_e2e,
 }
 
 

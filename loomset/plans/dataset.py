@@ -10,6 +10,8 @@ is scanned once; message-log rejections come from an exact aggregate (see
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,7 +238,6 @@ def plan_dataset(
         raise ValueError(f"unknown dataset format {dataset_format!r}; expected one of {sorted(FMT.FORMATTERS)}")
     if kind not in SOURCE_KINDS:
         raise ValueError(f"unknown source kind {kind!r}; expected one of {SOURCE_KINDS}")
-    written = Observation("samples")
     if kind == "message_log":
         lines = message_log.read_message_log(spark, path)
         blocks = message_log_blocks(lines, enforce_guardrails)
@@ -245,8 +246,32 @@ def plan_dataset(
     else:
         rejected = Observation("rejections")
         samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected, mode, multi_line, hidden)
-    records = FMT.format_samples(samples, dataset_format).observe(written, F.count(F.lit(1)).alias("samples"))
-    return records, written, rejected
+    return *plan_records(samples, dataset_format), rejected
+
+
+def plan_records(samples: DataFrame, dataset_format: str) -> tuple[DataFrame, Observation]:
+    """Records of ``samples`` in a format, and the observation that counts them as they are written."""
+    written = Observation("samples")
+    return FMT.format_samples(samples, dataset_format).observe(written, F.count(F.lit(1)).alias("samples")), written
+
+
+def write_dataset(
+    records: DataFrame, written: Observation, rejected: Observation | DataFrame, output: str, compression: str = "none"
+) -> dict:
+    """Write planned records as JSONL under ``output``; the sample count and the rejection counts of the run.
+
+    A run without samples leaves an earlier dataset at ``output`` alone (a new path becomes an empty folder): the
+    records are written beside it and take its place only if there are any.
+    """
+    spark = records.sparkSession
+    if not jsonl.exists(spark, output):
+        jsonl.write_jsonl(records, output, compression=compression)
+    else:
+        staged = f"{output.rstrip('/')}.staged-{uuid.uuid4().hex[:12]}"
+        jsonl.write_jsonl(records, staged, compression=compression)
+        jsonl.replace(spark, staged, output, keep_target=written.get["samples"] == 0)
+    counts = rejected.get if isinstance(rejected, Observation) else rejected.first().asDict()
+    return {"samples": int(written.get["samples"])} | {k: int(v) for k, v in counts.items()}
 
 
 def build_dataset(
@@ -271,17 +296,13 @@ def build_dataset(
     records, written, rejected = plan_dataset(
         spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words, mode, multi_line, hidden
     )
-    jsonl.write_jsonl(records, output, compression=compression)
-    counts = rejected.get if isinstance(rejected, Observation) else rejected.first().asDict()
     summary = {
         "source": kind,
         "dataset_format": dataset_format,
         "sanitize_pii": sanitize_pii,
         "enforce_guardrails": enforce_guardrails,
         "output": output,
-        "samples": int(written.get["samples"]),
-    }
-    summary.update({k: int(v) for k, v in counts.items()})
+    } | write_dataset(records, written, rejected, output, compression)
     if kind == "notes":
         summary["skipped_files"] = notes.count_note_files(spark, path) - summary[NOTES_READ]
     if kind == "chat_tree":

@@ -239,6 +239,46 @@ def notes_stream() -> str:
     return _chunks_sql() + f"SELECT chunk FROM c WHERE length(chunk) > {MIN_CHARS}"
 
 
+def _run_row(source: str, dataset_format: str, records: str, judged: str) -> str:
+    """A run's summary from its record and verdict tables."""
+    per = ", ".join(f"(SELECT count(*) FILTER (WHERE harm_category = {lit(c)}) FROM {judged}) AS {c}" for c in CATS)
+    return (
+        f"SELECT {lit(source)} AS source, {lit(dataset_format)} AS dataset_format, true AS sanitize_pii, true AS enforce_guardrails, "
+        f"count(*) AS samples, {per}, (SELECT count(harm_category) FROM {judged}) AS rejected, count(*) AS records, "
+        f"CAST(coalesce(sum(length(record)), 0) AS BIGINT) AS characters FROM {records}"
+    )
+
+
+def pipeline_e2e() -> str:
+    tree_records = (
+        "tree_records AS (SELECT to_json(struct_pack(instruction := conversations[1].content, input := '', "
+        "output := conversations[2].content)) AS record FROM a)"
+    )
+    tree_judged = f"tree_judged AS (SELECT {harm('content')} AS harm_category FROM m WHERE {F2})"
+    log_records = "log_records AS (SELECT '{\"conversations\":' || conversations_json || '}' AS record FROM lw)"
+    log_judged = (
+        f"log_judged AS (SELECT {harm('content')} AS harm_category FROM lm WHERE content <> '' "
+        f"AND NOT starts_with(content, {lit(rules.MEDIA_PREFIX)}))"
+    )
+    note_records = (
+        f"note_records AS (SELECT to_json(struct_pack(instruction := {lit(rules.NOTE_INSTRUCTION_PREFIX)} || 'doc_' || "
+        f"CAST(doc_id AS VARCHAR) || '.txt', input := '', output := chunk)) AS record FROM c WHERE length(chunk) > {MIN_CHARS})"
+    )
+    return (
+        _chunks_sql()
+        + f", {CONVS}, {MESSAGES}, {ASSEMBLED}, {_windows(_log_content(), LOG_FILE)}, "
+        + ", ".join([tree_records, tree_judged, log_records, log_judged, note_records])
+        + " "
+        + " UNION ALL ".join(
+            [
+                _run_row("chat_tree", "alpaca", "tree_records", "tree_judged"),
+                _run_row("message_log", "sharegpt", "log_records", "log_judged"),
+                _run_row("notes", "jsonl", "note_records", "prepared"),
+            ]
+        )
+    )
+
+
 ORACLE: dict[str, str] = {
     "harm_category": harm_category(),
     "harm_filter": harm_filter(),
@@ -261,4 +301,5 @@ ORACLE: dict[str, str] = {
     "jsonl_sink": jsonl_sink(),
     "samples_end_to_end": samples_end_to_end(),
     "notes_stream": notes_stream(),
+    "pipeline_e2e": pipeline_e2e(),
 }

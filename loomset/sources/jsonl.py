@@ -21,3 +21,25 @@ def write_jsonl(records: DataFrame, path: str, record_col: str = "record", compr
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Read a written dataset back as ``record`` strings."""
     return spark.read.text(path).withColumnRenamed("value", "record")
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, fs = _folder(spark, path)
+    return fs.exists(where)
+
+
+def replace(spark: SparkSession, staged: str, target: str, keep_target: bool) -> None:
+    """Put the finished folder ``staged`` in the place of ``target``, or drop it (``keep_target``)."""
+    new, fs = _folder(spark, staged)
+    old, _ = _folder(spark, target)
+    if keep_target:
+        fs.delete(new, True)
+        return
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"could not move {staged} to {target}")

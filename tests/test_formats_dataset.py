@@ -133,3 +133,27 @@ def test_chunk_words_must_be_positive(spark, tmp_dir):
     _write(f"{tmp_dir}/cw/a.txt", "x " * 100)
     with pytest.raises(ValueError):
         dataset.read_samples(spark, "notes", f"{tmp_dir}/cw", chunk_words=0)
+
+
+def test_a_run_without_samples_leaves_an_earlier_dataset_alone(spark, tmp_dir):
+    import os
+
+    from loomset.plans import dataset
+    from loomset.sources import jsonl
+
+    def note(folder, text):
+        os.makedirs(f"{tmp_dir}/{folder}", exist_ok=True)
+        with open(f"{tmp_dir}/{folder}/a.txt", "w") as f:
+            f.write(text)
+        return f"{tmp_dir}/{folder}"
+
+    full, empty = note("full", "some words of a note " * 5), note("empty", "short")
+    out = f"{tmp_dir}/out"
+    assert dataset.build_dataset(spark, "notes", empty, out)["samples"] == 0
+    assert jsonl.read_jsonl(spark, out).count() == 0 and os.path.isdir(out)  # a new path: an empty folder
+    assert dataset.build_dataset(spark, "notes", full, out)["samples"] == 1
+    assert dataset.build_dataset(spark, "notes", empty, out)["samples"] == 0
+    assert jsonl.read_jsonl(spark, out).count() == 1
+    assert dataset.build_dataset(spark, "notes", note("other", "other words of a note " * 6), out)["samples"] == 1
+    assert "other" in jsonl.read_jsonl(spark, out).first()["record"]
+    assert [d for d in os.listdir(tmp_dir) if "staged" in d] == []
