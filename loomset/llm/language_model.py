@@ -40,7 +40,7 @@ from loomset.llm.exchange import (
 )
 from loomset.llm.wordhash import groups, pair_hash, words
 
-PACK = 4 << 20
+PACK = 8 << 20
 BUCKET = 24 << 20
 #: Bytes of a hash that are exchanged (beside its bucket): for single words and for pairs.
 WORD_BYTES, PAIR_BYTES = 6, 5
@@ -144,8 +144,10 @@ class Pack:
     def answers(self, blobs: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Counts in all training texts of the pack's distinct words and pairs."""
         word, pair = np.zeros(len(self.word_order), np.int64), np.zeros(len(self.pair_order), np.int64)
+        self.distinct: dict[int, int] = {}  # distinct training words of each bucket
         for b, blob in blobs.items():
-            w, p = expand(blob, np.uint8, np.uint8)
+            w, p, distinct = expand(blob, np.uint8, np.uint8, np.int64)
+            self.distinct[b] = int(distinct[0])
             word[self.word_order[slice(*self.word_bounds[b : b + 2])]] = from_planes(w, 5).astype(np.int64)
             pair[self.pair_order[slice(*self.pair_bounds[b : b + 2])]] = from_planes(p, 5).astype(np.int64)
         return word, pair
@@ -177,17 +179,14 @@ def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nd
 
 
 def _answers(requests: DataFrame) -> DataFrame:
-    """The answer to each request; a row with a negative pack holds the number of distinct words of its bucket."""
+    """The answer to each request: the counts of its keys, and the number of distinct training words in the bucket."""
 
     def count(table: pa.Table) -> pa.Table:
         parts = [expand(blob.as_py(), np.uint8, np.uint8, np.uint8, np.uint8) for blob in table["blob"]]
         word, distinct = _total([unpack_sorted(p[0], WORD_BYTES) for p in parts], [from_planes(p[1], 4) for p in parts])
         pair, _ = _total([unpack_sorted(p[2], PAIR_BYTES) for p in parts], [from_planes(p[3], 4) for p in parts])
-        blobs = [squeeze(planes(w, 5), planes(p, 5)) for w, p in zip(word, pair)]
-        bucket = table["bucket"][0].as_py()
-        blobs.append(str(distinct).encode())
-        pack = [*table["pack"].to_pylist(), -1]
-        return pa.table([pa.array(pack, pa.int64()), pa.array([bucket] * len(pack), pa.int32()), pa.array(blobs, pa.binary())], names=["pack", "bucket", "blob"])
+        blobs = [squeeze(planes(w, 5), planes(p, 5), np.array([distinct], np.int64)) for w, p in zip(word, pair)]
+        return pa.table([table["pack"], table["bucket"], pa.array(blobs, pa.binary())], names=["pack", "bucket", "blob"])
 
     return requests.groupBy("bucket").applyInArrow(count, EXCHANGE)
 
@@ -220,7 +219,7 @@ def _divide(a: np.ndarray, b) -> np.ndarray:
 
 
 def _grid(joined: DataFrame, buckets: int, tokens: int) -> DataFrame:
-    """``cell, n``: training tokens by context bucket and held-out estimates."""
+    """``cell, n``: training tokens by context bucket and held-out estimates; -1 - b: distinct training words of bucket b."""
     schema = "cell long, n long"
     target = arrow_schema(joined.sparkSession, schema)
 
@@ -232,9 +231,11 @@ def _grid(joined: DataFrame, buckets: int, tokens: int) -> DataFrame:
                 one, two, context = e.one[own] - 1, e.two[own] - 1, e.context[own] - 1
                 cell = (_magnitude(context) * LEVELS + _level(_divide(two, context))) * LEVELS + _level(_divide(one, max(tokens - 1, 0)))
                 found, n = np.unique(cell, return_counts=True)
+                found = np.concatenate([found, [-1 - b for b in e.pack.distinct]]).astype(np.int64)
+                n = np.concatenate([n, list(e.pack.distinct.values())]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], schema=target)
 
-    return joined.select("blob", "parts").mapInArrow(count, schema).groupBy("cell").agg(F.sum("n").alias("n"))
+    return joined.select("blob", "parts").mapInArrow(count, schema).groupBy("cell").agg(F.expr("if(cell < 0, max(n), sum(n)) AS n"))
 
 
 def mixture_weights(cells: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -269,10 +270,11 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     packed = packs(docs, held_out)
     size, tokens = (x or 0 for x in packed.agg(F.sum("size"), F.sum("train")).first())
     buckets = parts_for(size, BUCKET, 24)
-    answers = materialise(_answers(_requests(packed, buckets)))
-    vocabulary = int(answers.where("pack < 0").agg(F.sum(F.col("blob").cast("string").cast("long"))).first()[0] or 0)
-    joined = materialise(packed.select("pack", "blob").join(by_pack(answers.where("pack >= 0"), "parts"), "pack"))
-    cells = _grid(joined, buckets, tokens).collect()  # at most MAGNITUDES * LEVELS ** 2 rows
+    answers = by_pack(_answers(_requests(packed, buckets)), "parts")
+    joined = materialise(packed.select("pack", "blob").join(answers, "pack"))
+    found = _grid(joined, buckets, tokens).collect()  # at most MAGNITUDES * LEVELS ** 2 rows and one per bucket
+    vocabulary = sum(n for cell, n in found if cell < 0)
+    cells = [row for row in found if row[0] >= 0]
     weights = mixture_weights(np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], float), vocabulary)
     target = arrow_schema(docs.sparkSession, RESULT)
 
