@@ -2,8 +2,9 @@
 
 Two dictionaries are trained, one from good and one from bad labelled texts. A text is cut into blocks of ``BLOCK``
 bytes and each block is compressed with either dictionary, so the dictionaries weigh as much at a long text's end as at
-its start. From the two total sizes come the normalised difference (bad - good) / (bad + good) and the rate good /
-bytes; a logistic regression fitted on other labelled texts turns them into the probability of label 1.
+its start. From the two total sizes come the normalised difference (bad - good) / (bad + good) and the rates good / bytes and
+bad / bytes; a logistic regression on them and on squares and product of difference and rate, fitted on other labelled
+texts, turns them into the probability of label 1.
 
 Fitting uses a bounded sample: of each label at most ``sample`` texts (those with the smallest hash of doc_id), at most
 ``EXCERPT`` bytes of each; one half trains the dictionaries, the other the calibration, weighted back to the share of
@@ -68,7 +69,8 @@ def sizes(data: bytes, good: bytes, bad: bytes) -> tuple[int, int]:
 
 def _features(data: bytes, good: bytes, bad: bytes) -> list[float]:
     g, b = sizes(data, good, bad)
-    return [(b - g) / (b + g), min(2.0, g / len(data)), min(2.0, b / len(data))]
+    difference, rate = (b - g) / (b + g), min(2.0, g / len(data))
+    return [difference, rate, min(2.0, b / len(data)), difference * difference, difference * rate, rate * rate]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
