@@ -428,9 +428,10 @@ def _run(rows: DataFrame, length: int) -> tuple[DataFrame, int]:
     packed = packs(rows, length)
     buckets = parts_for(packed.agg(F.sum("size")).first()[0] or 0, BUCKET, 24)
     parts = materialise(by_pack(_repeated(_anchor_keys(packed, buckets, length)), "parts"))
-    sent = packed.select("pack", "blob").join(parts, "pack")
-    verdicts = materialise(by_pack(_verdicts(_snippets(sent, buckets, length), length), "verdicts"))
-    return packed.drop("size").join(parts, "pack", "left").join(verdicts, "pack", "left"), buckets
+    # both uses of this join read the same columns and run in one plan, so packs are shuffled once and read twice
+    sent = packed.select("pack", "blob", *(c for c in ["rest"] if c in rows.columns)).join(parts, "pack", "left")
+    verdicts = by_pack(_verdicts(_snippets(sent, buckets, length), length), "verdicts")
+    return sent.join(verdicts, "pack", "left"), buckets
 
 
 def _documents(blob: bytes, parts, verdicts, buckets: int, length: int) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
