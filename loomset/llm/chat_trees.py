@@ -54,25 +54,24 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     # up: the ancestor 2 ** k above; total and turns: what lies from the node to below that ancestor
     state = materialise(linked.select("tree_id", "node_id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("turns")))
     parents = state.where("up is not null").select("tree_id", F.col("up").alias("node_id"))
+    done, still = state.where("up is null"), state.where("up is not null")
     jumps: list[DataFrame] = []
     before = None
     while True:
-        open_now = state.where("up is not null").count()
-        if not open_now or open_now == before:  # every path has met its root; what stays open circles
+        number = still.count()
+        if not number or number == before:  # every path has met its root; what is left circles
             break
-        before = open_now
-        jumps.append(state.where("up is not null").select("tree_id", "node_id", "up"))
-        above = state.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("turns").alias("further"))
-        state = materialise(
-            state.join(above, ["tree_id", "up"], "left").select(
-                "tree_id",
-                "node_id",
-                F.col("next").alias("up"),
-                (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-                (F.col("turns") + F.coalesce("further", F.lit(0))).alias("turns"),
-            )
+        before = number
+        jumps.append(still.select("tree_id", "node_id", "up"))
+        above = done.unionByName(still).select(
+            "tree_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("turns").alias("further")
         )
-    leaves = state.where("up is null").join(parents, ["tree_id", "node_id"], "left_anti")
+        moved = still.join(above, ["tree_id", "up"]).select(
+            "tree_id", "node_id", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("turns") + F.col("further")).alias("turns")
+        )
+        moved = materialise(moved)  # paths that have met their root take no further part
+        done, still = done.unionByName(moved.where("up is null")), moved.where("up is not null")
+    leaves = done.join(parents, ["tree_id", "node_id"], "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("turns"), "node_id")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches)
     members = materialise(chosen.select("tree_id", "branch", F.col("total").alias("branch_score"), "node_id", (F.col("turns") - 1).alias("place")))
