@@ -186,7 +186,9 @@ def grouped(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = roots.select(F.col("node.fp").alias("fp"), "root")
     root = F.coalesce("root", "name")
     component = F.when(~root["unknown"], root["least"]).alias("component_id")
-    return rows.join(classes.join(roots, "fp", "left").select("fp", component), "fp")
+    # written first: a join of two plain tables is one whose large keys Spark splits, and exact copies share a fingerprint
+    labelled = materialise(classes.join(roots, "fp", "left").select("fp", component))
+    return rows.join(labelled, "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
