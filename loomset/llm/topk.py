@@ -192,11 +192,13 @@ def top_k(vectors: DataFrame, k: int, modulus: int, scale: float, vec_id: str =
     full = home.groupBy("block", "number").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
     full = full.groupBy("block").agg(F.collect_list(F.struct("number", "floor")).alias("floors"))  # at most SHARD entries
     blocks = built.select(F.col("shard").alias("block"), "width", "queries").join(full, "block", "left")
-    places = built.select("shard", "width")
     # every block goes to every other shard of its length: the stated query set against all rows, block by block
-    sent = blocks.join(places.groupBy("width").agg(F.collect_list("shard").alias("all")), "width")
-    sent = sent.withColumn("shard", F.explode("all")).where("shard <> block").drop("all", "width")
-    away = _search_rows(sent.join(built.select("shard", "width", "tree"), "shard"), k)
+    in_width = Window.partitionBy("width").orderBy("shard")
+    places = built.select("shard", "width").withColumn("place", F.row_number().over(in_width) - 1).drop("width")  # a number per shard
+    sent = blocks.join(built.groupBy("width").agg(F.count("*").cast("int").alias("shards")), "width")
+    sent = sent.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    trees = built.select("shard", "width", "tree").join(places, "shard")
+    away = _search_rows(sent.join(trees, ["width", "place"]).where("shard <> block"), k)
     order = Window.partitionBy("block", "number").orderBy(F.desc("score"), "vec_id")
     ranked = home.unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
