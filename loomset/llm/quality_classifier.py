@@ -31,7 +31,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loomset.llm.common import doc_bytes, is_held_out, map_rows, spread
 
-SAMPLE = 4096
+SAMPLE = 2048
 EXCERPT = 8192
 BLOCK = 2048
 DICTIONARY = 65536
