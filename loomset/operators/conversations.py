@@ -165,6 +165,33 @@ def _assemble_windows(
     )
 
 
+def short_log_windows(
+    df: DataFrame,
+    file_col: str,
+    order_col: str,
+    sender_col: str,
+    content_col: str,
+    size: int = rules.LOG_WINDOW,
+    min_turns: int = rules.MIN_TURNS,
+) -> DataFrame:
+    """:func:`tumbling_windows` for logs of bounded length: a log is ordered by one task, in one pass and one shuffle.
+
+    The caller knows that no log is longer than what one task may order.
+    """
+    place = F.row_number().over(Window.partitionBy(file_col).orderBy(order_col)) - 1
+    item = F.struct(
+        F.col("_i").alias("o"),
+        F.when(F.col("_i") % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.concat(F.col(sender_col), F.lit(": "), F.col(content_col)).alias("content"),
+    )
+    rows = df.withColumn("_i", place.cast("bigint"))
+    rows = rows.select(file_col, F.expr(f"_i div {size}").cast("bigint").alias("window_index"), item.alias("_item"))
+    windows = rows.groupBy(file_col, "window_index").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    return windows.select(
+        file_col, "window_index", F.size("_items").cast("bigint").alias("n_messages"), _messages(F.col("_items")).alias("conversations")
+    ).where(F.col("n_messages") >= min_turns)
+
+
 _BYTE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40, "p": 1 << 50, "pb": 1 << 50}
 
 

@@ -109,16 +109,23 @@ def table_log_samples(
 
     The text is stripped and must be non-empty and not a media placeholder; the
     rest is the message-log flow. ``block_size`` consecutive lines of a log form
-    one ordering block, so a very long log is ordered by many tasks.
+    one ordering block, so a very long log is ordered by many tasks. Where the
+    order column alone (one pruned scan) says that every log lies in one block,
+    logs are ordered directly, without the pass that counts blocks.
     """
+    block = F.expr(f"{order_col} div {block_size}")
+    first, last = lines.agg(F.min(block), F.max(block)).first()
     msgs = lines.select(
         F.col(file_col).alias("file"),
-        F.expr(f"{order_col} div {block_size}").alias("block"),
+        block.alias("block"),
         F.col(order_col).alias("line_id"),
         F.col(sender_col).alias("sender"),
         T.strip(F.col(text_col)).alias("content"),
     ).where((F.col("content") != "") & ~F.col("content").startswith(rules.MEDIA_PREFIX))
-    return message_log_samples(msgs, sanitize_pii, enforce_guardrails)
+    if first != last:
+        return message_log_samples(msgs, sanitize_pii, enforce_guardrails)
+    kept = G.redact_column(G.keep_clean(G.classify(msgs, "content", enforce_guardrails)), "content", sanitize_pii)
+    return _window_samples(C.short_log_windows(kept, "file", "line_id", "sender", "content"))
 
 
 def message_log_blocks(lines: DataFrame, enforce_guardrails: bool = True) -> DataFrame:
@@ -157,7 +164,10 @@ def message_log_samples(
     kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii)
     if blocks is None:
         blocks = message_log_blocks(lines, enforce_guardrails)
-    windows = C.tumbling_windows(kept, "file", "block", "line_id", "sender", "content", counts=blocks)
+    return _window_samples(C.tumbling_windows(kept, "file", "block", "line_id", "sender", "content", counts=blocks))
+
+
+def _window_samples(windows: DataFrame) -> DataFrame:
     return FMT.conversation_samples(windows, F.concat_ws("#", "file", F.col("window_index").cast("string")), "message_log")
 
 
