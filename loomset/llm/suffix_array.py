@@ -80,8 +80,8 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndar
         part = padded[at : min(len(padded), stop + reach + 2 * GRAM)]
         word = _words_at(part)
         value = gram_hash(word[:-8], word[8:])[: stop - at + reach - 1]
-        if len(value) < stop - at:
-            value = np.concatenate([value, np.zeros(stop - at - len(value), np.uint64)])
+        missing = stop - at + reach - 1 - len(value)  # behind the data, where no window ends: never the smallest
+        value = np.concatenate([value, np.full(max(0, missing), np.iinfo(np.uint64).max)])
         best, place, span = value, np.arange(len(value), dtype=np.int32), 1
         while span < reach:
             step = min(span, reach - span)
@@ -201,7 +201,6 @@ def _anchor_keys(packed: DataFrame, buckets: int, length: int) -> DataFrame:
             for number, blob in batch_rows(batch, "pack", "blob"):
                 pack = Pack(blob, length)
                 found, place, bounds = _key_order(pack.keys(), buckets)
-                several = np.zeros(len(found), bool)  # in several texts of this pack
                 low = np.full(len(found), len(pack.ids))
                 high = np.full(len(found), -1)
                 np.minimum.at(low, place, pack.text)

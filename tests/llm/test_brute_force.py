@@ -65,6 +65,28 @@ def test_suffix_array(small, texts, monkeypatch, pack):
     assert got == want
 
 
+@pytest.mark.parametrize("total", [0, 1, 49, 50, 51, 63, 64, 65, 72, 127, 128, 129, 136, 200, 1000, 1023, 1024, 1030])
+def test_anchors_do_not_depend_on_slices(monkeypatch, total):
+    """Texts of any total length, cut into slices at any place, have the anchors that every window by itself has."""
+    rng = np.random.default_rng(total)
+    data = rng.integers(97, 100, total).astype(np.uint8)
+    cuts = np.sort(rng.integers(0, total + 1, 3))
+    lengths = np.diff(np.concatenate([[0], cuts, [total]]))
+    padded = np.concatenate([data, np.zeros(64, np.uint8)])
+    word = suffix_array._words_at(padded)
+    value = suffix_array.gram_hash(word[:-8], word[8:])
+    want, ends = [], np.cumsum(lengths)
+    for end, n in zip(ends, lengths):
+        for start in range(end - n, end - 49):
+            want.append((start, start + int(np.argmin(value[start : start + 35]))))
+    for size in (64, 1 << 19):
+        monkeypatch.setattr(suffix_array, "SLICE", size)
+        counts, shifts = suffix_array.anchors(data, lengths, 50)
+        first = np.cumsum(counts.astype(int)) - counts
+        got = [(want[f + k][0], want[f][0] + int(s)) for f, c, s in zip(first, counts, shifts) for k in range(c)]
+        assert got == want
+
+
 def test_strip_repeats(small, texts):
     got = collections.Counter((r["doc_id"], r["text"]) for r in suffix_array.strip_repeats(small).collect())
     assert got == collections.Counter((i, np.frombuffer(t, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")) for i, t, gone in window_marks(texts))
