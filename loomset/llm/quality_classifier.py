@@ -36,6 +36,9 @@ EXCERPT = 8192
 BLOCK = 2048
 DICTIONARY = 65536
 LEVEL = 3
+#: Constant part of the ridge, which holds the calibration back where few texts are labelled, and the bound of its features
+#: in standard deviations, so that no text is judged by extrapolation.
+FEW, FAR = 5.0, 4.0
 
 
 @dataclass(frozen=True)
@@ -103,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = np.repeat([0.0, 1.0], [len(texts[q][1::2]) for q in (0, 1)])
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(good, bad, tuple(_logistic((x - mean) / scale, y, weight)), tuple(mean), tuple(scale), share)
+    return Model(good, bad, tuple(_logistic(np.clip((x - mean) / scale, -FAR, FAR), y, weight)), tuple(mean), tuple(scale), share)
 
 
 def _without(text: bytes, shared: set[bytes]) -> bytes:
@@ -122,7 +125,7 @@ def _dictionary(texts: list[bytes]) -> bytes:
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
     """Weighted ridge logistic regression by Newton's method; the last coefficient is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.diag([ridge * len(x)] * (x.shape[1] - 1) + [1e-9])
+    penalty = np.diag([ridge * len(x) + FEW] * (x.shape[1] - 1) + [1e-9])
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -139,7 +142,7 @@ def probability(data: bytes, model: Model) -> float:
         return model.share
     z = model.weights[-1]
     for f, m, s, w in zip(_features(data, model.good, model.bad), model.mean, model.scale, model.weights):
-        z += w * (f - m) / s
+        z += w * max(-FAR, min(FAR, (f - m) / s))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
