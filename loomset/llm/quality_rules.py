@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted-target and the raw-corpus multinomial.
 
 Every document's words, its word pairs and the shapes of its words are hashed into ``BUCKETS`` counters, once over all
-documents (raw) and once over the documents that the trusted set names (target; a bounded sample of it). With add-one smoothing that makes two
+documents (raw) and once over all documents that the trusted set names (target). With add-one smoothing that makes two
 multinomials. A document's verdict is the mean over its n-grams of log(p_target / p_raw); it is kept from ``threshold``
 on. The counters are the only thing gathered: ``2 * BUCKETS`` numbers, whatever the size of the corpus; each task adds
 up its own before they are summed by bucket, so no common word meets in one task.
@@ -33,8 +33,6 @@ from loomset.llm.wordhash import groups, pair_hash, words
 BUCKETS = 1 << 16
 THRESHOLD = -0.5
 MIN_WORDS = 50
-#: Bound of the labelled sample that the target multinomial is fitted on (documents).
-MAX_TRUSTED = 16384
 SYMBOLS = "#*$%&|<>"
 
 
@@ -61,11 +59,10 @@ def features(texts: list[bytes], buckets: int = BUCKETS) -> Iterator[tuple[np.nd
 def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``bucket, raw, target``: counts over all documents and over those whose doc_id is in ``trusted`` (column doc_id).
 
-    At most ``MAX_TRUSTED`` ids are used, those with the smallest hash, so the set that is broadcast has a fixed bound.
+    All ids are used. Ids and texts meet in one shuffle whatever their number, so nothing that grows is broadcast.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    wanted = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED).withColumn("target", F.lit(True))
-    rows = doc_bytes(docs).join(F.broadcast(wanted), "doc_id", "left")
+    rows = doc_bytes(docs).join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
     schema = "bucket int, raw long, target long"
     out = arrow_schema(docs.sparkSession, schema)
 

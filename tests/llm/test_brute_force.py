@@ -310,6 +310,14 @@ def test_quality_rules(spark, small, texts):
     assert np.allclose(sorted(w[7] for w in want), sorted(g[7] for g in got), atol=2e-3)
 
 
+def test_quality_rules_count_all_trusted_documents(spark):
+    n = 17_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 7, ' x') as text")
+    trusted = spark.range(n).selectExpr("explode(array(id, id)) as doc_id")
+    counts = quality_rules.ngram_counts(docs, trusted).collect()
+    assert counts and all(r["raw"] == r["target"] for r in counts)
+
+
 def test_word_hashes():
     pieces = [b"a bc  a\nbc", "x\x0by é".encode(), b"", b"   ", b"bc " * 1000 + b"a" * 400, b"A1 b2 AA11"]
     number, hashes, shapes = wordhash.words(pieces, shapes=True)
