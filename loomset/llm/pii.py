@@ -3,15 +3,17 @@
 Numbers and dates that pass their format's check are permuted within that format by a keyed Feistel network, so equal
 values stay equal in all documents, different values stay different, and the result is valid again:
 
-- payment cards: 13 to 19 digits with a right Luhn digit; the first digit stays, the Luhn digit is worked out anew;
-- phone numbers of the North American form; area and exchange codes keep their class of first digit;
+- payment cards: 13 to 19 digits with a right Luhn digit, unbroken, in fours, or grouped 4-6-5 or 4-6-4; the first digit
+  stays, the Luhn digit is worked out anew;
+- phone numbers of the North American form, without separators where area and exchange codes are 200 or more; these codes
+  keep their class of first digit;
 - social security numbers without the blocks that are never issued; IPv4 addresses;
 - dates from 1900 to 2099 that exist, as year-month-day, day.month.year or month/day/year (day/month/year where only
   that exists).
 
 The network works on two numbers below ``a`` and ``b`` that together name a value of the format, a * b of them; in turn
 each gets a keyed SHA-256 of the other added modulo its own range, so it is a permutation for any ranges. E-mail
-addresses, access keys and values after password, token, secret or key have no such range; they become keyed hashes of the
+addresses, access keys (AKIA, sk-, ghp_, AIzaSy) and values after password, token, secret or key have no such range; they become keyed hashes of the
 same form and length, linked in the same way. Numbers that fail their check are no such data and stay.
 
 The text is split at the matches and put together again around their pseudonyms: two passes of one pattern, the second
@@ -32,16 +34,19 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-ACCESS_KEY = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
+ACCESS_KEY = r"(?:AKIA[0-9A-Z]{16}|sk-[0-9A-Za-z]{20,}+|ghp_[0-9A-Za-z]{36}|AIzaSy[0-9A-Za-z_-]{33})(?![0-9A-Za-z])"
 SECRET = r"""(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[0-9A-Za-z_-]{8,}+"""
 DATE = (
     r"(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9]\.[01]?[0-9]\.(?:19|20)[0-9]{2}|[0-3]?[0-9]/[0-3]?[0-9]/(?:19|20)[0-9]{2})(?![0-9])"
 )
 SSN = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 IP = rf"(?<![0-9]\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
-PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9])"
-ANY = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL}|{ACCESS_KEY})|(?<![A-Za-z]){SECRET}|(?<![0-9])(?=[0-9+(])(?:{DATE}|{SSN}|{IP}|{PHONE}|{CARD})"
+_SEPARATED = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+#: Where separators are missing, both codes start from 200 on, and decimals of a number are none.
+_JOINED = r"(?<![0-9]\.)(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{2}[ .-]?[0-9]{4}"
+PHONE = rf"(?:{_SEPARATED}|{_JOINED})(?![0-9])"
+CARD = r"(?:[0-9]{13,19}|[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{6}\1[0-9]{4,5}))(?![0-9])"
+ANY = rf"(?<![A-Za-z0-9._%+-]){EMAIL}|(?<![0-9A-Za-z_]){ACCESS_KEY}|(?<![A-Za-z]){SECRET}|(?<![0-9])(?=[0-9+(])(?:{DATE}|{SSN}|{IP}|{PHONE}|{CARD})"
 
 #: Kinds in the order in which a match is told; the first whose pattern matches it whole is its kind.
 KINDS = {"email": EMAIL, "access_key": ACCESS_KEY, "secret": SECRET, "date": DATE, "ssn": SSN, "ip": IP, "phone": PHONE, "card": CARD}
@@ -212,7 +217,13 @@ def email(text: Column, key: str) -> Column:
 
 
 def access_key(text: Column, key: str) -> Column:
-    return F.concat(F.lit("AKIA"), F.upper(F.substring(_hashed(text, key, "access_key"), 1, 16)))
+    def changed(head: Column) -> Column:
+        n = F.char_length(text) - F.char_length(head)
+        whole = F.sha2(F.concat_ws("|", F.lit(key), F.lit("access_key"), text).cast("binary"), 256)  # case counts
+        return F.concat(head, F.substr(F.repeat(whole, F.ceil(n / 64).cast("int")), F.lit(1), n))
+
+    upper = F.concat(F.lit("AKIA"), F.upper(F.substring(_hashed(text, key, "access_key"), 1, 16)))
+    return F.when(text.startswith("AKIA"), upper).otherwise(_let(F.regexp_extract(text, "^(sk-|ghp_|AIzaSy)", 1), changed))
 
 
 def secret(text: Column, key: str) -> Column:

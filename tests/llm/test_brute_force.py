@@ -416,6 +416,41 @@ def test_pseudonyms_keep_forms_and_links(spark):
     assert pseudonyms(spark, values, "other key") != out
 
 
+@pytest.mark.parametrize("form", ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "3056-930902-5904"])
+def test_grouped_cards(spark, form):
+    d = "".join(c for c in form if c.isdigit())
+    low = (len(d) - 2) // 2
+    high = len(d) - 2 - low
+    left, right = feistel(int(d[1 : 1 + high]), int(d[1 + high : -1]), 10**high, 10**low, "k", "card")
+    body = f"{d[0]}{left:0{high}d}{right:0{low}d}"
+    digits = iter(body + next(c for c in "0123456789" if luhn(body + c)))
+    want = "".join(next(digits) if c.isdigit() else c for c in form)
+    wrong = form[:-1] + str((int(form[-1]) + 1) % 10)
+    assert pseudonyms(spark, [f"card {form}.", wrong]) == [f"card {want}.", wrong]
+
+
+@pytest.mark.parametrize("form", ["{}{}{}", "1{}{}{}", "+1{}{}{}", "+1.{}{}{}", "({}){}{}", "({})-{}-{}", "{} {}{}", "{}{}-{}"])
+def test_phones_without_separators(spark, form):
+    left, right = feistel(12 * 100 + 1, 355 * 100 + 47, 80000, 80000, "k", "phone")
+    want = form.format(left // 100 + 200, right // 100 + 200, f"{left % 100:02d}{right % 100:02d}")
+    assert pseudonyms(spark, [f"call {form.format(212, 555, '0147')}."]) == [f"call {want}."]
+
+
+@pytest.mark.parametrize("value", ["sk-" + "aB3" * 7, "sk-" + "aB3" * 40, "ghp_" + "aB3" * 12, "AIzaSy" + "a_-" * 10 + "xY9"])
+def test_bare_keys(spark, value):
+    head = next(h for h in ("sk-", "ghp_", "AIzaSy") if value.startswith(h))
+    n = len(value) - len(head)
+    want = head + (hashlib.sha256(f"k|access_key|{value}".encode()).hexdigest() * 2)[:n]
+    assert pseudonyms(spark, [f"use ({value}) or .{value}", f"x{value}"]) == [f"use ({want}) or .{want}", f"x{value}"]
+    df = spark.createDataFrame([(1, value)], "doc_id long, text string")
+    assert pii.counts(pii.mask(df, "k", found="hits"), "hits").first()["n_access_key"] == 1
+
+
+def test_numbers_that_are_no_phones_stay(spark):
+    values = ["1125550147 2121550147", "0.5772156649", "21255501478", "1700000000"]
+    assert pseudonyms(spark, values) == values
+
+
 def test_what_is_no_personal_data_stays(spark):
     values = ["999.1.1.1 and 1.2.3.4.5", "000-12-3456", "4111111111111112", "2021-02-30 2/30/2003", "12 345 6789 2021", "a@b no", "tokens = none", None, ""]
     assert pseudonyms(spark, values) == values
