@@ -12,7 +12,8 @@ far. The suffix array is built block by block and no block is ever the whole cor
    pack once. A bucket is sorted block by block. Suffixes are compared by their bytes up to the next column of a
    difference cover modulo ``PERIOD``, fewer than ``PERIOD`` of them, and longer ties by the ranks of the cover's sample
    suffixes, worked out beforehand from right to left. So no comparison reads long ties again, and memory is that of one
-   block. Neighbours in a block's suffix array that agree in ``length`` bytes form a class; its smallest doc_id decides.
+   block. Windows of an anchor with over ``HOT`` snippets go one by one to a bucket by the hash of the whole window, which
+   equal windows share. Neighbours in a block's suffix array that agree in ``length`` bytes form a class; its smallest doc_id decides.
 4. Verdicts, one bit per window, go back to the packs, where the covered bytes are taken out.
 
 Exchanged rows are packs times buckets, of bytes in proportion to the input. A passage that a third of all documents
@@ -46,6 +47,8 @@ PACK = 4 << 20
 #: Bytes of text behind one suffix bucket, and rows sorted as one block of it.
 BUCKET = 24 << 20
 BLOCK_ROWS = 1 << 16
+#: Distinct snippets of one anchor (added up over packs) beyond which its windows are dealt out one by one.
+HOT = 1 << 16
 #: A difference cover: every difference modulo PERIOD is one of two of these numbers (Colbourn and Ling's size for 16 is 5).
 PERIOD = 16
 COVER = (0, 1, 2, 5, 8)
@@ -181,6 +184,20 @@ class Pack:
         return gram_hash(both[:, 0], both[:, 1])
 
 
+def window_hash(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each place on."""
+    out = np.empty(len(start), np.uint64)
+    for at in range(0, len(start), 65536):
+        place = start[at : at + 65536]
+        part = np.zeros((len(place), -(-length // 8) * 8), np.uint8)
+        part[:, :length] = data[place[:, None] + np.arange(length)]
+        value = np.zeros(len(place), np.uint64)
+        for word in part.view("<u8").T:
+            value = mix(value * np.uint64(0x9E3779B97F4A7C15) ^ mix(word))
+        out[at : at + 65536] = value
+    return out
+
+
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
@@ -206,24 +223,33 @@ def _anchor_keys(packed: DataFrame, buckets: int, length: int) -> DataFrame:
                 np.minimum.at(low, place, pack.text)
                 np.maximum.at(high, place, pack.text)
                 several = low < high
+                times = np.bincount(place, minlength=len(found))
+                more = np.flatnonzero(times[place] > 1)
+                rows = _snippet_rows(pack, pack.anchor[more], pack.shifts[more], pack.counts[more])
+                _, one = np.unique(rows, return_index=True)  # equal snippets have one anchor
+                times[place[more]] = 0
+                np.add.at(times, place[more[one]], 1)
+                times = np.minimum(times, 65535).astype(np.uint16)
                 blobs = []
                 for b in range(buckets):
                     own = found[bounds[b] : bounds[b + 1]]
                     if len(own):
                         five = own.view(np.uint8).reshape(-1, 8)[:, :5]
-                        blobs.append((b, squeeze(five, np.packbits(several[bounds[b] : bounds[b + 1]]))))
+                        blobs.append((b, squeeze(five, np.packbits(several[bounds[b] : bounds[b + 1]]), times[bounds[b] : bounds[b + 1]])))
                 yield exchange_batch(number, blobs)
 
     return packed.select("pack", "blob").mapInArrow(send, EXCHANGE)
 
 
 def _repeated(keys: DataFrame) -> DataFrame:
-    """Per pack and bucket: a bit for each of its distinct keys, set if the key is in several texts."""
+    """Per pack and bucket: two bits for each of its distinct keys, set if the key is in several texts, and if it has over
+    ``HOT`` snippets."""
 
     def judge(table: pa.Table) -> pa.Table:
-        parts, flags = [], []
+        parts, flags, counted = [], [], []
         for blob in table["blob"]:
-            five, bits = expand(blob.as_py(), np.uint8, np.uint8)
+            five, bits, times = expand(blob.as_py(), np.uint8, np.uint8, np.uint16)
+            counted.append(times)
             wide = np.zeros((len(five) // 5, 8), np.uint8)
             wide[:, :5] = five.reshape(-1, 5)
             parts.append(wide.view("<u8").ravel())
@@ -236,9 +262,13 @@ def _repeated(keys: DataFrame) -> DataFrame:
         same[:-1] |= ranked[1:] == ranked[:-1]
         repeated = np.concatenate(flags)
         repeated[order] |= same
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        total = np.add.reduceat(np.concatenate(counted).astype(np.int64)[order], first)
+        hot = np.zeros(len(every), bool)
+        hot[order] = np.repeat(total > HOT, np.diff(np.append(first, len(every))))
         out, at = [], 0
         for part in parts:
-            out.append(squeeze(np.packbits(repeated[at : at + len(part)])))
+            out.append(squeeze(np.packbits(repeated[at : at + len(part)]), np.packbits(hot[at : at + len(part)])))
             at += len(part)
         return pa.table([table["pack"], table["bucket"], pa.array(out, pa.binary())], names=["pack", "bucket", "blob"])
 
@@ -248,39 +278,56 @@ def _repeated(keys: DataFrame) -> DataFrame:
 # --- snippets and their blocks ---------------------------------------------------------------------------------------
 
 
+def _snippet_rows(pack: Pack, anchor: np.ndarray, shift: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The snippet of each run as one value: its bytes, the column of its first window, the number of its windows."""
+    left, width = pack.length - GRAM, 2 * pack.length - GRAM
+    padded = np.concatenate([np.zeros(left, np.uint8), pack.data, np.zeros(width, np.uint8)])
+    column = np.arange(width)
+    first = left - shift
+    snippet = padded[anchor[:, None] + column]
+    inside = (column >= first[:, None]) & (column < (first + count + pack.length - 1)[:, None])
+    snippet = np.where(inside, snippet, np.uint8(0))
+    full = np.concatenate([snippet, first[:, None].astype(np.uint8), count[:, None].astype(np.uint8)], axis=1)
+    return np.ascontiguousarray(full).view(f"V{width + 2}").ravel()
+
+
 def _units(pack: Pack, bits: dict[int, bytes], buckets: int) -> dict[int, tuple[np.ndarray, ...]]:
     """Per bucket: runs whose anchor is repeated, as distinct (snippet, doc_id) units.
 
-    Gives (the runs, the unit of each run, the snippets' bytes, first columns and window counts, the snippet of each
-    unit, the doc_id of each unit). It depends on the pack and the bits alone, so both steps that call it agree.
+    The windows of a hot anchor are runs by themselves, in one of ``buckets`` further buckets by the hash of the window.
+    Gives (the runs' first windows and window counts, the unit of each run, the snippets' bytes, first columns and window
+    counts, the snippet of each unit, the doc_id of each unit). It depends on the pack and the bits alone, so both steps
+    that call it agree.
     """
-    length, left = pack.length, pack.length - GRAM
+    width = 2 * pack.length - GRAM
     keys = pack.keys()
     found, place, bounds = _key_order(keys, buckets)
-    repeated = np.zeros(len(found), bool)
+    repeated, hot = np.zeros(len(found), bool), np.zeros(len(found), bool)
     for b, blob in bits.items():
         n = bounds[b + 1] - bounds[b]
-        repeated[bounds[b] : bounds[b + 1]] = np.unpackbits(expand(blob, np.uint8)[0], count=n).astype(bool)
-    runs = np.flatnonzero(repeated[place])
-    bucket = _bucket_of(keys[runs], buckets)
+        for flags, packed in zip((repeated, hot), expand(blob, np.uint8, np.uint8)):
+            flags[bounds[b] : bounds[b + 1]] = np.unpackbits(packed, count=n).astype(bool)
+    cold = np.flatnonzero(repeated[place] & ~hot[place])
+    wide = np.flatnonzero(repeated[place] & hot[place])
+    each = pack.counts[wide]
+    step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    wide = np.repeat(wide, each)
+    runs = np.concatenate([cold, wide])
+    start = np.concatenate([pack.start[cold], pack.start[wide] + step])
+    count = np.concatenate([pack.counts[cold], np.ones(len(wide), np.int64)])
+    number = window_hash(pack.data, start[len(cold) :], pack.length) % np.uint64(buckets)
+    bucket = np.concatenate([_bucket_of(keys[cold], buckets), buckets + number.astype(np.int64)])
     order = np.argsort(bucket, kind="stable")
-    runs, bucket = runs[order], bucket[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    width = left + length
-    padded = np.concatenate([np.zeros(left, np.uint8), pack.data, np.zeros(width, np.uint8)])
-    column = np.arange(width)
+    runs, start, count, bucket = runs[order], start[order], count[order], bucket[order]
+    cuts = np.searchsorted(bucket, np.arange(2 * buckets + 1))
     out = {}
-    for b in range(buckets):
-        own = runs[cuts[b] : cuts[b + 1]]
+    for b in range(2 * buckets):
+        some = slice(cuts[b], cuts[b + 1])
+        own = runs[some]
         if not len(own):
             continue
-        first = left - pack.shifts[own]
-        count = pack.counts[own]
-        snippet = padded[pack.anchor[own][:, None] + column]
-        inside = (column >= first[:, None]) & (column < (first + count + length - 1)[:, None])
-        snippet = np.where(inside, snippet, np.uint8(0))
-        full = np.concatenate([snippet, first[:, None].astype(np.uint8), count[:, None].astype(np.uint8)], axis=1)
-        distinct, which = np.unique(np.ascontiguousarray(full).view(f"V{width + 2}").ravel(), return_inverse=True)
+        rows = _snippet_rows(pack, pack.anchor[own], pack.anchor[own] - start[some], count[some])
+        distinct, which = np.unique(rows, return_inverse=True)
         distinct = distinct.view(np.uint8).reshape(len(distinct), width + 2)
         ids = pack.ids[pack.text[own]]
         by = np.lexsort((ids, which))
@@ -288,7 +335,7 @@ def _units(pack: Pack, bits: dict[int, bytes], buckets: int) -> dict[int, tuple[
         new[1:] = (which[by][1:] != which[by][:-1]) | (ids[by][1:] != ids[by][:-1])
         unit = np.empty(len(own), np.int64)
         unit[by] = np.cumsum(new) - 1
-        out[b] = (own, unit, distinct, which[by][new].astype(np.uint32), ids[by][new])
+        out[b] = (start[some], count[some], unit, distinct, which[by][new].astype(np.uint32), ids[by][new])
     return out
 
 
@@ -297,7 +344,7 @@ def _snippets(joined: DataFrame, buckets: int, length: int) -> DataFrame:
         for batch in batches:
             for number, blob, bits in batch_rows(batch, "pack", "blob", "parts"):
                 units = _units(Pack(blob, length), {p["bucket"]: p["blob"] for p in bits or []}, buckets)
-                blobs = [(b, squeeze(distinct, which, ids)) for b, (_, _, distinct, which, ids) in units.items()]
+                blobs = [(b, squeeze(distinct, which, ids)) for b, (*_, distinct, which, ids) in units.items()]
                 if blobs:
                     yield exchange_batch(number, blobs)
 
@@ -340,9 +387,11 @@ class Block:
         return order, np.flatnonzero(new)
 
 
-def window_verdicts(snippets: np.ndarray, which: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+def window_verdicts(snippets: np.ndarray, which: np.ndarray, ids: np.ndarray, length: int, single: bool = False) -> np.ndarray:
     """For each unit (snippet ``which``, doc id): a bit per window, set if the window is in a document with a smaller id.
 
+    Snippets that are ``single`` windows need not be in a block with others of their anchor, only with equal ones.
+
     ``snippets`` has a row per snippet: its bytes, the column of its first window, the number of its windows.
     """
     width = snippets.shape[1] - 2
@@ -354,12 +403,14 @@ def window_verdicts(snippets: np.ndarray, which: np.ndarray, ids: np.ndarray, le
     text, first, count = distinct[:, :width], distinct[:, width].astype(np.int64), distinct[:, width + 1].astype(np.int64)
     anchor = np.ascontiguousarray(text[:, length - GRAM : length]).view("<u8").reshape(-1, 2)
     key = gram_hash(anchor[:, 0], anchor[:, 1])
+    if single:
+        key = window_hash(text.ravel(), np.arange(len(text)) * width + first, length)
     out = np.zeros(len(ids), np.uint64)
     order = np.argsort(key, kind="stable")
     unit_order = np.argsort(row, kind="stable")
     unit_bounds = np.searchsorted(row[unit_order], np.arange(len(distinct) + 1))
     at = 0
-    while at < len(order):  # blocks of whole anchors
+    while at < len(order):  # blocks of whole anchors, or of whole windows
         end = min(len(order), at + BLOCK_ROWS)
         while end < len(order) and key[order[end]] == key[order[end - 1]]:
             end += 1
@@ -382,7 +433,7 @@ def window_verdicts(snippets: np.ndarray, which: np.ndarray, ids: np.ndarray, le
     return out
 
 
-def _verdicts(snippets: DataFrame, length: int) -> DataFrame:
+def _verdicts(snippets: DataFrame, buckets: int, length: int) -> DataFrame:
     """Per pack and bucket: the window bits of its units."""
 
     def judge(table: pa.Table) -> pa.Table:
@@ -395,7 +446,7 @@ def _verdicts(snippets: DataFrame, length: int) -> DataFrame:
             ids.append(i)
             sizes.append(len(i))
             at += len(r)
-        bits = window_verdicts(np.concatenate(rows), np.concatenate(which), np.concatenate(ids), length)
+        bits = window_verdicts(np.concatenate(rows), np.concatenate(which), np.concatenate(ids), length, table["bucket"][0].as_py() >= buckets)
         blobs = [squeeze(part) for part in np.split(bits, np.cumsum(sizes)[:-1])]
         return pa.table([table["pack"], table["bucket"], pa.array(blobs, pa.binary())], names=["pack", "bucket", "blob"])
 
@@ -408,10 +459,10 @@ def _verdicts(snippets: DataFrame, length: int) -> DataFrame:
 def removed_spans(pack: Pack, bits: dict[int, bytes], verdicts: dict[int, bytes], buckets: int) -> np.ndarray:
     """True for each byte of the pack that is to go."""
     change = np.zeros(len(pack.data) + 1, np.int32)
-    for b, (runs, unit, *_) in _units(pack, bits, buckets).items():
+    for b, (start, count, unit, *_) in _units(pack, bits, buckets).items():
         mask = expand(verdicts[b], np.uint64)[0][unit]
-        for k in range(int(pack.counts[runs].max())):
-            hit = pack.start[runs[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)]] + k
+        for k in range(int(count.max())):
+            hit = start[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)] + k
             change[hit] += 1  # a window starts at most once
             change[hit + pack.length] -= 1
     return np.cumsum(change[:-1]) > 0
@@ -429,7 +480,7 @@ def _run(rows: DataFrame, length: int) -> tuple[DataFrame, int]:
     parts = materialise(by_pack(_repeated(_anchor_keys(packed, buckets, length)), "parts"))
     # both uses of this join read the same columns and run in one plan, so packs are shuffled once and read twice
     sent = packed.select("pack", "blob", *(c for c in ["rest"] if c in rows.columns)).join(parts, "pack", "left")
-    verdicts = by_pack(_verdicts(_snippets(sent, buckets, length), length), "verdicts")
+    verdicts = by_pack(_verdicts(_snippets(sent, buckets, length), buckets, length), "verdicts")
     return sent.join(verdicts, "pack", "left"), buckets
 
 

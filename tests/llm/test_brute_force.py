@@ -65,6 +65,21 @@ def test_suffix_array(small, texts, monkeypatch, pack):
     assert got == want
 
 
+def test_suffix_array_splits_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_array, "PACK", 3000)
+    monkeypatch.setattr(suffix_array, "HOT", 5)
+    line = "this very line is shared by all of the documents of the test and it goes on"
+    docs = spark.createDataFrame([(i, f"{prose(i, 9)} {line} {prose(i + 500, 9)}") for i in range(60)], "doc_id long, text string")
+    used, units = set(), suffix_array._units
+    sent = suffix_array._run(suffix_array.doc_bytes(docs), 50)
+    for r in sent[0].collect():
+        own = units(suffix_array.Pack(r["blob"], 50), {p["bucket"]: p["blob"] for p in r["parts"]}, sent[1])
+        used |= {b for b, u in own.items() if b >= sent[1] and (u[1] == 1).all()}
+    assert len(used) > 8
+    got = {r["doc_id"]: r["text"] for r in suffix_array.strip_repeats(docs).collect()}
+    assert got == {i: np.frombuffer(t, np.uint8)[~gone].tobytes().decode() for i, t, gone in window_marks([(r[0], r[1].encode()) for r in docs.collect()])}
+
+
 @pytest.mark.parametrize("total", [0, 1, 49, 50, 51, 63, 64, 65, 72, 127, 128, 129, 136, 200, 1000, 1023, 1024, 1030])
 def test_anchors_do_not_depend_on_slices(monkeypatch, total):
     """Texts of any total length, cut into slices at any place, have the anchors that every window by itself has."""
