@@ -65,7 +65,7 @@ def test_null_text_is_empty(spark, odd):
 
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0]), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, []), (40, []), (None, [1.0, 1.0]), (8, [1.0]), (60, [1e30, 0.0])]
+    rows = [(0, [1.0, 2.0]), (20, [0.5, 0.5]), (20, [0.5, 0.5]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 0.0]), (7, []), (40, []), (None, [1.0, 1.0]), (8, [1.0]), (60, [1e30, 0.0, 0.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, shard int, block string")
     out = topk.top_k(df, k=3, modulus=20, scale=64).collect()
     assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 0] == [(1, 1, 12288), (2, 2, 12288), (3, 20, 6144)]
