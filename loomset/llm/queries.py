@@ -8,8 +8,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomset.llm import bpe, chat_trees, language_model, packing, pii, quality_classifier, quality_rules, simhash, suffix_array, topk
+from loomset.llm import (
+    bpe,
+    chat_trees,
+    collocations,
+    hard_negatives,
+    language_model,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    suffix_array,
+    token_files,
+    topk,
+)
 from loomset.llm.common import is_held_out, table
+from loomset.session import scratch_path
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -74,6 +89,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    return token_files.digests(token_files.write(table(spark, sf_dir, "documents"), folder, vocabulary_path("word_bpe_49k.json"), end_id=2))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, longest=5, first=2000, factor=1000)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, modulus=100, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_simhash": op2_simhash,
@@ -85,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe": op10_bpe,
+    "op11_token_files": op11_token_files,
+    "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -142,4 +176,57 @@ ORACLE: dict[str, str] = {
                              ELSE safe_role + safe_text + 19 END) AS BIGINT) AS formatted_chars
         FROM marked GROUP BY conv_id
     """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+        grams AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: list_slice(w, i, i + m - 1))) AS g
+            FROM words CROSS JOIN (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+        f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+        totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+        cuts AS (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        scored AS (
+            SELECT c.lang, c.m, c.g, c.f AS a, c.k, x.f AS l, y.f AS r, n,
+                   (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score
+            FROM cuts c JOIN totals USING (lang)
+            JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.k)
+            JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, c.k + 1, c.m)),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        parts AS (
+            SELECT lang, f, p AS size, unnest(list_transform(range(1, m - p + 2), lambda i: list_slice(g, i, i + p - 1))) AS g
+            FROM f CROSS JOIN (SELECT unnest(range(2, 5)) AS p) WHERE m > p),
+        held AS (SELECT lang, g, max(f) AS most FROM parts GROUP BY lang, g),
+        kept AS (
+            SELECT lowest.*, array_to_string(lowest.g, ' ') AS phrase
+            FROM lowest LEFT JOIN held USING (lang, g) WHERE most IS NULL OR 100 * most < 100 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+               CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked WHERE rank <= 2000
+    """,
+    "op13_hard_negatives": """
+        WITH whole AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM whole a JOIN whole b ON a.vec_id <> b.vec_id
+            WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        ranked AS (
+            SELECT anchor_id, positive_id, positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+            FROM positives JOIN scored n USING (anchor_id)
+            WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+    """,
 }
