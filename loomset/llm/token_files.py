@@ -17,9 +17,10 @@ manifest, a table written by Spark when all tasks are done, names those that cou
 leave nothing that a reader sees. Rows of the manifest are as many as files; a running sum over it gives every file's
 first id. Reading: one task for each file of the manifest.
 
-Tokenisation is that of the tokenizers library. Its pattern never joins white space to a token, so a text is cut at
-spaces and line feeds, every different chunk is encoded once by the library, and the ids are put together from a bounded
-cache of chunks.
+The ids are those of the tokenizers library. The vocabulary's pattern never joins white space to a token, so a text is
+cut at spaces and line feeds, and ids are put together from a bounded cache of chunks. A new chunk of printable
+characters up to U+00FF is cut by the same pattern here, and the library's model encodes its parts, as whole calls cost
+several times more; any other chunk, and any that might hold a special token, is encoded by a whole call.
 
 Defined cases: a null or empty text is its end id alone; rows of one id stand together, ordered by the hash of their
 texts, and are written as often as they come; rows without an id come first; a text of any length is one document; an
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomset.llm import bitpack
+from loomset.llm.bytelevel import byte_symbols
 from loomset.llm.common import arrow_schema, as_text, doc_bytes, ship
 from loomset.llm.exchange import batch_rows
 
@@ -50,10 +52,10 @@ BLOCK = 1 << 15
 FILE_IDS = 1 << 25
 #: Ids that a reader unpacks at a time.
 READ_IDS = 1 << 20
-#: Chunks that a worker remembers, and the longest that it does.
+#: Chunks, and pretokens, that a worker remembers, and the longest that it does.
 CACHED, CACHED_CHARS = 1 << 19, 64
-#: Texts encoded together, in characters.
-TOGETHER = 8 << 20
+#: Characters of a text that are cut into chunks at a time.
+PART = 1 << 20
 
 _MAGIC = b"LMTOKENS"
 _HEAD = struct.Struct("<8sII")
@@ -69,6 +71,46 @@ def _file_system(path: str):
     return FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", path))
 
 
+#: Characters whose class, lower case and bytes need no Unicode tables: printable ones up to U+00FF.
+_NARROW = re.compile("[!-~¡-¬®-ÿ]+")
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+class _Pretokens(dict):
+    """Ids of pretokens of narrow characters in lower case, by the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        symbols = byte_symbols()
+        self.table = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xA1, 0x100)}
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word if word.isascii() else word.translate(self.table))
+        out = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        if len(word) <= CACHED_CHARS:
+            self[word] = out
+        return out
+
+
+class _Chunks(dict):
+    """Ids of what stands between two spaces."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.pretokens = tokenizer, _Pretokens(tokenizer.model)
+
+    def __missing__(self, chunk: str) -> bytes:
+        if _NARROW.fullmatch(chunk) and "<|" not in chunk:
+            out = b"".join(map(self.pretokens.__getitem__, _PRETOKENS.findall(chunk.lower())))
+        else:
+            out = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) <= CACHED_CHARS:
+            self[chunk] = out
+        return out
+
+
 class Coder:
     """The ids that the tokenizers library gives with one of its files, chunk by chunk."""
 
@@ -79,37 +121,29 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.chunks = _Chunks(self.tokenizer)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self._part, _parts(text)))
+
+    def _part(self, text: str) -> bytes:
+        for held in (self.chunks, self.chunks.pretokens):
+            if len(held) > CACHED:
+                held.clear()
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
-    def learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        at = 0
-        while at < len(chunks):
-            end, held = at, 0
-            while end < len(chunks) and end - at < 4096 and held < 1 << 20:
-                held += len(chunks[end])
-                end += 1
-            some = chunks[at:end]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            number = np.array(found.word_ids, np.int64)
-            cut = np.searchsorted(number, np.arange(len(some) + 1)) * 4
-            data = np.array(found.ids, "<u4").tobytes()
-            into.update((chunk, data[a:b]) for chunk, a, b in zip(some, cut, cut[1:]))
-            at = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, for each text."""
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        wanted: set[str] = set()
-        wanted.update(*cut)
-        if len(self.known) + len(wanted) > CACHED:
-            self.known = {}
-        here = self.known
-        new = [chunk for chunk in wanted if chunk not in here]
-        if any(len(chunk) > CACHED_CHARS for chunk in new) or len(new) > CACHED:
-            here = {chunk: here[chunk] for chunk in wanted if chunk in here}  # not kept
-        self.learn(new, here)
-        get = here.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+
+def _parts(text: str) -> Iterator[str]:
+    """The text cut at spaces into parts of about ``PART`` characters."""
+    at = 0
+    while len(text) - at > PART:
+        end = text.find(" ", at + PART)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end + 1
+    yield text[at:] if at else text
 
 
 @lru_cache(maxsize=2)
@@ -246,11 +280,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFra
             values = [part, place, *writer.close(), bits]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, target)], schema=target)
 
-        for numbers, texts in _together(batches):
-            for doc_id, data in zip(numbers, coding.encode(texts)):
+        for batch in batches:
+            for doc_id, data in zip(batch["doc_id"].to_pylist(), batch["data"]):
                 if writer is None:
                     writer = Writer(folder, f"ids-{part:06d}-{place:04d}-{uuid.uuid4().hex}.bin", bits, block)
-                writer.add(doc_id, np.frombuffer(data + end, "<u4"))
+                writer.add(doc_id, np.frombuffer(coding.encode(as_text(data.as_py())) + end, "<u4"))
                 if writer.starts[-1] >= file_ids:
                     yield closed()
                     writer, place = None, place + 1
@@ -266,21 +300,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFra
     return manifest(spark, folder)
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts, about ``TOGETHER`` characters at a time."""
-    numbers, texts, held = [], [], 0
-    for batch in batches:
-        for number, data in zip(batch["doc_id"].to_pylist(), batch["data"]):
-            numbers.append(number)
-            texts.append(as_text(data.as_py()))
-            held += len(texts[-1])
-            if held >= TOGETHER:
-                yield numbers, texts
-                numbers, texts, held = [], [], 0
-    if texts:
-        yield numbers, texts
-
-
 def _make_folder(folder: str) -> None:
     fs, inner = _file_system(folder)
     fs.create_dir(inner, recursive=True)

@@ -72,15 +72,25 @@ def library():
 
 
 def test_ids_are_the_librarys(library, monkeypatch):
-    alphabet = "aA eé'sRE lĺ̸ΣςİŞ<|endoftext|>\t \x1c\x85 3٣日本🎉.,!?\n  "
+    alphabet = "aA eé'sRE lĺ̸ΣςİŞ<|endoftext|>\t \x1c\x85 3٣日本🎉.,!?\n  "
+    latin = 4 * "'" + "abSsTtRrEeVvLlMmDd  0123456789.,;:!?-_<|>" + "".join(map(chr, range(0x7F, 0x100)))
     rng = np.random.default_rng(5)
-    texts = ["".join(rng.choice(list(alphabet), rng.integers(0, 60))) for _ in range(3000)]
-    texts += ["<|endoftext|> it's <|startoftext|>x", "x" * 20000 + " y", "́ a", " ", ""]
+    texts = ["".join(rng.choice(list(some), rng.integers(0, 60))) for some in (alphabet, latin) for _ in range(3000)]
+    texts += ["<|endoftext|> it's <|startoftext|>x", "x" * 20000 + " y", "́ a", " ", "", "I'LL'S''s Don'T"]
     want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
     coding = token_files.Coder(vocabulary_path("word_bpe_49k.json"))
-    assert coding.encode(texts) == want
-    monkeypatch.setattr(token_files, "CACHED", 50)  # less than one text has
-    assert token_files.Coder(vocabulary_path("word_bpe_49k.json")).encode(texts[:500]) == want[:500]
+    assert [coding.encode(t) for t in texts] == want
+    monkeypatch.setattr(token_files, "CACHED", 50)
+    monkeypatch.setattr(token_files, "PART", 7)
+    again = token_files.Coder(vocabulary_path("word_bpe_49k.json"))
+    assert [again.encode(t) for t in texts[::7]] == want[::7]
+
+
+def test_every_narrow_character(library):
+    coding = token_files.Coder(vocabulary_path("word_bpe_49k.json"))
+    for c in map(chr, range(0x100)):
+        for text in (c, f"a{c}b", f"1{c}1", f"x {c}{c} y", f"é{c}"):
+            assert np.frombuffer(coding.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("file_ids", [1 << 25, 3000])
