@@ -117,15 +117,33 @@ def _expand_whitespace(pattern: str, boundary: str = r"\b") -> str:
     return "".join(out)
 
 
+_LEADING_RUN = re.compile(r"(\[[^\]\\]+\])\+([^\\\[\](){}|*+?.^$])")
+
+
+def from_run_starts(pattern: str) -> str:
+    """The same matches as ``pattern`` where it begins with a run of one class and a literal outside of that class, found
+    in linear time.
+
+    Such a match takes its run up to the literal. If a run fails from its first character on, it fails from every other
+    one too, so only two kinds of places can begin a match: the first character of a run, and where the last match
+    ended (``\\G``). The run never gives characters back, as none of them is the literal. JVM syntax.
+    """
+    m = _LEADING_RUN.match(pattern)
+    if m is None or re.fullmatch(m[1], m[2]):
+        return pattern
+    return rf"(?:(?<!{m[1]})|\G){m[1]}++{m[2]}" + pattern[m.end() :]
+
+
 def java_regex(pattern: str, dotall: bool = False) -> str:
     r"""Python ``re`` (str) pattern -> JVM pattern with the same matches.
 
     ``(?U)`` makes ``\d`` Unicode-aware as in Python; ``\b`` and ``\s`` become
-    explicit forms over Python's word and whitespace classes. With ``dotall`` a trailing
+    explicit forms over Python's word and whitespace classes, and a leading run is tried once (:func:`from_run_starts`,
+    for searches from left to right such as replacements). With ``dotall`` a trailing
     ``$`` becomes ``\z`` and ``.`` matches every code point, which is what a
     Python pattern sees on one already-split line.
     """
-    body = _expand_whitespace(pattern, BOUNDARY)
+    body = _expand_whitespace(from_run_starts(pattern), BOUNDARY)
     # next to a digit the boundary has one side only, which is cheaper to test
     body = body.replace(BOUNDARY + r"\d", f"(?<!{WORD_CLASS})" + r"\d")
     body = re.sub(r"(\\d(?:\{[1-9][0-9,]*\})?)" + re.escape(BOUNDARY), lambda m: f"{m[1]}(?!{WORD_CLASS})", body)

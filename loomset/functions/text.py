@@ -82,9 +82,13 @@ def has_digit(c: Column) -> Column:
 
 
 def redact_guarded(c: Column) -> Column:
-    """:func:`redact` run only where some redaction can apply; for a cheap ``c`` (a column or lambda variable)."""
+    """:func:`redact` run only where some redaction can apply, the e-mail step only where there is an ``@``; for a cheap
+    ``c`` (a column or lambda variable)."""
+    out = F.when(has_at_sign(c), redact_step("email", c)).otherwise(c)
+    for kind in list(rules.PII_PATTERNS)[1:]:
+        out = redact_step(kind, out)
     can_match = has_at_sign(c) | has_digit(c) | has_key_prefix(c)
-    return F.when(can_match, redact(c)).otherwise(F.coalesce(c, F.lit("")))
+    return F.when(can_match, out).otherwise(F.coalesce(c, F.lit("")))
 
 
 def words(c: Column) -> Column:

@@ -108,21 +108,25 @@ def table_log_samples(
     """Log messages held as a table (one row per line, explicit order) -> six-message windows.
 
     The text is stripped and must be non-empty and not a media placeholder; the
-    rest is the message-log flow. ``block_size`` consecutive lines of a log form
-    one ordering block, so a very long log is ordered by many tasks. Where the
-    order column alone (one pruned scan) says that every log lies in one block,
-    logs are ordered directly, without the pass that counts blocks.
+    rest is the message-log flow. Lines are ordered by the order column (null
+    first) and, where it is equal, by a hash of sender and text, so any two
+    runs give the same windows; only lines equal in all of these may change
+    places. ``block_size`` consecutive order values of a log form one ordering
+    block, lines without one a block of their own, so a very long log is
+    ordered by many tasks. Where no log has more than ``block_size`` lines (one
+    pruned count per log), logs are ordered directly, without the pass that
+    counts blocks; the windows are the same either way.
     """
-    block = F.expr(f"{order_col} div {block_size}")
-    first, last = lines.agg(F.min(block), F.max(block)).first()
+    block = F.coalesce(F.expr(f"{order_col} div {block_size}"), F.lit(-(1 << 63)))
+    longest = lines.groupBy(file_col).count().agg(F.max("count")).first()[0] or 0
     msgs = lines.select(
         F.col(file_col).alias("file"),
         block.alias("block"),
-        F.col(order_col).alias("line_id"),
+        F.struct(F.col(order_col).alias("order"), F.xxhash64(sender_col, text_col).alias("tie")).alias("line_id"),
         F.col(sender_col).alias("sender"),
         T.strip(F.col(text_col)).alias("content"),
     ).where((F.col("content") != "") & ~F.col("content").startswith(rules.MEDIA_PREFIX))
-    if first != last:
+    if longest > block_size:
         return message_log_samples(msgs, sanitize_pii, enforce_guardrails)
     kept = G.redact_column(G.keep_clean(G.classify(msgs, "content", enforce_guardrails)), "content", sanitize_pii)
     return _window_samples(C.short_log_windows(kept, "file", "line_id", "sender", "content"))

@@ -70,14 +70,24 @@ def document_nodes(mapping: Column) -> Column:
     """Node values in document order, with JSON-object semantics for a repeated node id.
 
     A ``MAP`` read from JSON keeps every entry; a JSON object keeps one per id,
-    at the first position, with the last value. The quadratic dedupe runs only
-    for the rare map that has a repeated id.
+    at the first position, with the last value. For a map with a repeated id,
+    entries sorted by (id, place) give each id's first and last place, and
+    these are sorted by the first: as costly as a sort, whatever the number of
+    repeats.
     """
-    entries = F.map_entries(mapping)
+    def once(value: Column, body) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def places(ordered: Column) -> Column:
+        """(first, last) place of every id, by the first."""
+        other = lambda x, j: F.get(ordered, j)["k"] != x["k"]
+        first = F.filter(ordered, lambda x, j: (j == 0) | other(x, j - 1))
+        last = F.filter(ordered, lambda x, j: (j == F.size(ordered) - 1) | other(x, j + 1))
+        return F.array_sort(F.zip_with(first, last, lambda f, l: F.struct(f["i"].alias("first"), l["i"].alias("last"))))
+
     keys = F.map_keys(mapping)
-    positions = F.transform(F.sequence(F.lit(1), F.size(entries)), lambda i: F.struct(i.alias("i"), F.element_at(entries, i)["key"].alias("k")))
-    first_positions = F.filter(positions, lambda x: F.array_position(keys, x["k"]) == x["i"])
-    deduped = F.transform(first_positions, lambda x: F.element_at(F.filter(entries, lambda e: e["key"] == x["k"]), -1)["value"])
+    by_key = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    deduped = once(F.map_values(mapping), lambda values: F.transform(once(by_key, places), lambda p: F.get(values, p["last"])))
     unique = F.size(F.array_distinct(keys)) == F.size(keys)
     return F.when(mapping.isNull(), F.lit(None)).when(unique, F.map_values(mapping)).otherwise(deduped)
 
