@@ -8,19 +8,22 @@ values stay equal in all documents, different values stay different, and the res
 - phone numbers of the North American form, without separators where area and exchange codes are 200 or more; these codes
   keep their class of first digit;
 - social security numbers without the blocks that are never issued; IPv4 addresses;
-- dates from 1900 to 2099 that exist, as year-month-day, day.month.year or month/day/year (day/month/year where only
-  that exists).
+- dates from 1900 to 2099 that exist, as year-month-day, day.month.year or month/day/year; where only day/month/year
+  exists, the day is after the twelfth, and so is that of the pseudonym, which is read the same way (the 13th to 28th are
+  permuted with all months, later days keep their number).
 
 The network works on two numbers below ``a`` and ``b`` that together name a value of the format, a * b of them; in turn
 each gets a keyed SHA-256 of the other added modulo its own range, so it is a permutation for any ranges. E-mail
-addresses, access keys (AKIA, sk-, ghp_, AIzaSy) and values after password, token, secret or key have no such range; they become keyed hashes of the
-same form and length, linked in the same way. Numbers that fail their check are no such data and stay.
+addresses, access keys (AKIA, sk-, ghp_, AIzaSy) and values after password, token, secret or key have no such range; they
+become keyed hashes of the same form and length, linked in the same way; an access key is one value with such a word
+before it and without. Numbers that fail their check are no such data and stay.
 
 The text is split at the matches and put together again around their pseudonyms: two passes of one pattern, the second
 over texts with a match only, and no shuffle.
 
 Defined cases: a null text stays null, an empty one empty; repeated rows are treated alike; further columns are carried
-along by :func:`mask`; an empty table gives no rows; where matches could overlap the leftmost one counts.
+along by :func:`mask`; an empty table gives no rows; where matches could overlap the leftmost one counts; a text of any length
+is masked whole, in time linear in its length, also where it is one unbroken run of any of the characters above.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # possessive: matched in a loop, not by recursion
 ACCESS_KEY = r"(?:AKIA[0-9A-Z]{16}|sk-[0-9A-Za-z]{20,}+|ghp_[0-9A-Za-z]{36}|AIzaSy[0-9A-Za-z_-]{33})(?![0-9A-Za-z])"
 SECRET = r"""(?i:password|passwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[0-9A-Za-z_-]{8,}+"""
 DATE = (
@@ -69,11 +72,11 @@ def _part(text: Column, start: int, length: int) -> Column:
     return F.substring(text, start, length).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str | Column) -> Column:
     """A keyed permutation of the pairs (left below a, right below b), as a struct (l, r)."""
 
     def drawn(x: Column, step: Column) -> Column:
-        text = F.concat_ws("|", F.lit(key), F.lit(kind), a.cast("string"), b.cast("string"), step.cast("string"), x.cast("string"))
+        text = F.concat_ws("|", F.lit(key), F.lit(kind) if isinstance(kind, str) else kind, a.cast("string"), b.cast("string"), step.cast("string"), x.cast("string"))
         return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 14), 16, 10).cast("long")
 
     def step(s: Column, i: Column) -> Column:
@@ -178,12 +181,46 @@ def ip(text: Column, key: str) -> Column:
 _FIRST_DAY, _DAYS_A, _DAYS_B = "1900-01-01", 17, 4297
 
 
+_MONTHS_31 = (1, 3, 5, 7, 8, 10, 12)
+
+
+def _any_day(day: Column, key: str) -> Column:
+    """A permutation of all days from 1900 to 2099."""
+    days = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
+    mixed = feistel(F.floor(days / _DAYS_B), days % _DAYS_B, F.lit(_DAYS_A), F.lit(_DAYS_B), key, "date")
+    return _let(mixed, lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * _DAYS_B + p["r"]).cast("int")))
+
+
+def _late_day(day: Column, key: str) -> Column:
+    """A permutation of the days after the twelfth of a month: the 13th to 28th of all months among themselves, the 29th,
+    30th and 31st among the months that have them, and 29 February among leap years."""
+    year, month, number = F.year(day) - 1900, F.month(day), F.dayofmonth(day)
+    early, last, leap = number <= 28, number == 31, (number == 29) & (month == 2)
+    without_february = month - F.when(month > 2, 2).otherwise(1)
+    place = F.array_position(F.array(*(F.lit(m) for m in _MONTHS_31)), month) - 1
+    left = F.when(early, year * 12 + month - 1).when(leap, F.floor((year - 4) / 28)).otherwise(year)
+    right = F.when(early, number - 13).when(leap, F.floor((year - 4) / 4) % 7).when(last, place).otherwise(without_february)
+    a = F.when(early, 2400).when(leap, 7).otherwise(200)
+    b = F.when(early, 16).when(leap, 7).when(last, 7).otherwise(11)
+
+    def back(p: Column) -> Column:
+        new_year = F.when(early, F.floor(p["l"] / 12)).when(leap, 4 + 28 * p["l"] + 4 * p["r"]).otherwise(p["l"]) + 1900
+        other = p["r"] + F.when(p["r"] > 0, 2).otherwise(1)
+        ends = F.element_at(F.array(*(F.lit(m) for m in _MONTHS_31)), (F.when(last, p["r"]).otherwise(0) + 1).cast("int"))
+        new_month = F.when(early, p["l"] % 12 + 1).when(leap, 2).when(last, ends).otherwise(other)
+        new_number = F.when(early, p["r"] + 13).otherwise(number)
+        return F.make_date(new_year.cast("int"), new_month.cast("int"), new_number.cast("int"))
+
+    kind = F.concat(F.lit("late date "), F.when(early, 28).otherwise(number).cast("string"))
+    return _let(feistel(left, right, a, b, key, kind), back)
+
+
 def date(text: Column, key: str) -> Column:
-    forms = [  # (pattern, separator, places of year, month and day)
-        (r"^[0-9]{4}-", "-", (0, 1, 2)),
-        (r"\.", r"\.", (2, 1, 0)),
-        (r"/", "/", (2, 0, 1)),
-        (r"/", "/", (2, 1, 0)),
+    forms = [  # (pattern, separator, places of year, month and day, permutation)
+        (r"^[0-9]{4}-", "-", (0, 1, 2), _any_day),
+        (r"\.", r"\.", (2, 1, 0), _any_day),
+        (r"/", "/", (2, 0, 1), _any_day),
+        (r"/", "/", (2, 1, 0), _late_day),  # read so only where the day is after the twelfth, and so is its pseudonym
     ]
 
     def in_form(day: Column, form: str, order: tuple[int, int, int], piece: Column) -> Column:
@@ -191,19 +228,16 @@ def date(text: Column, key: str) -> Column:
         widths = [F.lit(4) if i == order[0] else F.greatest(F.char_length(piece[i]), F.char_length(values[i].cast("string"))) for i in range(3)]
         return F.concat_ws(form.replace("\\", ""), *(_pad(values[i], widths[i]) for i in range(3)))
 
-    def changed(form: str, order: tuple[int, int, int], piece: Column, found: Column) -> Column:
-        days = F.datediff(found, F.lit(_FIRST_DAY).cast("date"))
-        mixed = feistel(F.floor(days / _DAYS_B), days % _DAYS_B, F.lit(_DAYS_A), F.lit(_DAYS_B), key, "date")
-        new = _let(mixed, lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * _DAYS_B + p["r"]).cast("int")))
-        return _let(new, lambda day: in_form(day, form, order, piece))
+    def changed(form: str, order: tuple[int, int, int], permuted, piece: Column, found: Column) -> Column:
+        return _let(permuted(found, key), lambda day: in_form(day, form, order, piece))
 
     out = None
-    for pattern, form, order in forms:
+    for pattern, form, order, permuted in forms:
         piece = F.split(text, form)
         iso = F.concat_ws("-", piece[order[0]], _pad(piece[order[1]], 2), _pad(piece[order[2]], 2))
         found = F.try_to_date(iso, "yyyy-MM-dd")
         test = text.rlike(pattern) & found.isNotNull()
-        value = _let(found, partial(changed, form, order, piece))
+        value = _let(found, partial(changed, form, order, permuted, piece))
         out = F.when(test, value) if out is None else out.when(test, value)
     return out.otherwise(text)
 
@@ -229,11 +263,20 @@ def access_key(text: Column, key: str) -> Column:
 def secret(text: Column, key: str) -> Column:
     head = r"""(?s)^([A-Za-z_-]+?\s*[=:]\s*["']?)(.*)$"""
 
-    def changed(value: Column) -> Column:
+    def other(value: Column) -> Column:
         n = F.char_length(value)
         new = F.substr(F.repeat(_hashed(value, key, "secret"), F.ceil(n / 64).cast("int")), F.lit(1), n)
         return F.when(value == F.upper(value), F.upper(new)).otherwise(new)
 
+    def changed(value: Column) -> Column:
+        """A value that begins with an access key has that key's pseudonym, as it has on its own."""
+
+        def split(found: Column) -> Column:
+            rest = F.substr(value, F.char_length(found) + 1, F.char_length(value))
+            return F.when(found != "", F.concat(access_key(found, key), _let(rest, other))).otherwise(other(value))
+
+        return _let(F.regexp_extract(value, f"^{ACCESS_KEY}", 0), split)
+
     return F.concat(F.regexp_extract(text, head, 1), _let(F.regexp_extract(text, head, 2), changed))
 
 

@@ -6,9 +6,10 @@ its start. From the two total sizes come the normalised difference (bad - good)
 bad / bytes; a logistic regression on them and on squares and product of difference and rate, fitted on other labelled
 texts, turns them into the probability of label 1.
 
-Fitting uses a bounded sample: of each label at most ``sample`` texts (those with the smallest hash of doc_id), at most
-``EXCERPT`` bytes of each; one half trains the dictionaries, the other the calibration, weighted back to the share of
-the labels in the whole training set. Every document is scored whole, without a shuffle.
+Fitting uses a bounded sample: of each label at most ``sample`` texts (those with the smallest hash of doc_id). One half
+trains the dictionaries, with at most ``EXCERPT`` bytes of each text, in blocks drawn by a hash from all over the text;
+the other half, whole and on the executors, gives the features for the calibration, weighted back to the share of the
+labels in the whole training set. Every document is scored whole, without a shuffle.
 
 Defined cases: a null or empty text scores the share of label 1 in the training rows; without texts of both labels every
 score is that share (0.5 if there are no labels at all); null labels and null doc_ids are not learned from; a document
@@ -25,13 +26,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomset.llm.common import doc_bytes, is_held_out, map_rows, spread
+from loomset.llm.common import doc_bytes, is_held_out, map_rows, ship, spread
 
-SAMPLE = 2048
+SAMPLE = 4096
 EXCERPT = 8192
 BLOCK = 2048
 DICTIONARY = 65536
@@ -76,8 +77,9 @@ def _features(data: bytes, good: bytes, bad: bytes) -> list[float]:
     return [difference, rate, min(2.0, b / len(data)), difference * difference, difference * rate, rate * rate]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
-    """At most ``sample`` (label, excerpt) of each label, and the number of training labels of each; no held-out rows."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """``doc_id, quality, data, half`` of at most ``sample`` texts of each label (half 0: dictionaries, 1: calibration), and
+    the number of training labels of each; no held-out rows."""
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where("doc_id is not null and quality in (0, 1)")
@@ -87,23 +89,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[li
     count = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = rows.where("quality = 1").orderBy(*order).limit(sample).union(rows.where("quality = 0").orderBy(*order).limit(sample))
-    excerpt = F.substring(F.col("data"), 1, EXCERPT).alias("data")
-    found = doc_bytes(docs).where(F.length("data") > 0).select("doc_id", excerpt).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "quality", "data"])
-    picked = found.select("quality", "data").orderBy(F.xxhash64("doc_id"), "doc_id", "data").limit(4 * sample).collect()
-    return [(q, bytes(d)) for q, d in picked], count
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(*order))  # at most ``sample`` rows of each
+    some = some.withColumn("half", ((place + 1) % 2).cast("int"))
+    found = doc_bytes(docs).where(F.length("data") > 0).join(F.broadcast(some), "doc_id")
+    return found.dropDuplicates(["doc_id", "quality", "data"]), count
+
+
+def _excerpt(data: Column, key: Column) -> Column:
+    """The whole text if it has at most ``EXCERPT`` bytes, else that many in blocks of ``BLOCK``, taken from all of its
+    blocks by a hash and put in the text's order."""
+    blocks = F.sequence(F.lit(0), F.floor((F.length(data) - 1) / BLOCK).cast("int"))
+    drawn = F.slice(F.array_sort(F.transform(blocks, lambda i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i")))), 1, EXCERPT // BLOCK)
+    parts = F.transform(F.array_sort(F.transform(drawn, lambda x: x["i"])), lambda i: F.substring(data, i * BLOCK + 1, F.lit(BLOCK)))
+    joined = F.aggregate(parts, F.lit("").cast("binary"), lambda s, p: F.concat(s, p))
+    return F.when(F.length(data) <= EXCERPT, data).otherwise(joined)
+
+
+def _calibration(sampled: DataFrame, good: bytes, bad: bytes) -> list[tuple[int, list[float]]]:
+    """Label and features of the sampled whole texts, worked out where they are; a few numbers per text."""
+    def step(batch: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [_features(d, good, bad) for d in batch["data"]]}
+
+    found = map_rows(sampled.where("half = 1").select("doc_id", "quality", "data"), "doc_id long, quality int, x array<double>", step)
+    return [(r["quality"], r["x"]) for r in found.orderBy("doc_id", "quality", "x").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    found, count = labelled_sample(docs, labels, sample)
+    ship(docs.sparkSession)
+    sampled, count = labelled_sample(docs.select("doc_id", "text"), labels, sample)
     total = sum(count.values())
     share = count.get(1, 0) / total if total else 0.5
-    texts = {q: [d for label, d in found if label == q] for q in (0, 1)}
-    if min(len(t) for t in texts.values()) < 2:
+    excerpts = sampled.where("half = 0").select("quality", "doc_id", _excerpt(F.col("data"), F.col("doc_id")).alias("data"))
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    for q, _, d in sorted(excerpts.collect(), key=lambda r: (r[0], r[1], r[2])):
+        texts[q].append(bytes(d))
+    if not all(texts.values()):
         return Model(b"", b"", (), (), (), share)
     shared = {line for t in texts[0] for line in t.split(b"\n")} & {line for t in texts[1] for line in t.split(b"\n")}
-    good, bad = (_dictionary([_without(t, shared) for t in texts[q][::2]]) for q in (1, 0))
-    x = np.array([_features(d, good, bad) for q in (0, 1) for d in texts[q][1::2]])
-    y = np.repeat([0.0, 1.0], [len(texts[q][1::2]) for q in (0, 1)])
+    good, bad = (_dictionary([_without(t, shared) for t in texts[q]]) for q in (1, 0))
+    known = _calibration(sampled, good, bad)
+    y, x = np.array([float(q) for q, _ in known]), np.array([f for _, f in known])
+    if len(set(y.tolist())) < 2:
+        return Model(b"", b"", (), (), (), share)
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     return Model(good, bad, tuple(_logistic(np.clip((x - mean) / scale, -FAR, FAR), y, weight)), tuple(mean), tuple(scale), share)
