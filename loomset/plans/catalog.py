@@ -244,6 +244,16 @@ def q_chat_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_chat_tree_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = render.render_chat_tree(conversations_with_hits(spark, sf_dir), scratch_path(spark, "chat-tree-split"), convs_per_file=1 << 20)
+    samples = dataset.chat_tree_samples(chat_tree.read_chat_tree(spark, path, multi_line="split"))
+    return samples.select(
+        F.col("sample_id").cast("bigint").alias("conv_id"),
+        F.size("conversations").cast("bigint").alias("n_messages"),
+        F.to_json(F.col("conversations")).alias("conversations_json"),
+    )
+
+
 def q_message_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = render.render_message_logs(conversations_with_hits(spark, sf_dir), scratch_path(spark, "message-log"))
     lines = message_log.read_message_log(spark, path)
@@ -296,6 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "format_alpaca": q_format_alpaca,
     "format_jsonl": q_format_jsonl,
     "chat_tree_scan": q_chat_tree_scan,
+    "chat_tree_split": q_chat_tree_split,
     "message_log_scan": q_message_log_scan,
     "notes_scan": q_notes_scan,
     "jsonl_sink": q_jsonl_sink,

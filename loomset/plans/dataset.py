@@ -206,7 +206,7 @@ def read_samples(
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
     observation: Observation | None = None,
     mode: str = "FAILFAST",
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     hidden: str = "error",
 ) -> DataFrame:
     """``SAMPLES`` of one source kind (``chat_tree`` | ``message_log`` | ``notes``).
@@ -236,7 +236,7 @@ def plan_dataset(
     enforce_guardrails: bool = True,
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
     mode: str = "FAILFAST",
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     hidden: str = "error",
 ) -> tuple[DataFrame, Observation, Observation | DataFrame]:
     """The records DataFrame of one run (not executed) with its sample observation and rejection counts.
@@ -299,7 +299,7 @@ def build_dataset(
     chunk_words: int = rules.DEFAULT_CHUNK_WORDS,
     compression: str = "none",
     mode: str = "FAILFAST",
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     hidden: str = "error",
 ) -> dict:
     """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary.

@@ -296,6 +296,7 @@ ORACLE: dict[str, str] = {
     "format_alpaca": format_alpaca(),
     "format_jsonl": format_jsonl(),
     "chat_tree_scan": chat_tree_scan(),
+    "chat_tree_split": chat_tree_scan(),
     "message_log_scan": message_log_scan(),
     "notes_scan": notes_scan(),
     "jsonl_sink": jsonl_sink(),

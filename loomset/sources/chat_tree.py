@@ -7,7 +7,8 @@ object would come back in key order). ``parts`` is ``ARRAY<VARIANT>`` so that
 non-string parts can be told apart and skipped instead of being stringified.
 
 A multi-line JSON file is parsed by one task, so scale comes from many export
-files; a malformed file fails the job by default (``FAILFAST``), or with
+files, or from ``multi_line="split"``, where the elements of one large array are
+found and parsed by many tasks (:mod:`loomset.sources.json_array`). A malformed file fails the job by default (``FAILFAST``), or with
 ``mode="PERMISSIVE"`` lands in :func:`corrupt_files`.
 """
 
@@ -18,21 +19,26 @@ from pyspark.sql import functions as F
 
 from loomset.functions import rules
 from loomset.functions import text as T
+from loomset.sources import json_array
 
 NODE = "struct<message:struct<author:struct<role:string>,content:struct<parts:array<variant>>>>"
 CHAT_TREE_SCHEMA = f"conversation_id string, mapping map<string,{NODE}>, _corrupt_record string"
 
 
 def read_chat_tree(
-    spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", multi_line: bool = True
+    spark: SparkSession, path: str | list[str], mode: str = "FAILFAST", multi_line: bool | str = True
 ) -> DataFrame:
     """Export file(s) -> ``file``, ``conversation_id``, ``conv_key``, ``mapping`` (+ ``_corrupt_record``).
 
     ``multi_line=True`` reads the export as written (one JSON document per file,
     parsed whole by one task). ``multi_line=False`` reads JSON lines - one
     conversation, or one array of conversations, per line - which Spark splits
-    across tasks: the form for very large exports.
+    across tasks. ``multi_line="split"`` gives the rows of ``True`` for exports as
+    written, with many tasks for each file; a broken array fails the job in
+    either mode, an element that does not parse is judged by ``mode``.
     """
+    if multi_line == "split":
+        return _from_elements(json_array.read_elements(spark, path), mode)
     reader = (
         spark.read.schema(CHAT_TREE_SCHEMA)
         .option("multiLine", multi_line)
@@ -50,6 +56,13 @@ def read_chat_tree(
     )
 
 
+def _from_elements(elements: DataFrame, mode: str) -> DataFrame:
+    options = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = elements.withColumn("row", F.from_json("text", CHAT_TREE_SCHEMA, options))
+    fields = [F.col(f"row.{c}").alias(c) for c in ("mapping", "_corrupt_record")]
+    return parsed.select("file", F.col("row.conversation_id").alias("conversation_id"), F.monotonically_increasing_id().alias("conv_key"), *fields)
+
+
 def corrupt_files(df: DataFrame) -> DataFrame:
     """Quarantine: files that did not parse (PERMISSIVE mode only).
 

@@ -26,14 +26,15 @@ LINE = rules.java_regex(rules.LOG_LINE_PATTERN, dotall=True)
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines with lineage: ``file``, ``block``, ``line_id``, ``line`` (invalid UTF-8 dropped)."""
-    return _with_lineage(spark, path, T.clean_utf8(F.col("value")).alias("line"))
+    return with_lineage(spark, path, T.clean_utf8(F.col("value")).alias("line"))
 
 
 SPLIT_SETTINGS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
 
 
-def _with_lineage(spark: SparkSession, path: str | list[str], *columns: Column) -> DataFrame:
-    """``file``, ``block``, ``line_id`` and ``columns`` of a text scan whose splits are those of this moment.
+def with_lineage(spark: SparkSession, path: str | list[str], *columns: Column, line_sep: str | None = None) -> DataFrame:
+    """``file``, ``block``, ``line_id`` and ``columns`` of a text scan whose splits are those of this moment; lines end
+    at ``line_sep`` if given.
 
     A scan plans its splits with the settings of the session it was read in. That is a session of its own here, with the
     caller's settings spelled out; the frame itself goes on in the caller's session. The id is not deterministic, so no
@@ -46,7 +47,7 @@ def _with_lineage(spark: SparkSession, path: str | list[str], *columns: Column)
             value = str(spark.sparkContext.defaultParallelism)  # what Spark takes when it is unset
         if value is not None:
             fixed.conf.set(name, value)
-    scan = fixed.read.text(path).select(
+    scan = fixed.read.text(path, lineSep=line_sep).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
@@ -78,4 +79,4 @@ def parse_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
 def read_message_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file``, ``block``, ``line_id``, ``sender``, ``content`` of every message line."""
     line = T.strip(T.clean_utf8(F.col("value")))
-    return _with_lineage(spark, path, *_sender_and_content(line)).where(_is_message())
+    return with_lineage(spark, path, *_sender_and_content(line)).where(_is_message())
