@@ -245,7 +245,7 @@ def q_chat_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_chat_tree_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = render.render_chat_tree(conversations_with_hits(spark, sf_dir), scratch_path(spark, "chat-tree-split"), convs_per_file=1 << 20)
+    path = render.render_chat_tree(conversations_with_hits(spark, sf_dir), scratch_path(spark, "chat-tree-split"), convs_per_file=1 << 16)
     samples = dataset.chat_tree_samples(chat_tree.read_chat_tree(spark, path, multi_line="split"))
     return samples.select(
         F.col("sample_id").cast("bigint").alias("conv_id"),
