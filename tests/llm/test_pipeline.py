@@ -112,7 +112,7 @@ def test_repeated_rows_leave_one(spark):
 
 def test_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert set(queries.ORACLE) <= set(queries.QUERIES)
 
 
