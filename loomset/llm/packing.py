@@ -123,7 +123,7 @@ class Plan:
 
 
 def patterns(histogram: dict[int, int], size: int = SIZE, limit: int = MAX_PATTERNS) -> list[tuple[int, ...]]:
-    """Length patterns of one to four documents that fill a sequence: all singles and pairs, and the likeliest of more."""
+    """Length patterns of one to four documents that fill a sequence: all singles, pairs of the 192 commonest lengths, and the likeliest of more."""
     lengths = sorted(histogram, reverse=True)
     present = np.zeros(size + 1, np.int64)
     present[lengths] = [histogram[n] for n in lengths]
