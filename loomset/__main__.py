@@ -34,13 +34,15 @@ def main(argv: list[str] | None = None) -> dict:
     parser.add_argument("--split-arrays", action="store_true", help="chat trees: many tasks for each export file")
     parser.add_argument("--json-lines", action="store_true", help="chat trees with one conversation, or array of them, per line")
     parser.add_argument("--skip-hidden", action="store_true", help="leave out notes whose names start with '_' or '.'")
+    parser.add_argument("--read-hidden", action="store_true", help="read such notes too; executors list the folders")
     parser.add_argument("--explain", action="store_true", help="print the physical plan of the write job and stop")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.getOrCreate()
     source = args.input if len(args.input) > 1 else args.input[0]
     multi_line = "split" if args.split_arrays else not args.json_lines
-    reading = {"mode": args.mode, "multi_line": multi_line, "hidden": "skip" if args.skip_hidden else "error"}
+    hidden = "read" if args.read_hidden else "skip" if args.skip_hidden else "error"
+    reading = {"mode": args.mode, "multi_line": multi_line, "hidden": hidden}
     if args.explain:
         records, _, _ = plan_dataset(
             spark, args.kind, source, args.format, not args.no_redaction, not args.no_guardrails, args.chunk_words, **reading

@@ -231,6 +231,15 @@ def q_format_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FMT.to_jsonl(_samples(spark, sf_dir)).select("sample_id", "record")
 
 
+def q_alpaca_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of up to three messages as Alpaca records; those of one message have none."""
+    parts = _messages(spark, sf_dir).groupBy("conv_id", F.expr("turn div 3").alias("part"))
+    listed = parts.agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("msgs"))
+    convs = listed.withColumn("conversations", F.transform("msgs", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+    samples = FMT.conversation_samples(convs, F.concat_ws("#", F.col("conv_id").cast("string"), F.col("part").cast("string")), "chat")
+    return FMT.to_alpaca(samples).select("sample_id", "record")
+
+
 # --- sources and sink (render -> read back) ---------------------------------
 
 
@@ -266,6 +275,23 @@ def q_notes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.regexp_extract("file_path", r"lang=([^/]+)", 1).alias("lang"), T.strip(F.col("text")).alias("text"))
 
 
+def q_notes_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of every name, half of them in a hidden folder and with bytes that are not UTF-8; tables beside them
+    are no notes."""
+    docs, path = documents_with_hits(spark, sf_dir), scratch_path(spark, "note-tree")
+    odd = F.col("doc_id") % 2 == 1
+    broken = F.concat(F.unhex(F.lit("C3")).cast("string"), F.col("text"), F.unhex(F.lit("FF")).cast("string"))
+    render.render_notes(docs.where(~odd), f"{path}/notes")
+    render.render_notes(docs.where(odd).withColumn("text", broken), f"{path}/_drafts/old")
+    docs.write.csv(f"{path}/tables")
+    files = notes.read_notes(spark, path, hidden="read")
+    return files.select(
+        F.regexp_extract("file_path", r"lang=([^/]+)", 1).alias("lang"),
+        F.col("file_path").contains("/_drafts/").alias("draft"),
+        T.strip(F.col("text")).alias("text"),
+    )
+
+
 def q_jsonl_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "jsonl")
     jsonl.write_jsonl(FMT.to_sharegpt(_samples(spark, sf_dir)), out)
@@ -305,10 +331,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "format_sharegpt": q_format_sharegpt,
     "format_alpaca": q_format_alpaca,
     "format_jsonl": q_format_jsonl,
+    "alpaca_turns": q_alpaca_turns,
     "chat_tree_scan": q_chat_tree_scan,
     "chat_tree_split": q_chat_tree_split,
     "message_log_scan": q_message_log_scan,
     "notes_scan": q_notes_scan,
+    "notes_tree": q_notes_tree,
     "jsonl_sink": q_jsonl_sink,
     "samples_end_to_end": q_samples_end_to_end,
     "notes_stream": q_notes_stream,

@@ -23,10 +23,11 @@ from loomset.operators import guardrails as G
 from loomset.operators import notes as N
 from loomset.operators import report as R
 from loomset.session import shared_dir
-from loomset.sources import chat_tree, jsonl, message_log, notes
+from loomset.sources import chat_tree, jsonl, message_log, note_tree, notes
 
 SOURCE_KINDS = ("chat_tree", "message_log", "notes")
 NOTES_READ = "notes_read"
+SKIPPED_NAMED = 100  # names of unreadable notes in a summary
 
 
 def _judge_messages(messages, enforce_guardrails: bool):
@@ -288,6 +289,12 @@ def write_dataset(
     return {"samples": int(written.get["samples"])} | {k: int(v) for k, v in counts.items()}
 
 
+def _skipped_names(spark: SparkSession, path: str | list[str], hidden: str) -> list[str]:
+    """The first ``SKIPPED_NAMED`` notes that cannot be read; all of them: :func:`note_tree.unreadable_notes`."""
+    failed = note_tree.unreadable_notes(spark, path, hidden == "read")
+    return [row.file_path for row in failed.orderBy("file_path").limit(SKIPPED_NAMED).collect()]
+
+
 def build_dataset(
     spark: SparkSession,
     kind: str,
@@ -305,7 +312,7 @@ def build_dataset(
     """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary.
 
     Besides sample and rejection counts the summary has what was left out: ``skipped_files`` for notes that could not be
-    read, ``corrupt_files`` for chat-tree exports (or lines) that did not parse in ``PERMISSIVE`` mode.
+    read and ``skipped_names`` for the first hundred of their paths, ``corrupt_files`` for chat-tree exports (or lines) that did not parse in ``PERMISSIVE`` mode.
     """
     records, written, rejected = plan_dataset(
         spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words, mode, multi_line, hidden
@@ -318,7 +325,8 @@ def build_dataset(
         "output": output,
     } | write_dataset(records, written, rejected, output, compression)
     if kind == "notes":
-        summary["skipped_files"] = notes.count_note_files(spark, path) - summary[NOTES_READ]
+        summary["skipped_files"] = notes.count_note_files(spark, path, hidden) - summary[NOTES_READ]
+        summary["skipped_names"] = _skipped_names(spark, path, hidden) if summary["skipped_files"] else []
     if kind == "chat_tree":
         permissive = mode.upper() == "PERMISSIVE"
         exports = chat_tree.read_chat_tree(spark, path, mode, multi_line) if permissive else None

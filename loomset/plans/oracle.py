@@ -180,6 +180,20 @@ def notes_scan() -> str:
     return f"WITH {DOCS} SELECT lang, {strip('text')} AS text FROM docs"
 
 
+def notes_tree() -> str:
+    return f"WITH {DOCS} SELECT lang, doc_id % 2 = 1 AS draft, {strip('text')} AS text FROM docs"
+
+
+def alpaca_turns() -> str:
+    """The first two messages of every three, in turn order."""
+    return (
+        f"WITH {CONVS}, {MESSAGES}, p AS (SELECT conv_id, turn // 3 AS part, list(content ORDER BY turn) AS said FROM m GROUP BY ALL) "
+        "SELECT CAST(conv_id AS VARCHAR) || '#' || CAST(part AS VARCHAR) AS sample_id, "
+        "to_json(struct_pack(instruction := said[1], input := '', output := said[2])) AS record "
+        f"FROM p WHERE len(said) >= {rules.MIN_TURNS}"
+    )
+
+
 def harm_category() -> str:
     return f"WITH {DOCS} SELECT doc_id, {harm(strip('text'))} AS harm_category FROM docs"
 
@@ -294,11 +308,13 @@ ORACLE: dict[str, str] = {
     "message_log_windows": message_log_windows(),
     "format_sharegpt": format_sharegpt(),
     "format_alpaca": format_alpaca(),
+    "alpaca_turns": alpaca_turns(),
     "format_jsonl": format_jsonl(),
     "chat_tree_scan": chat_tree_scan(),
     "chat_tree_split": chat_tree_scan(),
     "message_log_scan": message_log_scan(),
     "notes_scan": notes_scan(),
+    "notes_tree": notes_tree(),
     "jsonl_sink": jsonl_sink(),
     "samples_end_to_end": samples_end_to_end(),
     "notes_stream": notes_stream(),

@@ -3,9 +3,10 @@
 ``pathGlobFilter`` applies the extension filter to the listing, so other files
 are never opened (S4); ``recursiveFileLookup`` walks every depth; unreadable
 files are skipped (S6) and counted in the run summary; invalid UTF-8 bytes are
-dropped (S5). Spark's listing passes over names that start with ``_`` or
-``.``, so notes of such names make the read fail unless they are to be skipped. A note is read
-whole (``wholetext``), one file per row.
+dropped (S5). Spark's listing is the driver's and passes over names that start
+with ``_`` or ``.``: notes of such names make the read fail, unless they are to
+be skipped, or read with all others through :mod:`loomset.sources.note_tree`,
+which also lists on the executors. A note is read whole, one file per row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomset.functions import rules
 from loomset.functions import text as T
+from loomset.sources import note_tree
 
 
 def extension_glob(extensions: tuple[str, ...] = rules.NOTE_EXTENSIONS) -> str:
@@ -53,11 +55,11 @@ def hidden_notes(spark: SparkSession, path: str | list[str]) -> list[str]:
 def refuse_hidden(spark: SparkSession, path: str | list[str], hidden: str = "error") -> None:
     """Fail if Spark would pass over notes for their names (``hidden="skip"``: let it)."""
     if hidden not in ("error", "skip"):
-        raise ValueError(f"hidden must be 'error' or 'skip', got {hidden!r}")
+        raise ValueError(f"hidden must be 'error' or 'skip' (in batch also 'read'), got {hidden!r}")
     if hidden == "error" and (names := hidden_notes(spark, path)):
         raise ValueError(
             f"{len(names)} notes have names that start with '_' or '.', or lie in such a folder, and would not be read: "
-            f"{', '.join(names[:5])}. Rename them, or pass hidden='skip' to leave them out."
+            f"{', '.join(names[:5])}. Rename them, or pass hidden='skip' to leave them out (in batch also 'read')."
         )
 
 
@@ -72,20 +74,29 @@ def note_options(reader, skip_unreadable: bool = True):
 
 
 def note_rows(raw: DataFrame) -> DataFrame:
+    """``file_path`` as Spark tells it (an encoded URI), ``file_name`` as the file is called, ``text``."""
     return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
+        F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file_name"),
         T.clean_utf8(F.col("value")).alias("text"),
     )
 
 
 def read_notes(spark: SparkSession, path: str | list[str], skip_unreadable: bool = True, hidden: str = "error") -> DataFrame:
-    """``file_path``, ``file_name``, ``text`` of every note file under ``path``."""
+    """``file_path``, ``file_name``, ``text`` of every note file under ``path``.
+
+    ``hidden`` says what becomes of names that start with ``_`` or ``.``, or lie in such a folder: ``"error"``, ``"skip"``
+    or ``"read"``. Empty files are rows of the last form only (they give no sample in any).
+    """
+    if hidden == "read":
+        return note_tree.note_rows(note_tree.read_listed(note_tree.list_notes(spark, path), skip_unreadable))
     refuse_hidden(spark, path, hidden)
     return note_rows(note_options(spark.read, skip_unreadable).text(path, wholetext=True))
 
 
-def count_note_files(spark: SparkSession, path: str | list[str]) -> int:
+def count_note_files(spark: SparkSession, path: str | list[str], hidden: str = "error") -> int:
     """Note files in the listing (no file is opened), to set against the notes read."""
+    if hidden == "read":
+        return note_tree.list_notes(spark, path).count()
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", extension_glob())
     return listed.load(path).select("path").count()
