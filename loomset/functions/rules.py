@@ -12,6 +12,8 @@ driver and in tests without a session.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must match the reproduced behaviour; do not edit)
@@ -157,9 +159,9 @@ def re2_regex(pattern: str) -> str:
     return _expand_whitespace(pattern)
 
 
-def harm_regex(category: str, dialect: str = "java") -> str:
+def harm_regex(category: str, dialect: str = "java", harm: Mapping[str, Sequence[str]] = HARM_PATTERNS) -> str:
     """All patterns of one category as a single alternation."""
-    joined = "|".join(HARM_PATTERNS[category])
+    joined = "|".join(harm[category])
     return java_regex(joined) if dialect == "java" else re2_regex(joined)
 
 
@@ -217,3 +219,82 @@ def any_harm_regex(dialect: str = "java") -> str:
         raise ValueError("a harm phrase starts or ends with a character that is no word character")
     # next to a word character the boundary has one side only
     return java_regex(f"(?<!{WORD_CLASS}){trie}(?!{WORD_CLASS})")
+
+
+# ---------------------------------------------------------------------------
+# Tables of one's own
+# ---------------------------------------------------------------------------
+
+DIGIT = r"\d"  # in a set of required literals: any digit
+
+
+@dataclass(frozen=True)
+class RuleTables:
+    """Harm categories and personal-data patterns of a run, each in the order of evaluation.
+
+    Patterns are Python ``re`` patterns in the subset shared with the JVM and RE2; harm patterns are searched in the
+    lower-cased text, replacements are literal text.
+    """
+
+    harm: Mapping[str, Sequence[str]] = field(default_factory=lambda: HARM_PATTERNS)
+    pii: Mapping[str, str] = field(default_factory=lambda: PII_PATTERNS)
+    replacements: Mapping[str, str] = field(default_factory=lambda: PII_REPLACEMENTS)
+
+    def __post_init__(self):
+        if missing := [kind for kind in self.pii if kind not in self.replacements]:
+            raise ValueError(f"no replacement for {', '.join(missing)}")
+        if taken := {"rejected", "samples", "notes_read", "file", "block", "_n"} & set(self.harm):
+            raise ValueError(f"not a name for a harm category: {', '.join(sorted(taken))}")
+        if empty := [category for category, patterns in self.harm.items() if not patterns]:
+            raise ValueError(f"no pattern for {', '.join(empty)}")
+        for pattern in [*self.pii.values(), *(p for patterns in self.harm.values() for p in patterns)]:
+            re.compile(pattern)
+
+
+TABLES = RuleTables()
+
+
+def required_literals(pattern: str) -> frozenset[str] | None:
+    """Strings of which every match of ``pattern`` holds at least one (:data:`DIGIT`: a digit), None if none are known.
+
+    A sequence needs what any of its parts needs, alternatives the union of what all of them need, a repeat what its body
+    needs if it occurs at least once. Of several answers the longest literals win, then digits.
+    """
+    parsed = re._parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE:
+        return None
+
+    def worth(needed: frozenset[str]) -> float:
+        return min(1.5 if literal == DIGIT else len(literal) for literal in needed)
+
+    def needs(sequence) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, value in [*sequence, (None, None)]:
+            if op is re._constants.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append(frozenset([run]))
+                run = ""
+            inner = None
+            if op is re._constants.SUBPATTERN and not value[1] & re.IGNORECASE:
+                inner = needs(value[3])
+            elif op is re._constants.BRANCH:
+                branches = [needs(branch) for branch in value[1]]
+                inner = frozenset().union(*branches) if all(branches) else None
+            elif op in (re._constants.MAX_REPEAT, re._constants.MIN_REPEAT, re._constants.POSSESSIVE_REPEAT) and value[0]:
+                inner = needs(value[2])
+            elif op is re._constants.ATOMIC_GROUP:
+                inner = needs(value)
+            elif op is re._constants.IN and list(value) == [(re._constants.CATEGORY, re._constants.CATEGORY_DIGIT)]:
+                inner = frozenset([DIGIT])
+            if inner:
+                found.append(inner)
+        return max(found, key=worth, default=None)
+
+    return needs(parsed)
+
+
+def java_replacement(text: str) -> str:
+    """``text`` as a replacement that stands for itself."""
+    return text.replace("\\", "\\\\").replace("$", "\\$")

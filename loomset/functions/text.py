@@ -8,6 +8,9 @@ streaming DataFrames.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(rules.WHITESPACE_CHARS))
 
 
-def harm_category(c: Column, prefilter: bool = True) -> Column:
+def harm_category(c: Column, prefilter: bool = True, tables: rules.RuleTables = rules.TABLES) -> Column:
     """First matching harm category of the lower-cased text, NULL when clean or empty.
 
     With ``prefilter`` one combined pattern is tried first; clean rows (nearly
@@ -44,12 +47,29 @@ def harm_category(c: Column, prefilter: bool = True) -> Column:
     """
     lowered = F.lower(c)
     verdict = None
-    for category in rules.HARM_PATTERNS:
-        cond = lowered.rlike(rules.harm_regex(category))
+    for category in tables.harm:
+        cond = lowered.rlike(rules.harm_regex(category, harm=tables.harm))
         verdict = F.when(cond, F.lit(category)) if verdict is None else verdict.when(cond, F.lit(category))
-    if prefilter:
+    if verdict is None:
+        return F.lit(None).cast("string")
+    if not prefilter:
+        return verdict
+    if tables.harm is rules.HARM_PATTERNS:
         return F.when(lowered.rlike(rules.any_harm_regex()), verdict)
-    return verdict
+    needed = [rules.required_literals(p) for patterns in tables.harm.values() for p in patterns]
+    guard = holds_any(lowered, needed)
+    return verdict if guard is None else F.when(guard, verdict)
+
+
+def holds_any(c: Column, needed: list[frozenset[str] | None]) -> Column | None:
+    """``c`` holds one of the literals that some pattern needs; None if a pattern can do without known ones."""
+    if not all(needed):
+        return None
+    literals = sorted(frozenset().union(*needed))
+    plain = [re.escape(literal) for literal in literals if literal != rules.DIGIT]
+    tests = [c.rlike("|".join(plain))] if len(plain) > 1 else [c.contains(literal) for literal in literals if literal != rules.DIGIT]
+    tests += [has_digit(c)] if rules.DIGIT in literals else []
+    return functools.reduce(lambda a, b: a | b, tests)
 
 
 def redact(c: Column) -> Column:
@@ -60,9 +80,9 @@ def redact(c: Column) -> Column:
     return out
 
 
-def redact_step(kind: str, c: Column) -> Column:
+def redact_step(kind: str, c: Column, tables: rules.RuleTables = rules.TABLES) -> Column:
     """One redaction (T2a-e) on ``c``."""
-    return F.regexp_replace(c, rules.java_regex(rules.PII_PATTERNS[kind]), rules.PII_REPLACEMENTS[kind])
+    return F.regexp_replace(c, rules.java_regex(tables.pii[kind]), rules.java_replacement(tables.replacements[kind]))
 
 
 # Exact necessary conditions for a redaction to change the text: an e-mail
@@ -81,9 +101,17 @@ def has_digit(c: Column) -> Column:
     return c.rlike(r"(?U)\d")
 
 
-def redact_guarded(c: Column) -> Column:
+def redact_guarded(c: Column, tables: rules.RuleTables = rules.TABLES) -> Column:
     """:func:`redact` run only where some redaction can apply, the e-mail step only where there is an ``@``; for a cheap
     ``c`` (a column or lambda variable)."""
+    if tables is not rules.TABLES:
+        out = c
+        for kind in tables.pii:
+            out = redact_step(kind, out, tables)
+        # where no step finds what it needs in the text as it came, none changes it
+        can_match = holds_any(c, [rules.required_literals(p) for p in tables.pii.values()]) if tables.pii else F.lit(False)
+        kept = F.coalesce(c, F.lit(""))
+        return F.coalesce(out, F.lit("")) if can_match is None else F.when(can_match, out).otherwise(kept)
     out = F.when(has_at_sign(c), redact_step("email", c)).otherwise(c)
     for kind in list(rules.PII_PATTERNS)[1:]:
         out = redact_step(kind, out)

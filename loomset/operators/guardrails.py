@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomset.functions import rules
 from loomset.functions import text as T
 
 HARM = "harm_category"
 
 
-def classify(df: DataFrame, text_col: str, enabled: bool = True) -> DataFrame:
+def classify(df: DataFrame, text_col: str, enabled: bool = True, tables: rules.RuleTables = rules.TABLES) -> DataFrame:
     """Add ``harm_category`` (NULL = clean) computed on the unredacted text."""
-    verdict = T.harm_category(F.col(text_col)) if enabled else F.lit(None).cast("string")
+    verdict = T.harm_category(F.col(text_col), tables=tables) if enabled else F.lit(None).cast("string")
     return df.withColumn(HARM, verdict)
 
 
@@ -27,7 +28,9 @@ def keep_clean(df: DataFrame) -> DataFrame:
     return df.where(F.col(HARM).isNull())
 
 
-def redact_column(df: DataFrame, text_col: str, enabled: bool = True, out_col: str | None = None) -> DataFrame:
+def redact_column(
+    df: DataFrame, text_col: str, enabled: bool = True, out_col: str | None = None, tables: rules.RuleTables = rules.TABLES
+) -> DataFrame:
     """Redact personal data in ``text_col`` (T2); with ``enabled=False`` NULL still becomes ''.
 
     Same result as :func:`loomset.functions.text.redact`, but each regex runs
@@ -40,6 +43,14 @@ def redact_column(df: DataFrame, text_col: str, enabled: bool = True, out_col: s
     source = F.coalesce(F.col(text_col), F.lit(""))
     if not enabled:
         return df.withColumn(out_col, source)
+    if tables is not rules.TABLES:
+        cols = [f"_r{k}" for k in range(len(tables.pii) + 1)]
+        r = df.withColumn(cols[0], source)
+        for before, after, kind in zip(cols, cols[1:], tables.pii):
+            c = F.col(before)
+            step, guard = T.redact_step(kind, c, tables), T.holds_any(c, [rules.required_literals(tables.pii[kind])])
+            r = r.withColumn(after, step if guard is None else F.when(guard, step).otherwise(c))
+        return r.withColumn(out_col, F.col(cols[-1])).drop(*cols)
     cols = ["_r0", "_r1", "_rd", "_r3", "_r4"]
     r = df.withColumn("_r0", source)
     r = r.withColumn("_r1", F.when(T.has_at_sign(F.col("_r0")), T.redact_step("email", F.col("_r0"))).otherwise(F.col("_r0")))

@@ -16,7 +16,11 @@ from loomset.operators import guardrails as G
 
 
 def prepare_notes(
-    df: DataFrame, text_col: str = "text", sanitize_pii: bool = True, enforce_guardrails: bool = True
+    df: DataFrame,
+    text_col: str = "text",
+    sanitize_pii: bool = True,
+    enforce_guardrails: bool = True,
+    tables: rules.RuleTables = rules.TABLES,
 ) -> DataFrame:
     """Strip, classify (on the unredacted text) and redact; adds ``body``, ``has_text``, ``harm_category``.
 
@@ -25,8 +29,8 @@ def prepare_notes(
     same, and a filter on it does not drag the regex chain below itself.
     """
     stripped = df.withColumn("_stripped", T.strip(F.col(text_col))).withColumn("has_text", F.col("_stripped") != "")
-    classified = G.classify(stripped, "_stripped", enforce_guardrails)
-    return G.redact_column(classified, "_stripped", sanitize_pii, out_col="body").drop("_stripped")
+    classified = G.classify(stripped, "_stripped", enforce_guardrails, tables)
+    return G.redact_column(classified, "_stripped", sanitize_pii, "body", tables).drop("_stripped")
 
 
 def chunk_notes(

@@ -6,6 +6,8 @@ zero-filled by construction because every category is its own ``count_if``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ from loomset.operators.guardrails import HARM
 CATEGORIES = list(rules.HARM_PATTERNS)
 
 
-def rejection_exprs(verdict: Column | None = None) -> list[Column]:
+def rejection_exprs(verdict: Column | None = None, categories: Iterable[str] = CATEGORIES) -> list[Column]:
     """A2 + A3 as aggregate expressions over a verdict column (one row per judged unit)."""
     verdict = F.col(HARM) if verdict is None else verdict
-    per_category = [F.count_if(verdict == F.lit(c)).alias(c) for c in CATEGORIES]
+    per_category = [F.count_if(verdict == F.lit(c)).alias(c) for c in categories]
     return [*per_category, F.count(verdict).alias("rejected")]
 
 
@@ -32,10 +34,10 @@ def _is(category: str):
     return lambda m: m[HARM] == F.lit(category)
 
 
-def array_rejection_exprs(messages: Column) -> list[Column]:
+def array_rejection_exprs(messages: Column, categories: Iterable[str] = CATEGORIES) -> list[Column]:
     """A2 + A3 when the verdicts live inside an array column (row-local chat trees)."""
     per_category = [
-        F.coalesce(F.sum(F.size(F.filter(messages, _is(c)))), F.lit(0)).cast("bigint").alias(c) for c in CATEGORIES
+        F.coalesce(F.sum(F.size(F.filter(messages, _is(c)))), F.lit(0)).cast("bigint").alias(c) for c in categories
     ]
     total = F.coalesce(F.sum(F.size(F.filter(messages, lambda m: m[HARM].isNotNull()))), F.lit(0)).cast("bigint")
     return [*per_category, total.alias("rejected")]

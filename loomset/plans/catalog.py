@@ -48,6 +48,12 @@ DOC_HITS_89 = [(0, " 123-45-6789"), (1, " sk-" + "abcdefghijklmnopqrstuvwx")]
 # conversations: (conv_id % 23, turn, appended text)
 CONV_HITS_23 = [(0, 1, " ransomware"), (1, 0, " pipe bomb"), (2, 1, " erotica"), (3, 2, " murder plan"), (4, 0, " 123-45-6789")]
 
+# a user's own rules, on texts as the provided corpus has them
+OWN_TABLES = rules.RuleTables(
+    harm={"shouting": [r"[a-z]+!!\s[a-z]+!!"], "markup": ["###|%%%", r"\*\*\*\s[a-z]"], "wording": [r"of\s(?:the|and)\sthe"]},
+    pii={"shout": "[a-zA-Z]+!!", "number": r"\d{4}", "of_the": r"of\sthe"},
+    replacements={"shout": "[SHOUT]", "number": "[NUMBER]", "of_the": "[OF THE]"},
+)
 
 
 def _case(key: Column, cases: list[tuple[int, str]]) -> Column:
@@ -97,6 +103,13 @@ def q_pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.redact_column(d, "stripped", out_col="redacted").select("doc_id", "redacted")
 
 
+def q_own_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 and T2 by rule tables given as arguments."""
+    d = documents_with_hits(spark, sf_dir).select("doc_id", T.strip(F.col("text")).alias("stripped"))
+    judged = G.classify(d, "stripped", tables=OWN_TABLES)
+    return G.redact_column(judged, "stripped", out_col="redacted", tables=OWN_TABLES).select("doc_id", "harm_category", "redacted")
+
+
 def _chunks(spark: SparkSession, sf_dir: str, sanitize_pii: bool = True, enforce_guardrails: bool = True) -> DataFrame:
     prepared = N.prepare_notes(documents_with_hits(spark, sf_dir), "text", sanitize_pii, enforce_guardrails)
     return N.chunk_notes(prepared, rules.DEFAULT_CHUNK_WORDS, keep_cols=["doc_id"])
@@ -319,6 +332,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "harm_category": q_harm_category,
     "harm_filter": q_harm_filter,
     "pii_redact": q_pii_redact,
+    "own_tables": q_own_tables,
     "note_chunks": q_note_chunks,
     "notes_to_instruction": q_notes_to_instruction,
     "guardrails_off": q_guardrails_off,

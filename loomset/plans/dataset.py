@@ -30,15 +30,19 @@ NOTES_READ = "notes_read"
 SKIPPED_NAMED = 100  # names of unreadable notes in a summary
 
 
-def _judge_messages(messages, enforce_guardrails: bool):
-    verdict = (lambda m: T.harm_category(m["content"])) if enforce_guardrails else (lambda m: F.lit(None).cast("string"))
+def _judge_messages(messages, enforce_guardrails: bool, tables: rules.RuleTables):
+    verdict = (lambda m: T.harm_category(m["content"], tables=tables)) if enforce_guardrails else (lambda m: F.lit(None).cast("string"))
     return F.transform(
         messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), verdict(m).alias(G.HARM))
     )
 
 
 def chat_tree_samples(
-    exports: DataFrame, sanitize_pii: bool = True, enforce_guardrails: bool = True, observation: Observation | None = None
+    exports: DataFrame,
+    sanitize_pii: bool = True,
+    enforce_guardrails: bool = True,
+    observation: Observation | None = None,
+    tables: rules.RuleTables = rules.TABLES,
 ) -> DataFrame:
     """Row-local S1 flow: one row per conversation in, one sample per kept conversation out (no shuffle)."""
     # conversations of one large export are judged by many tasks; a projected id that is not deterministic keeps filters
@@ -48,12 +52,12 @@ def chat_tree_samples(
         "file",
         "conversation_id",
         "conv_key",
-        _judge_messages(chat_tree.node_messages(F.col("mapping")), enforce_guardrails).alias("msgs"),
+        _judge_messages(chat_tree.node_messages(F.col("mapping")), enforce_guardrails, tables).alias("msgs"),
         F.monotonically_increasing_id().alias("_judged"),
     )
     if observation is not None:
-        judged = judged.observe(observation, *R.array_rejection_exprs(F.col("msgs")))
-    redact = T.redact_guarded if sanitize_pii else (lambda c: c)
+        judged = judged.observe(observation, *R.array_rejection_exprs(F.col("msgs"), tables.harm))
+    redact = (lambda c: T.redact_guarded(c, tables)) if sanitize_pii else (lambda c: c)
     kept = F.transform(
         F.filter("msgs", lambda m: m[G.HARM].isNull()),
         lambda m: F.struct(m["role"].alias("role"), redact(m["content"]).alias("content")),
@@ -76,6 +80,7 @@ def table_conversation_samples(
     enforce_guardrails: bool = True,
     observation: Observation | str | None = None,
     block_size: int | None = None,
+    tables: rules.RuleTables = rules.TABLES,
 ) -> DataFrame:
     """Chat messages held as a table (one row per message) -> one sample per conversation.
 
@@ -85,10 +90,10 @@ def table_conversation_samples(
     (:func:`loomset.operators.conversations.assemble`).
     """
     msgs = messages.select(key_col, order_col, role_col, T.strip(F.col(text_col)).alias("content"))
-    judged = G.classify(C.message_filter(msgs, role_col, "content"), "content", enforce_guardrails)
+    judged = G.classify(C.message_filter(msgs, role_col, "content"), "content", enforce_guardrails, tables)
     if observation is not None:
-        judged = judged.observe(observation, *R.rejection_exprs())
-    kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii)
+        judged = judged.observe(observation, *R.rejection_exprs(categories=tables.harm))
+    kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii, tables=tables)
     convs = C.assemble(kept, [key_col], order_col, role_col, "content", block_size=block_size)
     return FMT.conversation_samples(convs, F.col(key_col), "chat_table")
 
@@ -105,6 +110,7 @@ def table_log_samples(
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
     block_size: int = TABLE_LOG_BLOCK,
+    tables: rules.RuleTables = rules.TABLES,
 ) -> DataFrame:
     """Log messages held as a table (one row per line, explicit order) -> six-message windows.
 
@@ -128,12 +134,12 @@ def table_log_samples(
         T.strip(F.col(text_col)).alias("content"),
     ).where((F.col("content") != "") & ~F.col("content").startswith(rules.MEDIA_PREFIX))
     if longest > block_size:
-        return message_log_samples(msgs, sanitize_pii, enforce_guardrails)
-    kept = G.redact_column(G.keep_clean(G.classify(msgs, "content", enforce_guardrails)), "content", sanitize_pii)
+        return message_log_samples(msgs, sanitize_pii, enforce_guardrails, tables=tables)
+    kept = G.redact_column(G.keep_clean(G.classify(msgs, "content", enforce_guardrails, tables)), "content", sanitize_pii, tables=tables)
     return _window_samples(C.short_log_windows(kept, "file", "line_id", "sender", "content"))
 
 
-def message_log_blocks(lines: DataFrame, enforce_guardrails: bool = True) -> DataFrame:
+def message_log_blocks(lines: DataFrame, enforce_guardrails: bool = True, tables: rules.RuleTables = rules.TABLES) -> DataFrame:
     """Pass 1 for parsed log lines, materialised: per (file, block) the kept count ``_n`` and the rejections.
 
     One small row per block, checkpointed in the shared folder. It serves both
@@ -142,16 +148,16 @@ def message_log_blocks(lines: DataFrame, enforce_guardrails: bool = True) -> Dat
     times.
     """
     shared_dir(lines.sparkSession)
-    judged = G.classify(lines, "content", enforce_guardrails)
+    judged = G.classify(lines, "content", enforce_guardrails, tables)
     per_block = judged.groupBy("file", "block").agg(
-        F.count_if(F.col(G.HARM).isNull()).alias("_n"), *R.rejection_exprs()
+        F.count_if(F.col(G.HARM).isNull()).alias("_n"), *R.rejection_exprs(categories=tables.harm)
     )
     return per_block.checkpoint(eager=True)
 
 
-def rejections_from_blocks(blocks: DataFrame) -> DataFrame:
+def rejections_from_blocks(blocks: DataFrame, tables: rules.RuleTables = rules.TABLES) -> DataFrame:
     """A2/A3 totals from :func:`message_log_blocks` (an ordinary aggregate: exact under retries)."""
-    return blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in [*R.CATEGORIES, "rejected"]])
+    return blocks.agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).cast("bigint").alias(c) for c in [*tables.harm, "rejected"]])
 
 
 def message_log_samples(
@@ -159,16 +165,17 @@ def message_log_samples(
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
     blocks: DataFrame | None = None,
+    tables: rules.RuleTables = rules.TABLES,
 ) -> DataFrame:
     """S2 flow on parsed lines (``file``, ``block``, ``line_id``, ``sender``, ``content``).
 
     ``blocks`` is the materialised pass 1 (:func:`message_log_blocks`), which
     also has the exact rejection counts; it is computed here when not given.
     """
-    judged = G.classify(lines, "content", enforce_guardrails)
-    kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii)
+    judged = G.classify(lines, "content", enforce_guardrails, tables)
+    kept = G.redact_column(G.keep_clean(judged), "content", sanitize_pii, tables=tables)
     if blocks is None:
-        blocks = message_log_blocks(lines, enforce_guardrails)
+        blocks = message_log_blocks(lines, enforce_guardrails, tables)
     return _window_samples(C.tumbling_windows(kept, "file", "block", "line_id", "sender", "content", counts=blocks))
 
 
@@ -182,15 +189,16 @@ def notes_samples(
     sanitize_pii: bool = True,
     enforce_guardrails: bool = True,
     observation: Observation | str | None = None,
+    tables: rules.RuleTables = rules.TABLES,
 ) -> DataFrame:
     """S3 flow on note rows (``file_path``, ``file_name``, ``text``); batch or streaming.
 
     ``observation`` may be a name: streaming queries report named metrics in
     their progress instead of an ``Observation``.
     """
-    prepared = N.prepare_notes(files, "text", sanitize_pii, enforce_guardrails)
+    prepared = N.prepare_notes(files, "text", sanitize_pii, enforce_guardrails, tables)
     if observation is not None:
-        prepared = prepared.observe(observation, *R.rejection_exprs(), F.count(F.lit(1)).alias(NOTES_READ))
+        prepared = prepared.observe(observation, *R.rejection_exprs(categories=tables.harm), F.count(F.lit(1)).alias(NOTES_READ))
     chunked = N.chunk_notes(prepared, chunk_words, keep_cols=["file_path", "file_name"])
     records = N.instruction_samples(chunked, "file_name")
     return FMT.instruction_samples(
@@ -209,6 +217,7 @@ def read_samples(
     mode: str = "FAILFAST",
     multi_line: bool | str = True,
     hidden: str = "error",
+    tables: rules.RuleTables = rules.TABLES,
 ) -> DataFrame:
     """``SAMPLES`` of one source kind (``chat_tree`` | ``message_log`` | ``notes``).
 
@@ -218,13 +227,14 @@ def read_samples(
     """
     if kind == "chat_tree":
         exports = chat_tree.read_chat_tree(spark, path, mode, multi_line)
-        return chat_tree_samples(exports, sanitize_pii, enforce_guardrails, observation)
+        return chat_tree_samples(exports, sanitize_pii, enforce_guardrails, observation, tables)
     if kind == "message_log":
         if observation is not None:
             raise ValueError("message logs take no observation; use message_log_blocks and rejections_from_blocks")
-        return message_log_samples(message_log.read_message_log(spark, path), sanitize_pii, enforce_guardrails)
+        return message_log_samples(message_log.read_message_log(spark, path), sanitize_pii, enforce_guardrails, tables=tables)
     if kind == "notes":
-        return notes_samples(notes.read_notes(spark, path, hidden=hidden), chunk_words, sanitize_pii, enforce_guardrails, observation)
+        files = notes.read_notes(spark, path, hidden=hidden)
+        return notes_samples(files, chunk_words, sanitize_pii, enforce_guardrails, observation, tables)
     raise ValueError(f"unknown source kind {kind!r}; expected one of {SOURCE_KINDS}")
 
 
@@ -239,6 +249,7 @@ def plan_dataset(
     mode: str = "FAILFAST",
     multi_line: bool | str = True,
     hidden: str = "error",
+    tables: rules.RuleTables = rules.TABLES,
 ) -> tuple[DataFrame, Observation, Observation | DataFrame]:
     """The records DataFrame of one run (not executed) with its sample observation and rejection counts.
 
@@ -255,12 +266,12 @@ def plan_dataset(
         raise ValueError(f"unknown source kind {kind!r}; expected one of {SOURCE_KINDS}")
     if kind == "message_log":
         lines = message_log.read_message_log(spark, path)
-        blocks = message_log_blocks(lines, enforce_guardrails)
-        samples = message_log_samples(lines, sanitize_pii, enforce_guardrails, blocks=blocks)
-        rejected: Observation | DataFrame = rejections_from_blocks(blocks)
+        blocks = message_log_blocks(lines, enforce_guardrails, tables)
+        samples = message_log_samples(lines, sanitize_pii, enforce_guardrails, blocks, tables)
+        rejected: Observation | DataFrame = rejections_from_blocks(blocks, tables)
     else:
         rejected = Observation("rejections")
-        samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected, mode, multi_line, hidden)
+        samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected, mode, multi_line, hidden, tables)
     return *plan_records(samples, dataset_format), rejected
 
 
@@ -308,6 +319,7 @@ def build_dataset(
     mode: str = "FAILFAST",
     multi_line: bool | str = True,
     hidden: str = "error",
+    tables: rules.RuleTables = rules.TABLES,
 ) -> dict:
     """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary.
 
@@ -315,7 +327,7 @@ def build_dataset(
     read and ``skipped_names`` for the first hundred of their paths, ``corrupt_files`` for chat-tree exports (or lines) that did not parse in ``PERMISSIVE`` mode.
     """
     records, written, rejected = plan_dataset(
-        spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words, mode, multi_line, hidden
+        spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words, mode, multi_line, hidden, tables
     )
     summary = {
         "source": kind,

@@ -26,16 +26,16 @@ def rstrip(x: str) -> str:
     return f"rtrim({x}, {lit(rules.WHITESPACE_CHARS)})"
 
 
-def harm(x: str) -> str:
+def harm(x: str, tables: rules.RuleTables = rules.TABLES) -> str:
     low = f"lower({x})"
-    whens = " ".join(f"WHEN regexp_matches({low}, {lit(rules.harm_regex(c, 're2'))}) THEN {lit(c)}" for c in CATS)
+    whens = " ".join(f"WHEN regexp_matches({low}, {lit(rules.harm_regex(c, 're2', tables.harm))}) THEN {lit(c)}" for c in tables.harm)
     return f"(CASE {whens} ELSE NULL END)"
 
 
-def redact(x: str) -> str:
+def redact(x: str, tables: rules.RuleTables = rules.TABLES) -> str:
     out = f"coalesce({x}, '')"
-    for kind, pattern in rules.PII_PATTERNS.items():
-        out = f"regexp_replace({out}, {lit(rules.re2_regex(pattern))}, {lit(rules.PII_REPLACEMENTS[kind])}, 'g')"
+    for kind, pattern in tables.pii.items():
+        out = f"regexp_replace({out}, {lit(rules.re2_regex(pattern))}, {lit(tables.replacements[kind])}, 'g')"
     return out
 
 
@@ -206,6 +206,14 @@ def pii_redact() -> str:
     return f"WITH {DOCS} SELECT doc_id, {redact(strip('text'))} AS redacted FROM docs"
 
 
+def own_tables() -> str:
+    own = catalog.OWN_TABLES
+    return (
+        f"WITH {DOCS}, s AS (SELECT doc_id, {strip('text')} AS text FROM docs) "
+        f"SELECT doc_id, {harm('text', own)} AS harm_category, {redact('text', own)} AS redacted FROM s"
+    )
+
+
 def _samples_sql() -> str:
     """Notes instruction samples and assembled conversations, as in ``catalog._samples``."""
     return (
@@ -297,6 +305,7 @@ ORACLE: dict[str, str] = {
     "harm_category": harm_category(),
     "harm_filter": harm_filter(),
     "pii_redact": pii_redact(),
+    "own_tables": own_tables(),
     "note_chunks": note_chunks(),
     "notes_to_instruction": notes_to_instruction(),
     "guardrails_off": note_chunks(guardrails=False),
