@@ -35,6 +35,7 @@ def main(argv: list[str] | None = None) -> dict:
     parser.add_argument("--json-lines", action="store_true", help="chat trees with one conversation, or array of them, per line")
     parser.add_argument("--skip-hidden", action="store_true", help="leave out notes whose names start with '_' or '.'")
     parser.add_argument("--read-hidden", action="store_true", help="read such notes too; executors list the folders")
+    parser.add_argument("--split-notes", type=int, metavar="BYTES", help="many tasks for each note file, in pieces of this size")
     parser.add_argument("--tables", help="JSON file with rule tables of your own: harm, pii, replacements")
     parser.add_argument("--explain", action="store_true", help="print the physical plan of the write job and stop")
     args = parser.parse_args(argv)
@@ -48,7 +49,7 @@ def main(argv: list[str] | None = None) -> dict:
             tables = rules.RuleTables(**json.load(f))
     else:
         tables = rules.TABLES
-    reading = {"mode": args.mode, "multi_line": multi_line, "hidden": hidden, "tables": tables}
+    reading = {"mode": args.mode, "multi_line": multi_line, "hidden": hidden, "tables": tables, "split_bytes": args.split_notes}
     if args.explain:
         records, _, _ = plan_dataset(
             spark, args.kind, source, args.format, not args.no_redaction, not args.no_guardrails, args.chunk_words, **reading

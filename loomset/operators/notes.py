@@ -2,17 +2,19 @@
 
 A note is one row (one file or one table row); its words are split, grouped
 into fixed-size chunks and exploded inside the row, so the whole job is narrow:
-no shuffle, every task works on its own notes.
+no shuffle, every task works on its own notes. Notes larger than a task come as
+several rows (:func:`prepare_pieces`, :func:`chunk_pieces`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomset.functions import rules
 from loomset.functions import text as T
 from loomset.operators import guardrails as G
+from loomset.session import shared_dir
 
 
 def prepare_notes(
@@ -51,6 +53,50 @@ def chunk_notes(
     )
 
 
+def prepare_pieces(pieces: DataFrame, sanitize_pii: bool = True, enforce_guardrails: bool = True) -> DataFrame:
+    """Judged and redacted pieces of notes (:mod:`loomset.sources.split_notes`), materialised: ``file_path``,
+    ``file_name``, ``block``, ``words``, ``harm_category`` (of the piece).
+
+    The checkpoint holds the redacted words of all pieces, harmful ones too, so that the rules run once.
+    """
+    shared_dir(pieces.sparkSession)
+    prepared = prepare_notes(pieces, "text", sanitize_pii, enforce_guardrails)
+    return prepared.select("file_path", "file_name", "block", T.words(F.col("body")).alias("words"), G.HARM).checkpoint(eager=True)
+
+
+def note_verdicts(prepared_pieces: DataFrame) -> DataFrame:
+    """F5 for notes in pieces: ``file_path`` and the first category, in table order, that any piece of the note has."""
+    order = F.array(*[F.lit(c) for c in rules.HARM_PATTERNS])
+    first = F.min(F.array_position(order, F.col(G.HARM)))
+    return prepared_pieces.groupBy("file_path").agg(first.alias("_first")).select("file_path", F.get(order, F.col("_first").cast("int") - 1).alias(G.HARM))
+
+
+def chunk_pieces(prepared_pieces: DataFrame, chunk_words: int = rules.DEFAULT_CHUNK_WORDS) -> DataFrame:
+    """T3 + T4 + F5 + F8 for notes in pieces: ``file_path``, ``file_name``, ``chunk_index``, ``chunk``.
+
+    The number of words before a piece is a running sum over one small row per piece. Chunks that lie within a piece are
+    cut where it is; only the words at its two ends are shuffled, to be joined with those of its neighbours.
+    """
+    if chunk_words < 1:
+        raise ValueError(f"chunk_words must be a positive number of words, got {chunk_words}")
+    counts = prepared_pieces.select("file_path", "block", F.size("words").cast("long").alias("_n"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_n > 0")
+    counts = counts.join(note_verdicts(prepared_pieces).where(F.col(G.HARM).isNull()).select("file_path"), "file_path")
+    placed = prepared_pieces.drop(G.HARM).join(counts, ["file_path", "block"])
+
+    size = chunk_words
+    begin, end = F.expr(f"greatest(chunk_index * {size} - _off, 0)"), F.expr(f"least((chunk_index + 1) * {size} - _off, _n)")
+    cut = placed.withColumn("chunk_index", F.explode(F.expr(f"sequence(_off div {size}, (_off + _n - 1) div {size})")))
+    cut = cut.withColumn("_begin", begin).withColumn("_size", end - begin)
+    words = F.array_join(F.slice("words", (F.col("_begin") + 1).cast("int"), F.col("_size").cast("int")), " ")
+    cut = cut.select("file_path", "file_name", "block", "chunk_index", "_size", words.alias("chunk"))
+    inside = cut.where(F.col("_size") == size).select("file_path", "file_name", "chunk_index", "chunk")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "chunk"))), lambda p: p["chunk"])
+    joined = cut.where(F.col("_size") < size).groupBy("file_path", "file_name", "chunk_index").agg(F.array_join(parts, " ").alias("chunk"))
+    return inside.unionByName(joined).where(F.length("chunk") > rules.MIN_CHUNK_CHARS)
+
+
 def instruction_samples(chunked: DataFrame, name_col: str = "file_name") -> DataFrame:
     """``instruction`` from the file name, empty ``input``, the chunk as ``output``."""
     return chunked.withColumn("instruction", F.concat(F.lit(rules.NOTE_INSTRUCTION_PREFIX), F.col(name_col))).select(

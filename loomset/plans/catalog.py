@@ -48,6 +48,10 @@ DOC_HITS_89 = [(0, " 123-45-6789"), (1, " sk-" + "abcdefghijklmnopqrstuvwx")]
 # conversations: (conv_id % 23, turn, appended text)
 CONV_HITS_23 = [(0, 1, " ransomware"), (1, 0, " pipe bomb"), (2, 1, " erotica"), (3, 2, " murder plan"), (4, 0, " 123-45-6789")]
 
+# doc_id % 1997: few enough that most notes of many documents are kept
+NOTE_HITS_1997 = [(500, " a botnet and how to kill"), (501, " pipe bomb"), (1300, " murder plan"), (1301, " erotica")]
+NOTE_PIECE = 1 << 17  # the notes of notes_split are small; so are their pieces
+
 # a user's own rules, on texts as the provided corpus has them
 OWN_TABLES = rules.RuleTables(
     harm={"shouting": [r"[a-z]+!!\s[a-z]+!!"], "markup": ["###|%%%", r"\*\*\*\s[a-z]"], "wording": [r"of\s(?:the|and)\sthe"]},
@@ -305,6 +309,15 @@ def q_notes_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_notes_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3, T4, F5, F8 on notes read in pieces: verdicts of whole notes, chunks over the edges of pieces."""
+    d = documents(spark, sf_dir)
+    text = F.concat("text", _case(F.col("doc_id") % 1997, NOTE_HITS_1997), _case(F.col("doc_id") % 89, DOC_HITS_89))
+    path = render.render_joined_notes(d.select("doc_id", text.alias("text")), scratch_path(spark, "notes-split"))
+    chunks = N.chunk_pieces(dataset.split_note_pieces(spark, path, split_bytes=NOTE_PIECE))
+    return chunks.select(F.regexp_extract("file_path", r"note=(\d+)", 1).cast("bigint").alias("note"), "chunk_index", "chunk")
+
+
 def q_jsonl_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "jsonl")
     jsonl.write_jsonl(FMT.to_sharegpt(_samples(spark, sf_dir)), out)
@@ -351,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "message_log_scan": q_message_log_scan,
     "notes_scan": q_notes_scan,
     "notes_tree": q_notes_tree,
+    "notes_split": q_notes_split,
     "jsonl_sink": q_jsonl_sink,
     "samples_end_to_end": q_samples_end_to_end,
     "notes_stream": q_notes_stream,

@@ -23,7 +23,7 @@ from loomset.operators import guardrails as G
 from loomset.operators import notes as N
 from loomset.operators import report as R
 from loomset.session import shared_dir
-from loomset.sources import chat_tree, jsonl, message_log, note_tree, notes
+from loomset.sources import chat_tree, jsonl, message_log, note_tree, notes, split_notes
 
 SOURCE_KINDS = ("chat_tree", "message_log", "notes")
 NOTES_READ = "notes_read"
@@ -199,13 +199,44 @@ def notes_samples(
     prepared = N.prepare_notes(files, "text", sanitize_pii, enforce_guardrails, tables)
     if observation is not None:
         prepared = prepared.observe(observation, *R.rejection_exprs(categories=tables.harm), F.count(F.lit(1)).alias(NOTES_READ))
-    chunked = N.chunk_notes(prepared, chunk_words, keep_cols=["file_path", "file_name"])
+    return _chunk_samples(N.chunk_notes(prepared, chunk_words, keep_cols=["file_path", "file_name"]))
+
+
+def _chunk_samples(chunked: DataFrame) -> DataFrame:
     records = N.instruction_samples(chunked, "file_name")
     return FMT.instruction_samples(
         records, F.concat_ws("#", "file_path", F.col("chunk_index").cast("string")), "notes"
     )
 
 
+def split_note_pieces(
+    spark: SparkSession,
+    path: str | list[str],
+    split_bytes: int = split_notes.SPLIT_BYTES,
+    sanitize_pii: bool = True,
+    enforce_guardrails: bool = True,
+    hidden: str = "error",
+    tables: rules.RuleTables = rules.TABLES,
+) -> DataFrame:
+    """Judged and redacted pieces of the notes under ``path``, materialised, for notes that are larger than a task.
+
+    Only the fixed rules are known to match within a piece, so rule tables of one's own are refused.
+    """
+    if tables is not rules.TABLES:
+        raise ValueError("notes are read in pieces for the fixed rule tables only")
+    return N.prepare_pieces(split_notes.read_pieces(spark, path, split_bytes, hidden=hidden), sanitize_pii, enforce_guardrails)
+
+
+def split_notes_samples(pieces: DataFrame, chunk_words: int = rules.DEFAULT_CHUNK_WORDS) -> DataFrame:
+    """The samples of :func:`notes_samples` from :func:`split_note_pieces`."""
+    return _chunk_samples(N.chunk_pieces(pieces, chunk_words))
+
+
+def rejections_from_pieces(pieces: DataFrame) -> DataFrame:
+    """A2/A3 totals and the notes read, from :func:`split_note_pieces` (an ordinary aggregate: exact under retries)."""
+    return N.note_verdicts(pieces).agg(*R.rejection_exprs(), F.count(F.lit(1)).alias(NOTES_READ))
+
+
 def read_samples(
     spark: SparkSession,
     kind: str,
@@ -218,12 +249,14 @@ def read_samples(
     multi_line: bool | str = True,
     hidden: str = "error",
     tables: rules.RuleTables = rules.TABLES,
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """``SAMPLES`` of one source kind (``chat_tree`` | ``message_log`` | ``notes``).
 
     ``mode`` and ``multi_line`` are those of :func:`loomset.sources.chat_tree.read_chat_tree`, ``hidden`` that of
     :func:`loomset.sources.notes.read_notes`. Message logs take no ``observation``: their messages are judged before a
-    shuffle, where a repeated task would count twice (:func:`rejections_from_blocks` gives exact counts).
+    shuffle, where a repeated task would count twice (:func:`rejections_from_blocks` gives exact counts). With
+    ``split_bytes`` notes are read in pieces of that size (:func:`split_note_pieces`), also without an ``observation``.
     """
     if kind == "chat_tree":
         exports = chat_tree.read_chat_tree(spark, path, mode, multi_line)
@@ -232,6 +265,11 @@ def read_samples(
         if observation is not None:
             raise ValueError("message logs take no observation; use message_log_blocks and rejections_from_blocks")
         return message_log_samples(message_log.read_message_log(spark, path), sanitize_pii, enforce_guardrails, tables=tables)
+    if kind == "notes" and split_bytes is not None:
+        if observation is not None:
+            raise ValueError("notes in pieces take no observation; use split_note_pieces and rejections_from_pieces")
+        pieces = split_note_pieces(spark, path, split_bytes, sanitize_pii, enforce_guardrails, hidden, tables)
+        return split_notes_samples(pieces, chunk_words)
     if kind == "notes":
         files = notes.read_notes(spark, path, hidden=hidden)
         return notes_samples(files, chunk_words, sanitize_pii, enforce_guardrails, observation, tables)
@@ -250,6 +288,7 @@ def plan_dataset(
     multi_line: bool | str = True,
     hidden: str = "error",
     tables: rules.RuleTables = rules.TABLES,
+    split_bytes: int | None = None,
 ) -> tuple[DataFrame, Observation, Observation | DataFrame]:
     """The records DataFrame of one run (not executed) with its sample observation and rejection counts.
 
@@ -258,7 +297,7 @@ def plan_dataset(
     (notes, chat trees: no shuffle), so the input is scanned once. Message
     logs judge before a shuffle, so their rejections are returned as a
     one-row DataFrame summed from the materialised pass-1 block table, which is
-    exact under retries.
+    exact under retries. So are those of notes in pieces (``split_bytes``).
     """
     if dataset_format not in FMT.FORMATTERS:
         raise ValueError(f"unknown dataset format {dataset_format!r}; expected one of {sorted(FMT.FORMATTERS)}")
@@ -269,6 +308,9 @@ def plan_dataset(
         blocks = message_log_blocks(lines, enforce_guardrails, tables)
         samples = message_log_samples(lines, sanitize_pii, enforce_guardrails, blocks, tables)
         rejected: Observation | DataFrame = rejections_from_blocks(blocks, tables)
+    elif kind == "notes" and split_bytes is not None:
+        pieces = split_note_pieces(spark, path, split_bytes, sanitize_pii, enforce_guardrails, hidden, tables)
+        samples, rejected = split_notes_samples(pieces, chunk_words), rejections_from_pieces(pieces)
     else:
         rejected = Observation("rejections")
         samples = read_samples(spark, kind, path, sanitize_pii, enforce_guardrails, chunk_words, rejected, mode, multi_line, hidden, tables)
@@ -320,6 +362,7 @@ def build_dataset(
     multi_line: bool | str = True,
     hidden: str = "error",
     tables: rules.RuleTables = rules.TABLES,
+    split_bytes: int | None = None,
 ) -> dict:
     """Read, judge, redact, assemble, format and write JSONL under ``output``; return the run summary.
 
@@ -327,7 +370,7 @@ def build_dataset(
     read and ``skipped_names`` for the first hundred of their paths, ``corrupt_files`` for chat-tree exports (or lines) that did not parse in ``PERMISSIVE`` mode.
     """
     records, written, rejected = plan_dataset(
-        spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words, mode, multi_line, hidden, tables
+        spark, kind, path, dataset_format, sanitize_pii, enforce_guardrails, chunk_words, mode, multi_line, hidden, tables, split_bytes
     )
     summary = {
         "source": kind,

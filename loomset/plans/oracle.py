@@ -74,9 +74,9 @@ def _prepared(guardrails: bool = True, sanitize: bool = True) -> str:
     )
 
 
-def _chunks_sql(guardrails: bool = True, sanitize: bool = True) -> str:
+def _chunks_sql(guardrails: bool = True, sanitize: bool = True, docs: str = DOCS) -> str:
     return (
-        f"WITH {DOCS}, {_prepared(guardrails, sanitize)}, "
+        f"WITH {docs}, {_prepared(guardrails, sanitize)}, "
         f"ws AS (SELECT doc_id, {words('body')} AS w FROM prepared WHERE harm_category IS NULL AND body <> ''), "
         f"e AS (SELECT doc_id, w, unnest(range(0, len(w), {K})) AS i FROM ws), "
         f"c AS (SELECT doc_id, CAST(i // {K} AS BIGINT) AS chunk_index, array_to_string(w[i + 1 : i + {K}], ' ') AS chunk FROM e) "
@@ -87,6 +87,15 @@ def note_chunks(guardrails: bool = True, sanitize: bool = True) -> str:
     return _chunks_sql(guardrails, sanitize) + f"SELECT doc_id, chunk_index, chunk FROM c WHERE length(chunk) > {MIN_CHARS}"
 
 
+def notes_split() -> str:
+    text = f"text || {_case('doc_id % 1997', catalog.NOTE_HITS_1997)} || {_case('doc_id % 89', catalog.DOC_HITS_89)}"
+    joined = (
+        f"docs AS (SELECT doc_id // {render.DOCS_PER_NOTE} AS doc_id, string_agg({text}, chr(10) ORDER BY doc_id) AS text "
+        f"FROM documents GROUP BY doc_id // {render.DOCS_PER_NOTE})"
+    )
+    return _chunks_sql(docs=joined) + f"SELECT doc_id AS note, chunk_index, chunk FROM c WHERE length(chunk) > {MIN_CHARS}"
+
+
 def notes_to_instruction() -> str:
     return _chunks_sql() + (
         f"SELECT doc_id, chunk_index, {lit(rules.NOTE_INSTRUCTION_PREFIX)} || 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS instruction, "
@@ -324,6 +333,7 @@ ORACLE: dict[str, str] = {
     "message_log_scan": message_log_scan(),
     "notes_scan": notes_scan(),
     "notes_tree": notes_tree(),
+    "notes_split": notes_split(),
     "jsonl_sink": jsonl_sink(),
     "samples_end_to_end": samples_end_to_end(),
     "notes_stream": notes_stream(),

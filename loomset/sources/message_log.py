@@ -14,8 +14,9 @@ between the two passes.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.functions import rules
@@ -32,9 +33,16 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 SPLIT_SETTINGS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
 
 
-def with_lineage(spark: SparkSession, path: str | list[str], *columns: Column, line_sep: str | None = None) -> DataFrame:
+def with_lineage(
+    spark: SparkSession,
+    path: str | list[str],
+    *columns: Column,
+    line_sep: str | None = None,
+    split_bytes: int | None = None,
+    prepare: Callable[[DataFrameReader], DataFrameReader] = lambda reader: reader,
+) -> DataFrame:
     """``file``, ``block``, ``line_id`` and ``columns`` of a text scan whose splits are those of this moment; lines end
-    at ``line_sep`` if given.
+    at ``line_sep`` if given. Splits have at most ``split_bytes`` if given, ``prepare`` sets further reader options.
 
     A scan plans its splits with the settings of the session it was read in. That is a session of its own here, with the
     caller's settings spelled out; the frame itself goes on in the caller's session. The id is not deterministic, so no
@@ -47,7 +55,9 @@ def with_lineage(spark: SparkSession, path: str | list[str], *columns: Column, l
             value = str(spark.sparkContext.defaultParallelism)  # what Spark takes when it is unset
         if value is not None:
             fixed.conf.set(name, value)
-    scan = fixed.read.text(path, lineSep=line_sep).select(
+    if split_bytes is not None:
+        fixed.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    scan = prepare(fixed.read).text(path, lineSep=line_sep).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),

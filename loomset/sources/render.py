@@ -9,7 +9,8 @@ sources. The renders reproduce what the sources must undo:
   message, and non-string ``parts`` on every third message;
 * message log: two stamp styles, line breaks inside a message turned into
   spaces (continuation lines are not part of a message);
-* notes: one file per document, below one folder per language.
+* notes: one file per document, below one folder per language, or one file for
+  a run of documents.
 
 A conversation is one JSON object by the format; export and log files group a
 bounded number of conversations.
@@ -88,3 +89,13 @@ def render_message_logs(conversations: DataFrame, path: str, convs_per_file: int
 def render_notes(documents: DataFrame, path: str) -> str:
     """``lang, text`` -> one note file per document, ``lang=<l>/part-*.txt`` (``maxRecordsPerFile`` = 1)."""
     return _write_text(documents.select("lang", F.col("text").alias("value")), path, ["lang"], maxRecordsPerFile=1)
+
+
+DOCS_PER_NOTE = 256
+
+
+def render_joined_notes(documents: DataFrame, path: str, docs_per_note: int = DOCS_PER_NOTE) -> str:
+    """``doc_id, text`` -> one note file per ``docs_per_note`` documents, in ``doc_id`` order, ``note=<n>/part-*.txt``."""
+    lines = documents.select(log_file_key(F.col("doc_id"), docs_per_note).alias("note"), "doc_id", F.col("text").alias("value"))
+    ordered = lines.repartition("note").sortWithinPartitions("note", "doc_id").select("note", "value")
+    return _write_text(ordered, path, ["note"])
