@@ -202,6 +202,14 @@ def broadcast_limit(spark) -> int:
     return int(float(number) * _BYTE_UNITS[raw[len(number):]]) if number not in ("", "-") else -1
 
 
+def broadcast_if_small(small: DataFrame, *text_cols: str) -> DataFrame:
+    """``small`` to be broadcast if its measured size fits the session's threshold, else as it is."""
+    chars = [F.coalesce(F.sum(F.length(F.col(c).cast("string"))), F.lit(0)).alias(c) for c in text_cols]
+    rows, *lengths = small.agg(F.count(F.lit(1)), *chars).first()
+    # hashed relation overhead included
+    return F.broadcast(small) if 2 * (rows * 64 + sum(lengths)) <= broadcast_limit(small.sparkSession) else small
+
+
 def _windows_by_ids(
     df: DataFrame, counts: DataFrame, file_col: str, block_col: str, order_col: str,
     sender_col: str, content_col: str, size: int, min_turns: int,

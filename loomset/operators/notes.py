@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from loomset.functions import rules
 from loomset.functions import text as T
 from loomset.operators import guardrails as G
-from loomset.session import shared_dir
+from loomset.operators.conversations import broadcast_if_small
+from loomset.session import scratch_path
 
 
 def prepare_notes(
@@ -54,14 +55,19 @@ def chunk_notes(
 
 
 def prepare_pieces(pieces: DataFrame, sanitize_pii: bool = True, enforce_guardrails: bool = True) -> DataFrame:
-    """Judged and redacted pieces of notes (:mod:`loomset.sources.split_notes`), materialised: ``file_path``,
-    ``file_name``, ``block``, ``words``, ``harm_category`` (of the piece).
+    """Judged and redacted pieces of notes (:mod:`loomset.sources.split_notes`), written to the shared folder and read
+    back: ``file_path``, ``file_name``, ``block``, ``body`` (its words, one space between any two), ``n_words``,
+    ``harm_category`` (of the piece).
 
-    The checkpoint holds the redacted words of all pieces, harmful ones too, so that the rules run once.
+    The table holds the words of all pieces, harmful ones too, so that the rules run once.
     """
-    shared_dir(pieces.sparkSession)
-    prepared = prepare_notes(pieces, "text", sanitize_pii, enforce_guardrails)
-    return prepared.select("file_path", "file_name", "block", T.words(F.col("body")).alias("words"), G.HARM).checkpoint(eager=True)
+    spark, path = pieces.sparkSession, scratch_path(pieces.sparkSession, "note-pieces")
+    prepared = prepare_notes(pieces, "text", sanitize_pii, enforce_guardrails).withColumn("words", T.words(F.col("body")))
+    prepared = prepared.select(
+        "file_path", "file_name", "block", F.array_join("words", " ").alias("body"), F.size("words").cast("long").alias("n_words"), G.HARM
+    )
+    prepared.write.parquet(path)
+    return spark.read.schema(prepared.schema).parquet(path)
 
 
 def note_verdicts(prepared_pieces: DataFrame) -> DataFrame:
@@ -75,15 +81,17 @@ def chunk_pieces(prepared_pieces: DataFrame, chunk_words: int = rules.DEFAULT_CH
     """T3 + T4 + F5 + F8 for notes in pieces: ``file_path``, ``file_name``, ``chunk_index``, ``chunk``.
 
     The number of words before a piece is a running sum over one small row per piece. Chunks that lie within a piece are
-    cut where it is; only the words at its two ends are shuffled, to be joined with those of its neighbours.
+    cut where it is; only the words at its two ends are shuffled, to be joined with those of its neighbours (all pieces
+    once more, if that table is too large to be broadcast).
     """
     if chunk_words < 1:
         raise ValueError(f"chunk_words must be a positive number of words, got {chunk_words}")
-    counts = prepared_pieces.select("file_path", "block", F.size("words").cast("long").alias("_n"))
+    counts = prepared_pieces.select("file_path", "block", F.col("n_words").alias("_n"))
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_n > 0")
     counts = counts.join(note_verdicts(prepared_pieces).where(F.col(G.HARM).isNull()).select("file_path"), "file_path")
-    placed = prepared_pieces.drop(G.HARM).join(counts, ["file_path", "block"])
+    placed = prepared_pieces.drop(G.HARM, "n_words").withColumn("words", F.split("body", " ")).drop("body")
+    placed = placed.join(broadcast_if_small(counts, "file_path"), ["file_path", "block"])
 
     size = chunk_words
     begin, end = F.expr(f"greatest(chunk_index * {size} - _off, 0)"), F.expr(f"least((chunk_index + 1) * {size} - _off, _n)")
