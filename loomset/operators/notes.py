@@ -90,8 +90,8 @@ def chunk_pieces(prepared_pieces: DataFrame, chunk_words: int = rules.DEFAULT_CH
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_n > 0")
     counts = counts.join(note_verdicts(prepared_pieces).where(F.col(G.HARM).isNull()).select("file_path"), "file_path")
-    placed = prepared_pieces.drop(G.HARM, "n_words").withColumn("words", F.split("body", " ")).drop("body")
-    placed = placed.join(broadcast_if_small(counts, "file_path"), ["file_path", "block"])
+    placed = prepared_pieces.drop(G.HARM, "n_words").join(broadcast_if_small(counts, "file_path"), ["file_path", "block"])
+    placed = placed.withColumn("words", F.split("body", " ")).drop("body")
 
     size = chunk_words
     begin, end = F.expr(f"greatest(chunk_index * {size} - _off, 0)"), F.expr(f"least((chunk_index + 1) * {size} - _off, _n)")
