@@ -26,29 +26,31 @@ def extension_glob(extensions: tuple[str, ...] = rules.NOTE_EXTENSIONS) -> str:
 def hidden_notes(spark: SparkSession, path: str | list[str]) -> list[str]:
     """Note files that Spark's listing leaves out: their name, or that of a folder above them, starts with ``_`` or ``.``.
 
-    Level by level the file system is asked for such names alone, by patterns; only folders found in this way are
-    listed whole.
+    Each folder is asked for such names alone, and looked through for folders only if it has any: the names of its
+    notes stay in the JVM. Only folders found in this way are listed whole.
     """
     jvm = spark._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    unseen = jvm.org.apache.hadoop.fs.GlobFilter("{_,.}*")
     found: list[str] = []
     for top in [path] if isinstance(path, str) else path:
         root = jvm.org.apache.hadoop.fs.Path(top)
         fs = root.getFileSystem(conf)
         if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
             continue
-        level = root.toString()
-        while True:
-            for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/{{_,.}}*")) or []:
+        folders = [root]
+        while folders:
+            folder = folders.pop()
+            for status in fs.listStatus(folder, unseen):
                 if status.isDirectory():
                     below = fs.listFiles(status.getPath(), True)
                     while below.hasNext():
                         found.append(below.next().getPath().toString())
                 else:
                     found.append(status.getPath().toString())
-            level += "/*"
-            if not any(True for _ in (fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{level}/*")) or [])[:1]):
-                break
+            if fs.getContentSummary(folder).getDirectoryCount() > 1:
+                inner = (status.getPath() for status in fs.listStatus(folder) if status.isDirectory())
+                folders += [p for p in inner if p.getName()[0] not in "_."]
     return sorted(f for f in found if f.endswith(rules.NOTE_EXTENSIONS))
 
 

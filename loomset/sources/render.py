@@ -2,8 +2,9 @@
 
 The scan queries and tests read files, while the inputs are parquet tables, so
 these jobs write the tables out in each source format - with Spark writers,
-into a fresh folder under the shared work folder - to be read back by the
-sources. The renders reproduce what the sources must undo:
+single notes by tasks of their own, into a fresh folder under the shared work
+folder - to be read back by the sources. The renders reproduce what the sources
+must undo:
 
 * chat tree: node ids that are not in turn order, a root node without a
   message, and non-string ``parts`` on every third message;
@@ -18,7 +19,9 @@ bounded number of conversations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_STAMPS = ("[1/2/24, 10:00:00 AM] ", "1/2/24, 22:00:05 ")
@@ -86,9 +89,74 @@ def render_message_logs(conversations: DataFrame, path: str, convs_per_file: int
     return _write_text(ordered, path, ["log"])
 
 
+def _arrow_root(spark: SparkSession, path: str) -> str | None:
+    """``path``, made an empty folder, as an address that Arrow's file systems open; None if they cannot."""
+    import pyarrow as pa
+    from pyarrow.fs import FileSystem
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(folder).toString()
+    root = "file://" + root[5:] if root.startswith("file:/") and not root.startswith("file://") else root
+    try:
+        FileSystem.from_uri(quote(root, safe="/:@"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+    fs.delete(folder, True)
+    fs.mkdirs(folder)
+    return root
+
+
+def _note_writer(root: str):
+    """Rows -> one file each. A closure, so that workers need not have this package.
+
+    A file is named by its task and its content, and moved to its name when it is whole: a task that runs again writes the
+    same files, whatever the order of its rows.
+    """
+
+    def write(batches):
+        import re
+        from collections import Counter
+        from hashlib import sha1
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        fs, top = FileSystem.from_uri(quote(root, safe="/:@"))
+        task, folders, seen = TaskContext.get(), set(), Counter()
+        for batch in batches:
+            for lang, content in zip(batch["lang"].to_pylist(), batch["value"].to_pylist()):
+                # names of folders as Spark's writers give them
+                lang = re.sub("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]", lambda c: f"%{ord(c[0]):02X}", lang) if lang else "__HIVE_DEFAULT_PARTITION__"
+                folder, content = f"{top.rstrip('/')}/lang={lang}", (content or b"") + b"\n"
+                if folder not in folders:
+                    fs.create_dir(folder)
+                    folders.add(folder)
+                key = sha1(content).digest()
+                name = f"{folder}/part-{task.partitionId():05d}-{key.hex()}-{seen[lang, key]}.txt"
+                seen[lang, key] += 1
+                with fs.open_output_stream(part := f"{name}.{task.taskAttemptId()}", compression=None) as out:
+                    out.write(content)
+                fs.move(part, name)
+        yield pa.RecordBatch.from_pydict({"notes": [sum(seen.values())]}, schema=pa.schema([("notes", pa.int64())]))
+
+    return write
+
+
 def render_notes(documents: DataFrame, path: str) -> str:
-    """``lang, text`` -> one note file per document, ``lang=<l>/part-*.txt`` (``maxRecordsPerFile`` = 1)."""
-    return _write_text(documents.select("lang", F.col("text").alias("value")), path, ["lang"], maxRecordsPerFile=1)
+    """``lang, text`` -> one note file per document, ``lang=<l>/part-*.txt``.
+
+    Spark's writer takes some milliseconds for each file and then moves all of them on the driver, so tasks write them
+    through Arrow's file systems; where these cannot open the path, the writer does it (``maxRecordsPerFile`` = 1).
+    """
+    root = _arrow_root(documents.sparkSession, path)
+    if root is None:
+        return _write_text(documents.select("lang", F.col("text").alias("value")), path, ["lang"], maxRecordsPerFile=1)
+    rows = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("value"))
+    rows.mapInArrow(_note_writer(root), "notes long").agg(F.sum("notes")).collect()
+    return path
 
 
 DOCS_PER_NOTE = 256

@@ -26,6 +26,7 @@ from loomset.sources.notes import note_options, note_rows, refuse_hidden
 
 MAX_FILES_PER_TRIGGER = 100_000
 PROGRESS_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"  # a batch is listed by a task per file otherwise
 
 
 def notes_stream_writer(
@@ -63,13 +64,17 @@ def notes_stream_writer(
 
 def run_notes_available_now(spark: SparkSession, folder: str, output: str, checkpoint: str, **kwargs) -> list[dict]:
     """Process every note file not yet seen, then stop; returns the rejection counts per micro-batch."""
-    kept = spark.conf.get(PROGRESS_KEPT, None)
-    spark.conf.set(PROGRESS_KEPT, str((1 << 31) - 1))
+    listing = min(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get(LISTING_TASKS)))
+    settings = {PROGRESS_KEPT: str((1 << 31) - 1), LISTING_TASKS: str(listing)}
+    kept = {name: spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         query = notes_stream_writer(spark, folder, output, checkpoint=checkpoint, **kwargs).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROGRESS_KEPT) if kept is None else spark.conf.set(PROGRESS_KEPT, kept)
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     batches = []
     for progress in query.recentProgress:
         row = (progress.observedMetrics or {}).get("rejections")
