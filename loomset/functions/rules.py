@@ -136,6 +136,9 @@ def from_run_starts(pattern: str) -> str:
     return rf"(?:(?<!{m[1]})|\G){m[1]}++{m[2]}" + pattern[m.end() :]
 
 
+_PHONE_BEGIN = r"\b(?:\+?\d{1,3}[-.\s]?)?\(?\d"
+
+
 def java_regex(pattern: str, dotall: bool = False) -> str:
     r"""Python ``re`` (str) pattern -> JVM pattern with the same matches.
 
@@ -149,6 +152,8 @@ def java_regex(pattern: str, dotall: bool = False) -> str:
     # next to a digit the boundary has one side only, which is cheaper to test
     body = body.replace(BOUNDARY + r"\d", f"(?<!{WORD_CLASS})" + r"\d")
     body = re.sub(r"(\\d(?:\{[1-9][0-9,]*\})?)" + re.escape(BOUNDARY), lambda m: f"{m[1]}(?!{WORD_CLASS})", body)
+    if pattern.startswith(_PHONE_BEGIN):  # few characters can begin a match, which is cheaper to test than the boundary
+        body = r"(?=[+(\d])" + body
     if dotall and body.endswith("$"):
         body = body[:-1] + r"\z"
     return ("(?Us)" if dotall else "(?U)") + body
