@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from loomset.functions import rules
 
-_LINE_WS = "\n\r\t"  # the whitespace that most texts have beside spaces
-_RARE_WS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in rules.WHITESPACE_CHARS if ch not in _LINE_WS + " ") + "]"
+# whitespace but the space, as a JVM class with two tests for a character: one table below U+0100, one range above
+_LOW_WS = "".join(f"\\x{{{ord(ch):x}}}" for ch in rules.WHITESPACE_CHARS if ch < "\u0100" and ch != " ")
+_HIGH_WS = [f"\\x{{{ord(ch):x}}}" for ch in sorted(rules.WHITESPACE_CHARS) if ch >= "\u0100"]
+_OTHER_WS = f"[{_LOW_WS}[{_HIGH_WS[0]}-{_HIGH_WS[-1]}&&[{''.join(_HIGH_WS)}]]]"
 _FFFD = "\ufffd"
 _MARK = "\ufdd0"  # a noncharacter
 
@@ -121,15 +123,12 @@ def redact_guarded(c: Column, tables: rules.RuleTables = rules.TABLES) -> Column
 
 
 def words(c: Column) -> Column:
-    """``str.split()``: what stands between whitespace, [] for ''; for a cheap ``c`` (a column).
+    """``str.split()``: what stands between whitespace, [] for ''.
 
-    A pattern over the whole class of whitespace costs more than all other steps of a note together, so every such
-    character becomes a space first (rare ones only where there are any) and the text is split at a literal space.
+    A pattern that takes runs of whitespace costs more than all other steps of a note together, so every such character
+    becomes a space first and the text is split at a literal space.
     """
-    spaced = F.when(c.rlike(_RARE_WS), F.regexp_replace(c, _RARE_WS, " ")).otherwise(c)
-    for ch in _LINE_WS:
-        spaced = F.replace(spaced, F.lit(ch), F.lit(" "))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.regexp_replace(c, _OTHER_WS, " "), " "), "")
 
 
 def chunks(word_array: Column, size: int = rules.DEFAULT_CHUNK_WORDS) -> Column:
