@@ -252,16 +252,21 @@ def reading_tasks(spark: SparkSession, files: int, size: int) -> int:
     return max(1, min(files, planned, max(-(-size // most), -(-files // FILES_PER_TASK), TASKS_PER_CORE * cores)))
 
 
-def read_names(names: DataFrame, tasks: int, skip_unreadable: bool = True) -> DataFrame:
+def deal_names(listed: DataFrame, tasks: int) -> DataFrame:
+    return listed.select("root", "inner").repartition(tasks)
+
+
+def read_names(names: DataFrame, skip_unreadable: bool = True) -> DataFrame:
     """The notes named by ``root`` and ``inner``, batch or stream, with their bytes (:func:`read_listed`)."""
-    return names.select("root", "inner").repartition(tasks).mapInArrow(_reader(skip_unreadable), READ)
+    return names.mapInArrow(_reader(skip_unreadable), READ)
 
 
 def read_listed(listed: DataFrame, skip_unreadable: bool = True) -> DataFrame:
     """The listed notes with their bytes: ``root``, ``inner``, ``uri`` (as Spark tells their path), ``content``, ``error``
-    (null where the note was read)."""
+    (null where the note was read). Their names are dealt out first, into the shared folder: what reads them has no shuffle."""
     files, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return read_names(listed, reading_tasks(listed.sparkSession, files, size), skip_unreadable)
+    names = deal_names(listed, reading_tasks(listed.sparkSession, files, size)).checkpoint(eager=True)
+    return read_names(names, skip_unreadable)
 
 
 def _bytes(spark: SparkSession, setting: str) -> int:

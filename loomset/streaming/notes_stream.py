@@ -122,7 +122,7 @@ def _listed_rows(spark: SparkSession, checkpoint: str, skip_unreadable: bool) ->
     reader = spark.readStream.option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d")
     names = _read_listings(reader, _listings(checkpoint))
     tasks = note_tree.reading_tasks(spark, *_largest_batch(spark, checkpoint))
-    return note_tree.note_rows(note_tree.read_names(names, tasks, skip_unreadable), encoded=True)
+    return note_tree.note_rows(note_tree.read_names(note_tree.deal_names(names, tasks), skip_unreadable), encoded=True)
 
 
 def notes_stream_writer(
